@@ -4,10 +4,10 @@
    with the same set form a class that goes on as its smallest doc_id; the class is counted before it is shuffled.
 2. Stars: of each band's bucket every member is held against the smallest one only: as many pairs as members.
    Pairs are verified on their whole sets; the links make components by alternating min-label steps.
-3. The rest: only buckets that still hold several components go on. Their members, in blocks of BLOCK, are compared
-   by signature within a block pair, skipping pairs of one component; those whose signatures agree in SKETCH_LEAST of
-   the slots or more are verified in turn, and the components made anew. A bucket thus costs no more than its
-   unlinked pairs' signatures, and no task holds more than two blocks.
+3. The rest: only buckets that still hold several components go on. Their members travel with their sets, in blocks of
+   BLOCK members or BLOCK_SHINGLES; a task takes a pair of blocks and skips pairs of one component, those that share
+   an earlier bucket and those whose signatures agree in less than SKETCH_LEAST of the slots. It verifies the others
+   at once and unites what it links, so it sends on fewer links than it has members, however many pairs are close.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^ROWS)^BANDS, 1.2e-7; shingles are told apart by
 64-bit hashes.
@@ -26,8 +26,8 @@ from tidestream.llm import common as C
 ROWS, BANDS, SHINGLE = 5, 40, 2
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 2048
+#: Members of a bucket (or their shingles) that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Share of agreeing slots from which a pair in a bucket with several components is verified: six standard deviations below 0.8.
 SKETCH_LEAST = 0.63
 #: Shingles that the signature kernel takes at once.
@@ -189,50 +189,55 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _unlinked(batches, percent: int, least: float):
-    """Pairs of two blocks of a bucket, or of one block, of different components and like size whose sketches agree."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    held, key = [], None
-
-    def compare(parts):
-        t = pa.Table.from_batches(parts)
-        node, comp, n, side = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles", "side"))
-        same_block = bool(t.column("same")[0].as_py())
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same_block else 1))
-        for i in left.tolist():
-            near = right[(comp[right] != comp[i]) & (node[right] > node[i] if same_block else True)]
-            near = near[100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i])]
-            if len(near):
-                near = near[(sketch[near] == sketch[i]).mean(1) >= least]
-                if len(near):
-                    pair = np.stack([np.minimum(node[near], node[i]), np.maximum(node[near], node[i])])
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], schema=schema)
+def _compared(t: pa.Table, percent: int, least: float):
+    """Links (a, b) between the components of two blocks of a bucket, or of one block: enough to connect all that are linked."""
+    node, side = (t.column(c).to_numpy() for c in ("node", "side"))
+    comp = np.unique(t.column("component").to_numpy(), return_inverse=True)[1]
+    same_block = bool(t.column("same")[0].as_py())
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    place = int((bands[0] == t.column("key")[0].as_py()).argmax())
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("codes")]
+    n = np.array([len(x) for x in sets])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same_block else 1))
+    for i in left.tolist():
+        near = right[(comp[right] != comp[i]) & (node[right] > node[i] if same_block else True)]
+        near = near[100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i])]
+        if len(near):
+            near = near[(sketch[near] == sketch[i]).mean(1) >= least]
+        if len(near):
+            near = near[(bands[near] == bands[i]).argmax(1) == place]
+        for x, y in C.pieces(np.concatenate(([0], np.cumsum(n[near]))), BLOCK_SHINGLES):
+            some = near[x:y]
+            codes = np.concatenate([sets[j] for j in some])
+            at = np.minimum(np.searchsorted(sets[i], codes), n[i] - 1)
+            both = np.add.reduceat((sets[i][at] == codes).astype(np.int64), np.cumsum(n[some]) - n[some])
+            for j in some[100 * both >= percent * (n[some] + n[i] - both)].tolist():
+                if comp[j] != comp[i]:
+                    comp[comp == comp[j]] = comp[i]
+                    yield min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))
+
+
+def _across_blocks(batches, percent: int, least: float):
+    """Rows come sorted by task."""
+    held: list[pa.RecordBatch] = []
+    key = None
+
+    def links():
+        pairs = list(_compared(pa.Table.from_batches(held), percent, least))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        task = batch.column(0).to_pylist()
-        edge = [i for i in range(len(task)) if i == 0 or task[i] != task[i - 1]] + [len(task)]
+        task = batch.column(0).to_numpy()
+        edge = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             if task[a] != key and held:
-                yield from compare(held)
+                yield links()
                 held = []
             key = task[a]
             held.append(batch.slice(a, b - a))
     if held:
-        yield from compare(held)
-
-
-def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) across the components of each bucket. members: key, node, component, n_shingles, sketch, block, blocks."""
-    n = C.shuffle_partitions(members.sparkSession)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = members.select("*", other).select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
-        *("node", "component", "n_shingles", "sketch"),
-        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
-        (F.col("block") == F.col("other")).alias("same"),
-    )
-    return tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lambda it: _unlinked(it, percent, SKETCH_LEAST), "a long, b long").distinct()
+        yield links()
 
 
 def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
@@ -258,9 +263,8 @@ def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows:
     links = _verified(pairs, docs, size, percent).select("a", "b")
     copies = same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.union(copies))
-    rest = _across(inside.filter("members > 2"), found, node, percent, block)
-    if not rest.isEmpty():
-        more = _verified(rest, docs, size, percent)
+    more = C.checkpointed(_across(inside.filter("members > 2"), found, node, docs, size, percent, block))
+    if not more.isEmpty():
         found = components(found.toDF("a", "b").union(more))
     least = found.select(F.col("node").alias("__node"), "component")
     out = features.select("doc_id", "n_shingles").join(least, F.col("doc_id") == F.col("__node"), "left")
@@ -269,14 +273,27 @@ def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows:
     return out.unionByName(none.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
 
 
-def _across(inside: DataFrame, found: DataFrame, node: DataFrame, percent: int, block: int) -> DataFrame:
+def _across(inside: DataFrame, found: DataFrame, node: DataFrame, docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between the components in `found` that meet in buckets of more than one."""
     label = found.withColumnRenamed("node", "__node")
     members = inside.select("key", "node").join(label, F.col("node") == F.col("__node"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    several = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x < y")
-    several = several.select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    members = members.join(several, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    with_sketch = members.join(node.select(F.col("doc_id").alias("node"), "n_shingles", "sketch"), "node")
-    return C.checkpointed(_block_pairs(with_sketch, percent))
+    several = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    members = C.checkpointed(members.join(several, "key").join(node.select(F.col("doc_id").alias("node"), "n_shingles"), "node"))
+    texts = docs.select("doc_id", "text").join(members.select(F.col("node").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    sets = texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, codes binary").filter("octet_length(codes) > 0").withColumnRenamed("doc_id", "node")
+    whole = sets.join(node.select(F.col("doc_id").alias("node"), "sketch", "bands"), "node")
+    counts = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tasks = members.join(whole, "node").select("*", other).select(
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
+        *("key", "node", "component"),
+        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
+        (F.col("block") == F.col("other")).alias("same"),
+        *("sketch", "bands", "codes"),
+    )
+    n = C.shuffle_partitions(docs.sparkSession)
+    return tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lambda it: _across_blocks(it, percent, SKETCH_LEAST), "a long, b long")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
