@@ -1,0 +1,121 @@
+import math
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidestream.functions import images, labels, scalars, shapes, tiff
+from tidestream.plans import imaging
+from tidestream.sources import bins, files
+
+PLACE = ((50, 30, 0), "S", (4, 15, 36), "W")
+
+
+def disc(radius, tone=20, size=120):
+    y, x = np.mgrid[:size, :size]
+    pixels = np.full((size, size, 3), 250, np.uint8)
+    pixels[(x - 60) ** 2 + (y - 60) ** 2 <= radius * radius] = tone
+    return pixels
+
+
+def test_tiff_round_trip_and_end():
+    pixels = disc(12)
+    data = tiff.encode(pixels, "2024:01:02 03:04:05", PLACE)
+    read = tiff.Tiff(data + b"tail")
+    assert (read.pixels() == pixels).all() and read.end == len(data)
+    assert images.position(data) == (-50.5, pytest.approx(-4.26), "2024:01:02 03:04:05", True)
+    jpeg = b"\xff\xd8\xff\xe1" + (len(data[:400]) + 8).to_bytes(2, "big") + b"Exif\0\0" + data[:400]
+    assert images.position(jpeg)[0] == -50.5
+
+
+@pytest.mark.parametrize("radius", [10, 25, 40])
+def test_disc_measures(radius):
+    esd_1, esd_2, area_1, area_2, length, points = shapes.measures(disc(radius))
+    assert esd_2 == pytest.approx(20 * radius, rel=0.06) and esd_1 <= esd_2
+    assert length == pytest.approx(2 * radius, rel=0.03) and area_1 <= area_2 and len(points) == 2
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=2, max_size=40))
+@settings(max_examples=60, deadline=None)
+def test_diameter_is_that_of_all_pairs(points):
+    ps = np.array(points)
+    assert shapes.diameter(ps)[0] == pytest.approx(max(math.dist(a, b) for a in points for b in points))
+
+
+@given(st.integers(0, 2**32 - 1))
+@settings(max_examples=30, deadline=None)
+def test_area_is_that_of_the_border_polygon(seed):
+    rng = np.random.default_rng(seed)
+    w, h = rng.integers(1, 9, 2)
+    mask = np.zeros((14, 14), bool)
+    mask[2 : 2 + h, 2 : 2 + w] = True
+    assert shapes.area(shapes.largest(mask)) == (w - 1) * (h - 1)
+
+
+def test_holes_fill_and_nothing_measures_zero(spark):
+    ring = disc(30)
+    ring[50:70, 50:70] = 250
+    assert shapes.measures(ring)[2:4] == shapes.measures(disc(30))[2:4]
+    rows = [("a", tiff.encode(disc(20))), ("b", b"junk"), ("c", None)]
+    got = {r.filename: r.m for r in spark.createDataFrame(rows, "filename string, payload binary").select("filename", images.measured("payload").alias("m")).collect()}
+    assert got["a"].esd_1 > 0 and got["b"].esd_1 == 0 and got["c"].object_length == 0
+
+
+def test_background_row_is_taken_off(spark):
+    data = tiff.encode(disc(20)) + bytes([200]) * 360
+    (row,) = spark.createDataFrame([(data,)], "payload binary").select(images.background_corrected("payload").alias("p")).collect()
+    assert tiff.Tiff(bytes(row.p)).pixels()[0, 0, 0] == 195
+
+
+def test_classes_and_gray(spark):
+    rows = [(i, tiff.encode(disc(10 + i, tone=8 * i))) for i in range(12)] + [(99, b"x")]
+    df = spark.createDataFrame(rows, "i int, payload binary")
+    for gray in (False, True):
+        got = {r.i: r.c for r in df.select("i", images.classifier(gray=gray, batch=5)("payload").alias("c")).collect()}
+        assert got[3].label == labels.LABEL_KEYS[int(np.argmax(got[3].scores))] and sum(got[3].scores) == pytest.approx(1, abs=1e-5)
+        assert got[99] is None or got[99].label is None
+
+
+def test_label_keys():
+    assert labels.LABEL_KEYS[5:8] == ("Phyto_dinoflagellate_gonyaulac", "Phyto_dinoflagellate_gonyaula1", "Phyto_dinoflagellate_gonyaula2")
+    assert len(set(labels.LABEL_KEYS)) == 18
+
+
+@given(st.lists(st.text("ab", max_size=6)))
+def test_unique_keys_are_unique(names):
+    keys = labels.unique_keys(names, 3)
+    assert len(keys) == len(set(keys)) == len(names)
+
+
+def test_bins_round_trip(spark, tmp_path):
+    assert list(bins.frames(bins.framed("é.tif", b"123") + bins.framed("b", b"") + b"\x09")) == [("é.tif", b"123"), ("b", b"")]
+    rows = [(f"i{i}.tif", bytes([i] * i), f"2024-01-01 00:{i % 30:02d}:00") for i in range(40)]
+    df = spark.createDataFrame(rows, "filename string, payload binary, at string").select("filename", "payload", F.to_timestamp("at").alias("arrival"))
+    bins.write(df, str(tmp_path / "bins"))
+    back = bins.read(spark, str(tmp_path / "bins"))
+    assert sorted((r.filename, bytes(r.payload)) for r in back.collect()) == sorted((n, p) for n, p, _ in rows)
+    names = {r.bin.rsplit("/", 1)[1][:19] for r in back.select("bin").distinct().collect()}
+    assert names == {"pi-2024-01-01-00-00", "pi-2024-01-01-00-10", "pi-2024-01-01-00-20"}
+
+
+def test_folder_jobs(spark, tmp_path):
+    rows = [(f"p{i}.tif", tiff.encode(disc(10 + i), "2024:01:01 00:00:00", PLACE)) for i in range(3)] + [("notes.txt", b"x")]
+    folder = str(tmp_path / "in")
+    files.write_images(spark.createDataFrame(rows, "filename string, payload binary"), folder)
+    imaging.measure_folder(spark, folder, str(tmp_path / "m"))
+    imaging.locate_folder(spark, folder, str(tmp_path / "g"))
+    imaging.classify_folder(spark, folder, str(tmp_path / "c"))
+    imaging.correct_folder(spark, folder, str(tmp_path / "b"))
+    imaging.draw_folder(spark, str(tmp_path / "m"), folder, str(tmp_path / "d"))
+    assert spark.read.csv(str(tmp_path / "m")).count() == 3
+    assert {r.latitude for r in spark.read.csv(str(tmp_path / "g"), header=True).collect()} == {"-50.5"}
+    assert spark.read.csv(str(tmp_path / "c"), header=True).columns == ["filename", "label", "scores"]
+    assert files.images(spark, str(tmp_path / "b")).count() == files.images(spark, str(tmp_path / "d")).count() == 3
+
+
+def test_printed_points(spark):
+    text = "(array([[62, 54]], dtype=int32), array([[78, 66]], dtype=int32))"
+    (row,) = spark.createDataFrame([(text,)], "t string").select(scalars.parse_points(F.col("t")).alias("p")).select("p", scalars.midpoint(F.col("p")).alias("m")).collect()
+    assert row.p == [[62, 54], [78, 66]] and row.m == [70, 60]

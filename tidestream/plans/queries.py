@@ -1,11 +1,321 @@
-"""Queries of the engine's operators over the driver's tables, each beside the SQL that must give the same rows."""
+"""Queries of the engine's operators over the driver's tables, each beside the SQL that must give the same rows.
+
+The tables hold no images; events stand in for arrivals, conversations for packets, embeddings for scores and pixels.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidestream.functions import images, labels, scalars, tiff
+from tidestream.operators import joins, reassembly, windows
+from tidestream.sources import files
+from tidestream.sources import packets as P
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+#: Windows between two control files of the queries, and what stands in for patterns of labels.
+CONTROL_EVERY = 5
+PATTERNS = (("a*", "A"), ("b*", "B"), ("blue*", "never"), ("*", "rest"))
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _text(at: Column | str) -> Column:
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+
+
+# --- counts and windows ------------------------------------------------------------------------------------------
+
+_M = "strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S')"
+
+
+@query(f"SELECT {_M} AS minute, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def minute_label_counts(spark, sf_dir):
+    return windows.label_counts(table(spark, sf_dir, "events"), "event_type", "ts").withColumn("minute", _text("minute"))
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (event_type = '{x}') AS \"{x}\"" for x in EVENT_TYPES)
+
+
+@query(f"SELECT {_M} AS minute, {_COUNTS} FROM events GROUP BY 1")
+def minute_label_wide(spark, sf_dir):
+    return windows.wide_counts(table(spark, sf_dir, "events"), EVENT_TYPES, "event_type", "ts").withColumn("minute", _text("minute"))
+
+
+@query(f"SELECT {_M} AS minute, round(avg(value), 3) AS mean_value FROM events GROUP BY 1")
+def minute_mean_value(spark, sf_dir):
+    return windows.means(table(spark, sf_dir, "events"), {"value": "mean_value"}, "ts").withColumn("minute", _text("minute"))
+
+
+@query("SELECT 'pi-' || strftime(ts, '%Y-%m-%d-%H-') || (minute(ts) // 10) || '0.bin' AS bin, count(*) AS n FROM events GROUP BY 1")
+def ten_minute_bins(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(scalars.bin_name(F.col("ts")).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH w AS (SELECT {_M} AS minute, count(*) AS n FROM events GROUP BY 1),
+    d AS (SELECT minute AS closed_at, lag(minute, 10) OVER (ORDER BY minute) AS minute, lag(n, 10) OVER (ORDER BY minute) AS n FROM w)
+    SELECT * FROM d WHERE minute IS NOT NULL"""
+)
+def delayed_windows(spark, sf_dir):
+    counts = table(spark, sf_dir, "events").groupBy(windows.minute("ts").alias("minute")).agg(F.count("*").alias("n"))
+    return windows.delayed(counts, ["n"]).withColumns({"closed_at": _text("closed_at"), "minute": _text("minute")})
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS \"window\", count(*) AS images, round(count(*)::double / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::double), 9) AS rate FROM events GROUP BY 1")
+def window_rate(spark, sf_dir):
+    return windows.rates(table(spark, sf_dir, "events"), "ts", "hour").withColumns({"window": _text("window"), "rate": F.round("rate", 9)})
+
+
+@query(
+    f"""WITH w AS (SELECT {_M} AS minute, arg_max(value, event_id) FILTER (event_type = 'purchase' AND value IS NOT NULL) AS v FROM events GROUP BY 1)
+    SELECT minute, last_value(v IGNORE NULLS) OVER (ORDER BY minute ROWS UNBOUNDED PRECEDING) AS last_purchase FROM w"""
+)
+def last_value_carry(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("last_purchase", F.when(F.col("event_type") == "purchase", F.col("value")))
+    return windows.last_carried(rows, ["last_purchase"], "ts", "event_id").withColumn("minute", _text("minute"))
+
+
+@query("WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events) SELECT event_id, rn FROM r WHERE rn % 7 = 0")
+def subsample_nth(spark, sf_dir):
+    return reassembly.every_nth(table(spark, sf_dir, "events").select("event_id", "ts"), 7, ["ts", "event_id"], F.date_trunc("hour", "ts")).select("event_id", F.col("rn").cast("long").alias("rn"))
+
+
+@query(
+    """WITH r AS (SELECT date_trunc('hour', ts) AS h, value, (row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) - 1) // 5 AS batch FROM events)
+    SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS hour, batch::bigint AS batch, count(*) AS n FROM r GROUP BY 1, 2"""
+)
+def micro_batches(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("ts", "event_id", F.date_trunc("hour", "ts").alias("hour"))
+    return reassembly.micro_batches(rows, 5, ["hour"], ["ts", "event_id"]).groupBy(_text("hour").alias("hour"), F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"))
+
+
+# --- correction --------------------------------------------------------------------------------------------------
+
+
+def _sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes with counts by type and their place."""
+    return windows.sequenced(windows.wide_counts(table(spark, sf_dir, "events"), EVENT_TYPES, "event_type", "ts"))
+
+
+def _controls(sequenced: DataFrame) -> DataFrame:
+    """A control text after each CONTROL_EVERY-th window: of each of the last ten windows its events but errors, and its errors
+    and age."""
+    first = (F.ceil(F.col("win_seq") / CONTROL_EVERY) * CONTROL_EVERY).cast("long")
+    steps = F.filter(F.array(*[first + CONTROL_EVERY * k for k in range(windows.DELAY // CONTROL_EVERY)]), lambda c: c <= F.col("win_seq") + windows.DELAY - 1)
+    aimed = sequenced.withColumn("ctrl", F.explode(steps)).select("ctrl", "win_seq", _hits().alias("hits"), (F.col("error") + F.col("ctrl") - F.col("win_seq")).alias("misses"))
+    line = F.struct("win_seq", F.concat_ws(",", "hits", "misses").alias("line"))
+    return aimed.groupBy(F.col("ctrl").alias("win_seq")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("text"))
+
+
+def _hits() -> Column:
+    return F.col("click") + F.col("purchase") + F.col("signup") + F.col("view")
+
+
+_WINDOWS = f"""w AS (SELECT date_trunc('minute', ts) AS m, {_COUNTS}, count(*) FILTER (event_type <> 'error') AS h, row_number() OVER (ORDER BY date_trunc('minute', ts)) AS win_seq FROM events GROUP BY 1),
+    k AS (SELECT ctrl, win_seq - ctrl + 10 AS n, win_seq, h AS hits, error + ctrl - win_seq AS misses FROM (SELECT *, unnest([(win_seq + 4) // 5 * 5, (win_seq + 4) // 5 * 5 + 5]) AS ctrl FROM w) WHERE ctrl <= win_seq + 9),
+    c AS (SELECT ctrl FROM k GROUP BY 1 HAVING count(*) = 10),
+    a AS (SELECT k.* FROM k JOIN c USING (ctrl) WHERE ctrl <= (SELECT max(win_seq) FROM w)),
+    l AS (SELECT win_seq, arg_max(hits, ctrl) AS hits, arg_max(misses, ctrl) AS misses FROM a WHERE hits > 0 GROUP BY 1)"""
+
+
+@query(f"WITH {_WINDOWS} SELECT ctrl AS win_seq, n::int AS n, hits, misses FROM a")
+def control_rows(spark, sf_dir):
+    found = _sequenced(spark, sf_dir)
+    last = F.broadcast(found.agg(F.max("win_seq").alias("last")))  # one row
+    rows = files.control_rows(_controls(found)).join(last, F.col("win_seq") <= F.col("last"))
+    return rows.select("win_seq", "n", "hits", "misses")
+
+
+def _corrected(found: DataFrame) -> DataFrame:
+    rows = files.control_rows(_controls(found)).withColumn("ctrl_seq", F.col("win_seq"))
+    last = F.broadcast(found.agg(F.max("win_seq").alias("last")))  # one row
+    return windows.corrections(rows.join(last, F.col("win_seq") <= F.col("last")))
+
+
+_OUT = ", ".join(f'"{x}" AS "uncorrected_{x}Count", round((hits + misses)::double / hits * 1 * "{x}" / 34, 3) AS "{x}Count"' for x in EVENT_TYPES)
+
+
+@query(
+    f"""WITH {_WINDOWS} SELECT strftime(m, '%Y-%m-%d %H:%M:%S') AS minute, win_seq, hits, misses, (click + error + purchase + signup + view)::bigint AS "totalCount", {_OUT}
+    FROM w JOIN l USING (win_seq) WHERE win_seq <= (SELECT max(win_seq) FROM w) - 10"""
+)
+def positional_correction(spark, sf_dir):
+    """Control rows matched to the windows closed so many closes ago; the last correction counts."""
+    found = _sequenced(spark, sf_dir)
+    return windows.corrected(found, _corrected(found), EVENT_TYPES).withColumn("minute", _text("minute"))
+
+
+@query(f"WITH {_WINDOWS} SELECT win_seq, l.hits IS NOT NULL AND win_seq <= (SELECT max(win_seq) FROM w) - 10 AS emitted FROM w LEFT JOIN l USING (win_seq)")
+def emitted_only_corrected(spark, sf_dir):
+    found = _sequenced(spark, sf_dir)
+    out = windows.corrected(found, _corrected(found), EVENT_TYPES).select("win_seq", F.lit(True).alias("emitted"))
+    return found.select("win_seq").join(out, "win_seq", "left").select("win_seq", F.coalesce("emitted", F.lit(False)).alias("emitted"))
+
+
+@query(
+    f"""WITH w AS (SELECT {_M} AS minute, event_type, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT minute, sum(n) FILTER (event_type <> 'error') AS hits, coalesce(sum(n) FILTER (event_type = 'error'), 0) AS misses FROM w GROUP BY 1)
+    SELECT minute, event_type, hits::bigint AS hits, misses::bigint AS misses, round((hits + misses)::double / hits * 1 * n / 34, 3) AS concentration FROM w JOIN t USING (minute) WHERE hits > 0"""
+)
+def corrected_concentration(spark, sf_dir):
+    counts = windows.label_counts(table(spark, sf_dir, "events"), "event_type", "ts")
+    bad = F.col("event_type") == "error"
+    totals = counts.groupBy("minute").agg(F.coalesce(F.sum(F.when(~bad, F.col("n"))), F.lit(0)).alias("hits"), F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("misses")).filter("hits > 0")
+    both = counts.join(totals, "minute")
+    return both.select(_text("minute").alias("minute"), "event_type", "hits", "misses", scalars.concentration(F.col("hits"), F.col("misses"), F.lit(1), F.col("n")).alias("concentration"))
+
+
+@query()
+def window_payload_json(spark, sf_dir):
+    return windows.payloads(positional_correction(spark, sf_dir))
+
+
+# --- packets and names -------------------------------------------------------------------------------------------
+
+
+def _as_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a file: part 0 names it, its turns are the parts after."""
+    turns = table(spark, sf_dir, "conversations")
+    fixed = [F.col("conv_id").cast("int").alias("field"), F.col("conv_id").cast("decimal(20,0)").alias("unique_id")]
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp").alias("arrival")
+    total = turns.groupBy("conv_id").agg((F.max("turn") + 2).cast("int").alias("total_parts"))
+    body = turns.join(total, "conv_id").select(*fixed, (F.col("turn") + 1).cast("int").alias("part"), "total_parts", F.lit(P.TAG_BODY).alias("tag"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), at)
+    name = F.concat(F.lit("D:\\images\\conv-"), F.col("conv_id").cast("string"), F.lit(".tif"))
+    return body.unionByName(total.select(*fixed, F.lit(0).alias("part"), "total_parts", F.lit(P.TAG_NAME).alias("tag"), name.cast("binary").alias("body"), at))
+
+
+@query("SELECT 'conv-' || conv_id || '.tif' AS filename, string_agg(coalesce(text, ''), '' ORDER BY turn) AS payload FROM conversations GROUP BY conv_id")
+def reassemble_messages(spark, sf_dir):
+    return reassembly.reassembled(_as_packets(spark, sf_dir)).select("filename", F.decode("payload", "UTF-8").alias("payload"))
+
+
+@query("SELECT 'conv-' || conv_id || '.tif' AS filename, sum(octet_length(encode(coalesce(text, ''))))::bigint AS n_bytes FROM conversations GROUP BY conv_id HAVING count(*) FILTER ((conv_id + turn) % 7 = 0) = 0")
+def complete_messages_only(spark, sf_dir):
+    """With every packet lost whose conversation and turn add up to a multiple of seven."""
+    left = _as_packets(spark, sf_dir).filter("part = 0 or (field + part - 1) % 7 != 0")
+    return reassembly.reassembled(left).select("filename", F.octet_length("payload").cast("long").alias("n_bytes"))
+
+
+_NAME = "regexp_replace(replace(url, '\\', '/'), '^.*/', '')"
+
+
+@query(
+    f"""WITH u AS (SELECT {_NAME} AS name FROM pages)
+    SELECT CASE WHEN ends_with(name, '.tif') AND lower(name) <> 'background.tif' THEN 'image' WHEN name = 'HitsMisses.txt' THEN 'control' ELSE 'other' END AS route,
+    regexp_extract(name, '(\\.[^.]*)$', 1) AS extension, count(*) AS n FROM u GROUP BY 1, 2"""
+)
+def route_by_name(spark, sf_dir):
+    name = scalars.basename(F.col("url"))
+    return table(spark, sf_dir, "pages").groupBy(scalars.route(name).alias("route"), scalars.extension(name).alias("extension")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT p_name FROM part), s AS (SELECT p_name, left(p_name, 5) AS stem, (row_number() OVER (PARTITION BY left(p_name, 5) ORDER BY p_name) > 1)::int AS later FROM d)
+    SELECT p_name, CASE WHEN later = 0 THEN stem ELSE left(stem, 4) || (sum(later) OVER (PARTITION BY left(stem, 4) ORDER BY p_name ROWS UNBOUNDED PRECEDING))::bigint END AS key FROM s"""
+)
+def unique_labels(spark, sf_dir):
+    return labels.unique_key_column(table(spark, sf_dir, "part").select("p_name").distinct(), "p_name", 5)
+
+
+@query("SELECT p_partkey, CASE WHEN starts_with(p_name, 'a') THEN 'A' WHEN starts_with(p_name, 'b') THEN 'B' ELSE 'rest' END AS label_group FROM part")
+def label_groups(spark, sf_dir):
+    patterns = spark.createDataFrame([(i, *p) for i, p in enumerate(PATTERNS)], "rank int, pattern string, label_group string")
+    return joins.label_groups(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", patterns).select("p_partkey", "label_group")
+
+
+# --- measurements --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, round(2 * sqrt(p_size::double * 100 / pi()), 6) AS diameter FROM part")
+def equivalent_diameter(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(scalars.equivalent_diameter(F.col("p_size")), 6).alias("diameter"))
+
+
+@query("SELECT s_suppkey, round((s_suppkey % 90 + (s_suppkey % 60)::double / 60 + (s_suppkey * 7 % 60)::double / 3600) * CASE WHEN s_suppkey % 2 = 0 THEN -1 ELSE 1 END + 0.0::double, 9) AS latitude FROM supplier")
+def dms_to_decimal(spark, sf_dir):
+    k = F.col("s_suppkey")
+    degrees = scalars.dms_to_degrees(k % 90, k % 60, k * 7 % 60, F.when(k % 2 == 0, "S").otherwise("N"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(degrees, 9).alias("latitude"))
+
+
+@query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::int AS class FROM embeddings")
+def argmax_class(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", scalars.argmax(F.col("embedding")).alias("class"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::double - list_max(embedding)::double)) AS p FROM embeddings)
+    SELECT vec_id, round(list_max(p) / list_sum(p), 6) AS top_score FROM e"""
+)
+def softmax_scores(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.array_max(scalars.softmax(F.col("embedding"))), 6).alias("top_score"))
+
+
+@query("SELECT vec_id, round(embedding[1]::double * 0.2125::double + embedding[2]::double * 0.7154::double + embedding[3]::double * 0.0721::double, 6) AS gray FROM embeddings")
+def gray_weight(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(scalars.gray(F.col("embedding")), 6).alias("gray"))
+
+
+@query(
+    """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x::double) * 1000) % 256) AS v FROM embeddings)
+    SELECT vec_id, list_sum(list_transform(list_zip(v, list_reverse(v)), lambda z: greatest(0.0::double, least(255.0::double, z[1] - (255.0::double - z[2])))))::bigint AS total FROM p"""
+)
+def background_subtract(spark, sf_dir):
+    """Pixels made of embeddings, their reverse as the background."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("v", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000).cast("double") % 256))
+    left = scalars.less_background(F.col("v"), F.reverse("v"))
+    return rows.select("vec_id", F.aggregate(left, F.lit(0.0), lambda a, x: a + x).cast("long").alias("total"))
+
+
+@query(
+    """WITH p AS (SELECT label, embedding[1]::double AS x, embedding[2]::double AS y FROM embeddings)
+    SELECT a.label, (SELECT count(*) FROM p c WHERE c.label = a.label) AS n_points, round(max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 9) AS max_distance FROM p a JOIN p b ON a.label = b.label GROUP BY a.label"""
+)
+def max_pair_distance(spark, sf_dir):
+    found = joins.widest_pairs(table(spark, sf_dir, "embeddings"), "label", F.get("embedding", 0), F.get("embedding", 1))
+    return found.withColumn("max_distance", F.round("max_distance", 9))
+
+
+@F.pandas_udf(T.BinaryType())
+def _disc(radius: pd.Series, tone: pd.Series) -> pd.Series:
+    """A dark disc on white, and a row of white background after the file."""
+    y, x = np.mgrid[:128, :128]
+
+    def one(r, t):
+        pixels = np.full((128, 128, 3), 255, np.uint8)
+        pixels[(x - 64) ** 2 + (y - 64) ** 2 <= r * r] = t
+        return tiff.encode(pixels, "2024:01:01 00:00:00", ((50, 30, 0), "N", (4, 15, 36), "W")) + b"\xff" * 384
+
+    return pd.Series([one(r, t) for r, t in zip(radius, tone, strict=True)])
+
+
+@query()
+def image_measures(spark, sf_dir):
+    """Discs drawn with the radius of each part's size: background corrected, measured, placed and classified."""
+    few = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # small rows, much work on each
+    rows = few.select("p_partkey", _disc(F.col("p_size"), F.col("p_partkey") % 200).alias("raw"))
+    rows = rows.select("p_partkey", images.positioned("raw").alias("position"), images.background_corrected("raw").alias("payload"))
+    rows = rows.select("p_partkey", "position", images.measured("payload").alias("m"), images.classifier()("payload").alias("c"))
+    return rows.select("p_partkey", F.round("m.esd_1", 6).alias("esd_1"), F.round("m.esd_2", 6).alias("esd_2"), F.round("m.object_length", 6).alias("object_length"), F.round("position.latitude", 9).alias("latitude"), F.col("c.label").alias("label"))
