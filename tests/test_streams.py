@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -96,22 +97,14 @@ def test_stream_gives_what_batch_gives(spark, tmp_path):
         assert record == {c: pytest.approx(v, abs=0.0011) for c, v in want[k].items() if c not in ("minute", "win_seq")}
 
 
-class Refusing:
-    """Takes even keys at once, odd ones from the second round on."""
-
-    def __init__(self, folder, marker):
-        self.files, self.marker = publish.JsonFiles(folder), marker
-
-    def __call__(self, key, message):
-        import os
-
-        return (int(key) % 2 == 0 or os.path.exists(self.marker)) and self.files(key, message)
-
-
 def test_unsent_messages_are_sent_again(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(publish, "PAUSE", 0.0)
     spark.range(6).select(F.col("id").alias("k"), F.format_string('{"k":%d}', "id").alias("payload")).write.parquet(str(tmp_path / "in"))
-    transport = Refusing(str(tmp_path / "queue"), str(tmp_path / "up"))
+    take, marker = publish.JsonFiles(str(tmp_path / "queue")), str(tmp_path / "up")
+
+    def transport(key, message):  # odd keys are refused until the marker is there
+        return (int(key) % 2 == 0 or os.path.exists(marker)) and take(key, message)
+
     stream = spark.readStream.schema("k long, payload string").parquet(str(tmp_path / "in"))
     publish.published(stream, "k", str(tmp_path / "box"), transport, str(tmp_path / "c"), availableNow=True).awaitTermination(120)
     assert sorted(p.name for p in (tmp_path / "queue").iterdir()) == ["0.json", "2.json", "4.json"]
