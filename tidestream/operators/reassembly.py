@@ -32,13 +32,13 @@ def reassembled(packets: DataFrame) -> DataFrame:
     whole = files.filter(F.size("parts") >= F.col("total"))
     name = F.get(F.filter("parts", lambda p: p["tag"] == P.TAG_NAME), 0)["body"]
     body = F.filter("parts", lambda p: (p["part"] >= 1) & (p["part"] < F.col("total")))
-    return whole.select(scalars.basename(F.decode(name, "US-ASCII")).alias("filename"), _joined(body).alias("payload"), "arrival")
+    return whole.select(scalars.basename(name.cast("string")).alias("filename"), _joined(body).alias("payload"), "arrival")
 
 
 def routed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Particle images, and control texts (text, arrival)."""
     marked = files.withColumn("__route", scalars.route(F.col("filename")))
-    control = marked.filter("__route = 'control'").select(F.decode("payload", "UTF-8").alias("text"), "arrival")
+    control = marked.filter("__route = 'control'").select(F.col("payload").cast("string").alias("text"), "arrival")
     return marked.filter("__route = 'image'").drop("__route"), control
 
 
