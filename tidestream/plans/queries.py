@@ -86,7 +86,8 @@ def delayed_windows(spark, sf_dir):
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS \"window\", count(*) AS images, round(count(*)::double / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::double), 9) AS rate FROM events GROUP BY 1")
 def window_rate(spark, sf_dir):
-    return windows.rates(table(spark, sf_dir, "events"), "ts", "hour").withColumns({"window": _text("window"), "rate": F.round("rate", 9)})
+    rate = F.coalesce(F.round("rate", 9), F.lit(float("inf")))  # an hour of one instant: the operator gives null, a quotient by zero seconds is infinite
+    return windows.rates(table(spark, sf_dir, "events"), "ts", "hour").withColumns({"window": _text("window"), "rate": rate})
 
 
 @query(
