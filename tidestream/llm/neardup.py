@@ -30,8 +30,8 @@ PERCENT = 80
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Share of agreeing slots from which a pair in a bucket with several components is verified: six standard deviations below 0.8.
 SKETCH_LEAST = 0.63
-#: Shingles that the signature kernel takes at once.
-CHUNK_SHINGLES = 100_000
+#: Shingles that the signature and comparison kernels take at once.
+CHUNK_SHINGLES = 25_000
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -140,14 +140,16 @@ def _linked(batches, percent: int):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked, by the whole sets of their texts. pairs is checkpointed."""
+    """Links (a, b) that connect what the linked pairs connect, found by the whole sets of their texts. pairs is checkpointed.
+
+    Each task unites its links at once, so a task needs one Python worker, not one for each of two steps."""
     wanted = pairs.select(F.col("a").alias("__id")).union(pairs.select(F.col("b").alias("__id"))).distinct()
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__id"), "left_semi")
     sets = C.checkpointed(texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, codes binary"))
     first = sets.select(F.col("doc_id").alias("a"), F.col("codes").alias("x"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("codes").alias("y"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(lambda it: _linked(it, percent), "a long, b long")
+    return C.checkpointed(both.mapInArrow(lambda it: _union(_linked(it, percent)), "u long, v long").toDF("a", "b"))
 
 
 def _union(batches):
@@ -207,7 +209,7 @@ def _compared(t: pa.Table, percent: int, least: float):
             near = near[(sketch[near] == sketch[i]).mean(1) >= least]
         if len(near):
             near = near[(bands[near] == bands[i]).argmax(1) == place]
-        for x, y in C.pieces(np.concatenate(([0], np.cumsum(n[near]))), BLOCK_SHINGLES):
+        for x, y in C.pieces(np.concatenate(([0], np.cumsum(n[near]))), CHUNK_SHINGLES):
             some = near[x:y]
             codes = np.concatenate([sets[j] for j in some])
             at = np.minimum(np.searchsorted(sets[i], codes), n[i] - 1)
@@ -260,7 +262,7 @@ def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows:
     bucket = band.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     inside = C.checkpointed(band.join(bucket, "key"))
     pairs = C.checkpointed(inside.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    links = _verified(pairs, docs, size, percent).select("a", "b")
+    links = _verified(pairs, docs, size, percent)
     copies = same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.union(copies))
     more = C.checkpointed(_across(inside.filter("members > 2"), found, node, docs, size, percent, block))
