@@ -61,6 +61,39 @@ def test_borderline_family_of_many_members(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def brute_repeated(rows, size=2, percent=80):
+    """Components of rows with repeated doc_ids: a doc_id is linked by what any of its rows is linked by."""
+    sets = [(d, shingles(t, size)) for d, t in rows]
+    parent = {d: d for d, _ in sets}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
+            ra, rb = find(a), find(b)
+            parent[max(ra, rb)] = min(ra, rb)
+    return sorted((d, len(s), find(d), find(d) == d) for d, s in sets)
+
+
+def test_rows_of_one_doc_id_that_copy_and_differ(spark):
+    words = lambda c, n=40: [f"{c}{i}" for i in range(n)]
+    a, b, near = " ".join(words("a")), " ".join(words("b")), " ".join([*words("b")[:-1], "z"])
+    rows = [(3, a), (5, a), (5, b), (9, near), *((d, b) for d in range(11, 40))]
+    assert run(spark, rows) == brute_repeated(rows)
+    assert {r[0]: r[2] for r in run(spark, rows)}[9] == 3
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_repeated_doc_ids_match_brute_force(spark, block):
+    for seed in (11, 12):
+        rnd = random.Random(seed)
+        rows = corpus(seed, families=10, per=12, rate=(0.0, 0.07))
+        rows = [(rnd.randrange(70), t) for _, t in rows]
+        rows += [(rnd.randrange(70, 75), t) for _, t in rnd.sample(rows, 20)] + [(80, None), (80, ""), (80, rows[0][1])]
+        assert run(spark, rows, block=block) == brute_repeated(rows)
+
+
 def test_long_text_and_empty_table(spark):
     long = " ".join(f"a{i % 7919} b{i % 13}" for i in range(60_000))
     rows = [(5, long), (3, long + " tail"), (9, "short one")]

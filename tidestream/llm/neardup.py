@@ -2,7 +2,8 @@
 
 1. Each task hashes its documents' shingles and makes a signature of ROWS * BANDS slots (see `super_minhash`). Documents
    with the same set form a class that goes on as its smallest doc_id; the class is counted before it is shuffled.
-2. Stars: of each band's bucket every member is held against the smallest one only: as many pairs as members.
+   What goes on is the set, told apart by its hash: a doc_id with several different sets goes on with each it stands for.
+2. Stars: of each band's bucket every member is held against the one of least hash only: as many pairs as members.
    Pairs are verified on their whole sets; the links make components by alternating min-label steps.
 3. The rest: only buckets that still hold several components go on. Their members travel with their sets, in blocks of
    BLOCK members or BLOCK_SHINGLES; a task takes a pair of blocks and skips pairs of one component, those that share
@@ -120,7 +121,8 @@ def _sets(batches, size: int):
         data, offsets = C.text_buffer(batch.column(1))
         for i, j in C.pieces(offsets):
             sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "codes"])
+            high = pa.array([C.mix(s).sum(dtype=np.uint64).view(np.int64) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), high, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "high", "codes"])
 
 
 def _linked(batches, percent: int):
@@ -140,15 +142,16 @@ def _linked(batches, percent: int):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect what the linked pairs connect, found by the whole sets of their texts. pairs is checkpointed.
+    """Links (a, b) that connect what the linked pairs connect, found by the whole sets of their texts. pairs is checkpointed;
+    high_a and high_b tell which of the sets of a and of b are meant, as rows of one doc_id can differ.
 
     Each task unites its links at once, so a task needs one Python worker, not one for each of two steps."""
     wanted = pairs.select(F.col("a").alias("__id")).union(pairs.select(F.col("b").alias("__id"))).distinct()
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__id"), "left_semi")
-    sets = C.checkpointed(texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, codes binary"))
-    first = sets.select(F.col("doc_id").alias("a"), F.col("codes").alias("x"))
-    second = sets.select(F.col("doc_id").alias("b"), F.col("codes").alias("y"))
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
+    sets = C.checkpointed(texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, high long, codes binary").filter("octet_length(codes) > 0"))
+    first = sets.select(F.col("doc_id").alias("a"), F.col("high").alias("high_a"), F.col("codes").alias("x"))
+    second = sets.select(F.col("doc_id").alias("b"), F.col("high").alias("high_b"), F.col("codes").alias("y"))
+    both = pairs.join(first, ["a", "high_a"]).join(second, ["b", "high_b"]).select("a", "b", "x", "y")
     return C.checkpointed(both.mapInArrow(lambda it: _union(_linked(it, percent)), "u long, v long").toDF("a", "b"))
 
 
@@ -255,13 +258,14 @@ def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows:
     full = features.filter("n_shingles > 0")
     first = full.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     many = first.filter("copies > 1").drop("copies")
-    same = C.checkpointed(full.select("doc_id", *sets).join(many, sets).filter("doc_id != rep").select("doc_id", "rep").distinct())
-    node = full.join(same, "doc_id", "left_anti").dropDuplicates(["doc_id", *sets])
+    same = C.checkpointed(full.select("doc_id", *sets).join(many, sets).filter("doc_id != rep").distinct())
+    node = full.join(same, ["doc_id", *sets], "left_anti").dropDuplicates(["doc_id", *sets])  # a row for each distinct set, under its rep
     key = F.explode("bands").alias("key")
-    band = node.select(F.col("doc_id").alias("node"), key)
-    bucket = band.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    band = node.select(F.col("doc_id").alias("node"), "high", key)
+    bucket = band.groupBy("key").agg(F.min("high").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     inside = C.checkpointed(band.join(bucket, "key"))
-    pairs = C.checkpointed(inside.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    pairs = inside.filter("high != pivot").select(F.col("pivot").alias("high_a"), F.col("node").alias("b"), F.col("high").alias("high_b")).distinct()
+    pairs = C.checkpointed(pairs.join(node.select(F.col("high").alias("high_a"), F.col("doc_id").alias("a")), "high_a").filter("a != b"))
     links = _verified(pairs, docs, size, percent)
     copies = same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.union(copies))
@@ -278,16 +282,16 @@ def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows:
 def _across(inside: DataFrame, found: DataFrame, node: DataFrame, docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
     """Links (a, b) between the components in `found` that meet in buckets of more than one."""
     label = found.withColumnRenamed("node", "__node")
-    members = inside.select("key", "node").join(label, F.col("node") == F.col("__node"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    members = inside.select("key", "node", "high").join(label, F.col("node") == F.col("__node"), "left").select("key", "node", "high", F.coalesce("component", "node").alias("component"))
     several = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    members = C.checkpointed(members.join(several, "key").join(node.select(F.col("doc_id").alias("node"), "n_shingles"), "node"))
+    members = C.checkpointed(members.join(several, "key").join(node.select(F.col("doc_id").alias("node"), "high", "n_shingles"), ["node", "high"]))
     texts = docs.select("doc_id", "text").join(members.select(F.col("node").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
-    sets = texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, codes binary").filter("octet_length(codes) > 0").withColumnRenamed("doc_id", "node")
-    whole = sets.join(node.select(F.col("doc_id").alias("node"), "sketch", "bands"), "node")
+    sets = texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, high long, codes binary").filter("octet_length(codes) > 0").withColumnRenamed("doc_id", "node")
+    whole = sets.join(node.select(F.col("doc_id").alias("node"), "high", "sketch", "bands"), ["node", "high"])
     counts = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node", "high"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = members.join(whole, "node").select("*", other).select(
+    tasks = members.join(whole, ["node", "high"]).select("*", other).select(
         F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
         *("key", "node", "component"),
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
