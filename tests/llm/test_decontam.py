@@ -58,3 +58,11 @@ def test_matches_equal_brute_force(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, _ in docs if d not in {w[0] for w in want})
     assert decontam.matches(a.limit(0), b).count() == 0
     assert decontam.matches(a, b.limit(0)).count() == 0
+
+
+def test_rows_of_one_doc_id_are_judged_each(spark):
+    item = "which river runs through the old town of the two bridges"
+    rows = [(None, f"so {item} then", 1), (None, "nothing of it", 2), (4, item, 3), (4, "clean words here", 4), (5, None, 5)]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontam.without_matches(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(2), items)
+    assert sorted((tuple(r) for r in left.collect()), key=lambda r: r[2]) == [rows[1], rows[3], rows[4]]

@@ -48,3 +48,13 @@ def test_bad_hosts_take_their_documents_with_them(spark, monkeypatch):
     assert sorted(r.doc_id for r in quality.judged(df).filter("kept").collect()) == want
     empty = quality.judged(df.limit(0))
     assert empty.count() == 0
+
+
+def test_rows_of_one_doc_id_are_judged_each(spark, monkeypatch):
+    good, bad = " ".join(f"w{i}" for i in range(30)), "a b"
+    rows = [(None, good, "s", "h", 1), (None, bad, "s", "h", 2), (None, good, None, None, 3), (7, good, "s", None, 4), (7, bad, "s", "h", 5), (8, None, "s", "h", 6)]
+    rows += [(100 + i, good, "s", "h", 10 + i) for i in range(20)]
+    for most in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        kept = quality.keep_good(spark.createDataFrame(rows, SCHEMA).repartition(3))
+        assert sorted((tuple(r) for r in kept.collect()), key=lambda r: r[4]) == [r for r in rows if r[1] == good]

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidestream.llm import common as C
+
 #: Edits allowed for a character of an item, and items of which one block's automaton is made.
 RATE, BLOCK_ITEMS = 0.05, 5000
 
@@ -133,6 +135,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block_items:
 
 
 def without_matches(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs that hold no item. Rows with a null doc_id stay: they cannot be told apart. Columns stay."""
-    found = matches(docs, items, **options).filter("doc_id is not null").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__doc"), "left_anti")
+    """docs that hold no item. Each row is judged by itself, whatever its doc_id: rows are numbered in a checkpoint. Columns stay."""
+    rows = C.checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = matches(rows.select(F.col("__row").alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("__found")).distinct()
+    return rows.join(found, F.col("__row") == F.col("__found"), "left_anti").drop("__row")

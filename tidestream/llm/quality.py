@@ -24,6 +24,7 @@ RULES = {
     "lines": "n_lines > 3 and 2 * n_dup_lines > n_lines",
 }
 BASE = ("short", "repeats")
+KEPT = "not base_failed and not host_rejected"
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -78,11 +79,13 @@ def judged(docs: DataFrame, host: str = "source") -> DataFrame:
     Null or blank text: no words, so base_failed. Documents without a host share one. Equal doc_ids are judged each."""
     rows = C.checkpointed(features(docs.select("doc_id", "text", F.col(host).alias("host"))).drop("text"))
     both = C.left_join_small(rows, C.checkpointed(host_verdicts(rows, "host")), "host", F.col("doc_id"))
-    kept = ~F.col("base_failed") & ~F.col("host_rejected")
-    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.greatest(*(f"rate_{r}" for r in RULES)).alias("host_rate"))
+    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.expr(KEPT).alias("kept"), F.greatest(*(f"rate_{r}" for r in RULES)).alias("host_rate"))
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """docs that are kept by `judged`; columns stay. Rows are judged by doc_id: of equal ones all must be kept."""
-    bad = judged(docs, host).filter(~F.col("kept")).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
+    """docs that are kept by `judged`; columns stay. Each row is judged by itself, whatever its doc_id: the columns travel
+    with the counts, in the checkpoint too."""
+    other = F.struct(*(c for c in docs.columns if c != "text")).alias("__row")
+    rows = C.checkpointed(features(docs.select(other, "text", F.col(host).alias("host"))))
+    both = C.left_join_small(rows, C.checkpointed(host_verdicts(rows, "host")), "host", F.col("__row"))
+    return both.filter(KEPT).select(*(F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns))
