@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Labelled pages, passes over them, and their seed.
-TRAINING_PAGES, PASSES, SEED = 160, 40, 11
+TRAINING_PAGES, PASSES, SEED = 240, 40, 11
 
 # --- DOM -----------------------------------------------------------------------------------------------------
 
@@ -32,11 +32,15 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 WALLS = frozenset("td th table body html".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_HINT = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([a-zA-Z][\w-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-# Parts of class, id and role that speak against and for content.
+_UNSEEN = re.compile(r"display:none|visibility:hidden")
+# Parts of class, id and role names that speak against and for content, and parts that say nothing by themselves.
 AGAINST = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside rail widget footer foot header masthead topbar cookie cookies consent gdpr notice popup modal overlay dialog alert newsletter subscribe subscription signup register login share sharing social related recommended recommendation recommendations trending popular more comment comments commentlist reply replies respond disqus discussion feedback search searchbox form pager pagination pages copyright legal disclaimer toolbar tags tagcloud complementary contentinfo".split())
 FOR = frozenset("article content post entry story body main text maincontent prose".split())
+PLAIN = frozenset("area bar big block bottom box button buttons center col column columns container desktop div footer global group image inner item items js left level line link links list mobile module news on outer page panel primary reader readers response responses right row secondary section site small slot stories sub thread title top unit user users view wide wrap wrapper".split())
+#: Elements that hold one piece of text: their id is a place to link to, so it says nothing.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption".split()) | INLINE
 
 
 class Node:
@@ -46,13 +50,58 @@ class Node:
         self.tag, self.parent, self.hint, self.size, self.linked, self.last = tag, parent, hint, 0, 0, ""
 
 
-def _hint(attributes: str) -> int:
-    """1: speaks for content, 2: against it, 0: neither or both."""
-    if "=" not in attributes:
-        return 0
-    parts = {p.lower() for m in _HINT.finditer(attributes) for p in _PART.findall(m[2] or m[3] or m[4] or "")}
-    against = bool(parts & AGAINST)
-    return 2 if against else int(bool(parts & FOR))
+def _hint(tag: str, attributes: str) -> int:
+    """3: not shown, 2: a name speaks against content, 1: for it, 0: neither. A name counts if all its parts are known ones."""
+    out = 0
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSEEN.search(re.sub(r"\s", "", value.lower())):
+            return 3
+        if name in ("class", "role") or name == "id" and tag not in LEAVES:
+            for word in value.split():
+                parts = {x.lower() for x in _PART.findall(word) if len(x) > 1}
+                if parts <= AGAINST | FOR | PLAIN:
+                    out = max(out, 2 if parts & AGAINST else int(bool(parts & FOR)))
+    return out
+
+
+def _tags(page: str) -> tuple[list[tuple[int, int, bool, str, str]], dict[int, int]]:
+    """(begin, end, whether it closes, name, attributes) of each tag, comments and raw elements having no name; and where each silent
+    element ends, by the place of its start tag in the list: one that closes itself, or isn't closed before the element around it is,
+    holds nothing."""
+    out: list[tuple[int, int, bool, str, str]] = []
+    ends: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    lost: set[str] = set()  # raw elements that no end tag follows
+    at = 0
+    for m in _TOKEN.finditer(page):
+        if m.start() < at:
+            continue
+        at = m.end()
+        closing, name, attributes = bool(m[1] or m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+        if name in RAW and not closing and not attributes.endswith("/"):
+            end = None if name in lost else re.compile(f"</{name}(?![a-zA-Z0-9])[^>]*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            else:
+                lost.add(name)
+                at = len(page) if name in ("script", "style") else at
+        if name in RAW or name == "head":
+            name = ""
+        if closing and count.get(name):
+            while True:
+                last, k = open_.pop()
+                count[last] -= 1
+                if last == name:
+                    break
+            if name in SILENT:
+                ends[k] = len(out)
+        elif name and not closing and name not in INLINE and name not in VOID and not (name in SILENT and attributes.endswith("/")):
+            open_.append((name, len(out)))
+            count[name] = count.get(name, 0) + 1
+        out.append((m.start(), at, closing, name, attributes))
+    return out, ends
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -61,7 +110,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     stack = [0]
     inline: list[str] = []  # inline elements that are nodes of their own, by name
     blocks: list[tuple[int, list[str]]] = []
-    at, silent, linked = 0, 0, False
+    at, linked = 0, False
 
     def add(text: str) -> None:
         if "&" in text:
@@ -80,38 +129,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes[n].linked += size
 
     open_block = [False]
-    skipping = ""
-    for m in _TOKEN.finditer(page):
-        begin = m.start()
+    tags, ends = _tags(page)
+    for k, (begin, end, closing, name, attributes) in enumerate(tags):
         if begin < at:
             continue
-        if begin > at and not silent:
+        if begin > at:
             add(page[at:begin])
-        at = m.end()
-        name = m[2] or m[5]
+        at = end
         if not name:
             continue
-        closing, name, attributes = m[1] or m[4], name.lower(), m[3] or m[6] or ""
-        if silent:
-            if name == skipping:
-                silent += -1 if closing else int(not attributes.endswith("/"))
-            continue
         if name in SILENT:
-            if closing:
-                continue
-            if name in RAW:
-                end = re.compile(f"</{name}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            elif name != "head":
-                silent, skipping = 1, name
+            at = tags[ends[k]][1] if k in ends else end
             continue
         if name in INLINE:
             if name == "br":
                 add(" ")
             elif name == "a":
                 linked = not closing
-            if not closing and name not in VOID and attributes and _hint(attributes) == 2:
-                nodes.append(Node(name, stack[-1], 2))
+            if not closing and name not in VOID and attributes and _hint(name, attributes) >= 2:
+                nodes.append(Node(name, stack[-1], _hint(name, attributes)))
                 stack.append(len(nodes) - 1)
                 inline.append(name)
                 open_block[0] = False
@@ -143,9 +179,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if tag in wall:
                     break
         if name not in VOID:
-            nodes.append(Node(name, stack[-1], _hint(attributes) if attributes else 0))
+            nodes.append(Node(name, stack[-1], _hint(name, attributes) if attributes else 0))
             stack.append(len(nodes) - 1)
-    if at < len(page) and not silent:
+    if at < len(page):
         add(page[at:])
     out = []
     for n, parts in blocks:
@@ -161,8 +197,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 _KINDS = ["p", "h1", "h2 h3 h4 h5 h6", "li dt dd", "td th", "blockquote pre figcaption", "article", "main", "nav menu", "header", "footer", "aside", "form fieldset", "section", "div", "ul ol dl table tbody thead tr figure", "html body #"]
 KIND = {tag: i for i, tags in enumerate(_KINDS) for tag in tags.split()}
 _OTHER = len(_KINDS)
-_FOR, _AGAINST, _LINKS, _EMPTY, _SHORT, _MIDDLE, _LONG, _STOP = range(_OTHER + 1, _OTHER + 9)
-FEATURES = _OTHER + 9
+_FOR, _AGAINST, _UNSHOWN, _LINKS, _EMPTY, _SHORT, _MIDDLE, _LONG, _STOP = range(_OTHER + 1, _OTHER + 10)
+FEATURES = _OTHER + 10
 #: Kinds of edges: from what holds a whole page; to a part that name or hint set apart; from what holds one thing; others.
 EDGES = 4
 _APART = frozenset("nav menu footer aside form fieldset".split())
@@ -174,7 +210,7 @@ def features(node: Node) -> list[int]:
     size = node.size
     out = [KIND.get(node.tag, _OTHER), _EMPTY if not size else _SHORT if size < 25 else _MIDDLE if size < 100 else _LONG]
     if node.hint:
-        out.append(_FOR if node.hint == 1 else _AGAINST)
+        out.append((_FOR, _AGAINST, _UNSHOWN)[node.hint - 1])
     if size and 2 * node.linked > size:
         out.append(_LINKS)
     if node.last and node.last in ".!?…。:;\"”»)":
@@ -185,7 +221,7 @@ def features(node: Node) -> list[int]:
 def edge(parent: Node, child: Node) -> int:
     if parent.tag in _WHOLE:
         return 0
-    if child.hint == 2 or child.tag in _APART:
+    if child.hint >= 2 or child.tag in _APART:
         return 1
     return 2 if parent.tag in _ONE or parent.hint else 3
 
@@ -264,7 +300,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int], str]]:
                 tag("div", lambda: tag("ul", items), 0, f' class="{rnd.choice(["navbar", "menu", "topNav", "breadcrumbs"])}"')
 
         def junk():
-            kind = rnd.randrange(9)
+            kind = rnd.randrange(10)
             text = rnd.choice([prose, sentence, title])
             if kind == 0:
                 tag("div", text(), 0, f' class="{rnd.choice(["ad", "ads", "advert box", "sponsored", "promo-banner"])}"')
@@ -282,8 +318,10 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int], str]]:
                 menu()
             elif kind == 7:
                 tag("div", lambda: [tag("p", text()) for _ in range(2)], 0, f' class="{rnd.choice(["sidebar", "side column", "notice"])}"')
-            else:
+            elif kind == 8:
                 tag("aside", text())
+            else:
+                tag(rnd.choice(["div", "p", "section"]), text(), 0, rnd.choice([" hidden", ' style="display: none"', ' aria-hidden="true"', ' class="x" hidden=""']))
 
         def comments():
             name = rnd.choice(["section", "div", "ol"])
@@ -299,7 +337,9 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int], str]]:
             if rnd.random() < 0.25:
                 first, _, rest = text.partition(" ")
                 text = f"<b>{first}</b> {link()} {rest}"
-            tag("p", text, 1)
+            tag("p", text, 1, f' class="{rnd.choice([word(), "lead", "more-about-" + word(), "comment-worthy", "ad-hoc", "p-1", "has-notice", "text"])}"' if rnd.random() < 0.2 else "")
+
+        slug = lambda: f' id="{rnd.choice([word(), "more-tags", "comments", "related", word() + "-" + word()])}"' if rnd.random() < 0.3 else ""
 
         def content(own):
             if rnd.random() < 0.85:
@@ -309,7 +349,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int], str]]:
                 if x < 0.62:
                     paragraph()
                 elif x < 0.72:
-                    tag(rnd.choice(["h2", "h3"]), title(), 1)
+                    tag(rnd.choice(["h2", "h3"]), title(), 1, slug())
                 elif x < 0.80:
                     tag(rnd.choice(["ul", "ol"]), lambda: [tag("li", rnd.choice([sentence, title])(), 1) for _ in range(rnd.randint(2, 5))], 1)
                 elif x < 0.84:
@@ -359,7 +399,10 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int], str]]:
                 if rnd.random() < 0.85:
                     site_footer()
 
-            tag("div", parts, 0, rnd.choice(["", ' id="page"', ' class="wrapper"'])) if rnd.random() < 0.35 else parts()
+            def wrapped(depth):
+                tag("div", lambda: wrapped(depth - 1), 0, rnd.choice(["", "", ' id="page"', ' class="wrapper"'])) if depth else parts()
+
+            wrapped(rnd.choice([0, 0, 0, 1, 1, 2, 5]))
 
         tag("html", lambda: [html.append(f"<head><title>{title()}</title><script>var x='<p>';</script></head>"), tag("body", body)])
         return "<!DOCTYPE html>" + "".join(html), labels, "\n".join(kept)
