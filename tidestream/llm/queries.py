@@ -1,4 +1,4 @@
-"""The operators' queries over the driver's tables, and the SQL of those that SQL can express."""
+"""The operators' queries over the driver's tables."""
 
 from __future__ import annotations
 
@@ -8,14 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestream.llm import chat, decontam, htmltree, licences, mixing, neardup, quality, substring, tokens, warc
+from tidestream.llm import chat, decontam, htmltree, licences, mixing, neardup, oracles, quality, substring, tokens, warc
 from tidestream.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(read(spark, sf_dir, "documents"))
+    rows = quality.judged(read(spark, sf_dir, "documents"))
+    return rows.withColumn("host_rate", F.round("host_rate", 6))
 
 
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,8 @@ def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(read(spark, sf_dir, "documents"))
+    rows = mixing.mixed(read(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 9) for c in ("first_position", "second_position")})
 
 
 def licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +76,4 @@ QUERIES: dict[str, Query] = {
     "op10_licence_scans": licence_scans,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
