@@ -50,15 +50,16 @@ def corpus(seed, families=12, per=10, rate=(0.0, 0.1)):
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_components_match_brute_force(spark, block):
+@pytest.mark.parametrize("sizes", [{}, {"block": 3, "visitors": 2}])
+def test_components_match_brute_force(spark, sizes):
     rows = corpus(1) + [(2000, None), (2001, ""), (2002, " \n"), (2003, "One"), (2004, "one"), (2005, "ONE two"), (2006, "one Two")]
-    assert run(spark, rows, block=block) == brute(rows)
+    assert run(spark, rows, **sizes) == brute(rows)
 
 
-def test_borderline_family_of_many_members(spark):
+@pytest.mark.parametrize("sizes", [{}, {"block": 8, "visitors": 5}])
+def test_borderline_family_of_many_members(spark, sizes):
     rows = corpus(7, families=2, per=80, rate=(0.02, 0.07))
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, **sizes) == brute(rows)
 
 
 def brute_repeated(rows, size=2, percent=80):
@@ -84,14 +85,14 @@ def test_rows_of_one_doc_id_that_copy_and_differ(spark):
     assert {r[0]: r[2] for r in run(spark, rows)}[9] == 3
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_repeated_doc_ids_match_brute_force(spark, block):
+@pytest.mark.parametrize("sizes", [{}, {"block": 3, "visitors": 2}])
+def test_repeated_doc_ids_match_brute_force(spark, sizes):
     for seed in (11, 12):
         rnd = random.Random(seed)
         rows = corpus(seed, families=10, per=12, rate=(0.0, 0.07))
         rows = [(rnd.randrange(70), t) for _, t in rows]
         rows += [(rnd.randrange(70, 75), t) for _, t in rnd.sample(rows, 20)] + [(80, None), (80, ""), (80, rows[0][1])]
-        assert run(spark, rows, block=block) == brute_repeated(rows)
+        assert run(spark, rows, **sizes) == brute_repeated(rows)
 
 
 def test_long_text_and_empty_table(spark):

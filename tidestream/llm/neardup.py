@@ -1,14 +1,17 @@
 """Near duplicates: SuperMinHash signatures, banding, verification on whole shingle sets, union-find grouping.
 
 1. Each task hashes its documents' shingles and makes a signature of ROWS * BANDS slots (see `super_minhash`). Documents
-   with the same set form a class that goes on as its smallest doc_id; the class is counted before it is shuffled.
-   What goes on is the set, told apart by its hash: a doc_id with several different sets goes on with each it stands for.
-2. Stars: of each band's bucket every member is held against the one of least hash only: as many pairs as members.
-   Pairs are verified on their whole sets; the links make components by alternating min-label steps.
-3. The rest: only buckets that still hold several components go on. Their members travel with their sets, in blocks of
-   BLOCK members or BLOCK_SHINGLES; a task takes a pair of blocks and skips pairs of one component, those that share
-   an earlier bucket and those whose signatures agree in less than SKETCH_LEAST of the slots. It verifies the others
-   at once and unites what it links, so it sends on fewer links than it has members, however many pairs are close.
+   with the same set form a class that goes on as its smallest doc_id, its node, in one row; copies rejoin their class at the end
+   and take no part in the rounds between.
+2. Stars: of each band's bucket every member is held against the one of least hash only: as many pairs as members. Pairs
+   whose signatures agree in less than SKETCH_LEAST of the slots are left; the others are verified on their whole sets, and
+   the links make components by alternating min-label steps.
+3. The rest: only buckets that still hold several components go on. Each of their members has one home, a block of about BLOCK
+   members or BLOCK_SHINGLES in its largest bucket; a component that fills blocks has blocks of its own. For each two blocks that
+   meet in a bucket and hold different components, the members of the smaller one visit the larger: once, in however many buckets
+   they meet. A task holds a block and takes its visitors one by one, VISITORS of them at most; it skips pairs of one component
+   and those whose signatures agree too little, verifies the others at once and unites what it links. So a large component and a
+   few strays cost a set for each member and some for each stray, and a task sends on fewer links than it has members.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^ROWS)^BANDS, 1.2e-7; shingles are told apart by
 64-bit hashes.
@@ -27,9 +30,9 @@ from tidestream.llm import common as C
 ROWS, BANDS, SHINGLE = 5, 40, 2
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Members of a bucket (or their shingles) that one task compares with as many others.
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: Share of agreeing slots from which a pair in a bucket with several components is verified: six standard deviations below 0.8.
+#: Members of a block, or their shingles, and visitors of a block that one task takes.
+BLOCK, BLOCK_SHINGLES, VISITORS = 1024, 2_000_000, 8192
+#: Share of agreeing slots from which a pair is verified: six standard deviations below 0.8.
 SKETCH_LEAST = 0.63
 #: Shingles that the signature and comparison kernels take at once.
 CHUNK_SHINGLES = 25_000
@@ -147,7 +150,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
     Each task unites its links at once, so a task needs one Python worker, not one for each of two steps."""
     wanted = pairs.select(F.col("a").alias("__id")).union(pairs.select(F.col("b").alias("__id"))).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__id"), "left_semi")
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__id"), "left_semi").distinct()
     sets = C.checkpointed(texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, high long, codes binary").filter("octet_length(codes) > 0"))
     first = sets.select(F.col("doc_id").alias("a"), F.col("high").alias("high_a"), F.col("codes").alias("x"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("high").alias("high_b"), F.col("codes").alias("y"))
@@ -180,72 +183,147 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes in links (two columns) but the least of each component.
 
     Union-find within each partition, then rounds of large-star and small-star steps, checkpointed, till every link
-    goes from a node to its component's least."""
+    goes from a node to its component's least. Minima are checkpointed before they are joined: both sides of the join are
+    plain shuffles then, so that Spark can split the partition of a node with many links."""
     u, v = links.columns
     edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u != v")
     edges = C.checkpointed(edges.mapInArrow(_union, "u long, v long"))
     while not edges.join(edges.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty() or not edges.groupBy("u").agg(F.min("v").alias("x"), F.max("v").alias("y")).filter("x < y").isEmpty():
         around = edges.union(edges.select("v", "u"))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = around.join(least, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+        least = C.checkpointed(around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
+        large = C.checkpointed(around.join(least, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = C.checkpointed(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"))
         small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = C.checkpointed(small.select("e.u", "e.v").filter("u != v").distinct().mapInArrow(_union, "u long, v long").distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _compared(t: pa.Table, percent: int, least: float):
-    """Links (a, b) between the components of two blocks of a bucket, or of one block: enough to connect all that are linked."""
-    node, side = (t.column(c).to_numpy() for c in ("node", "side"))
-    comp = np.unique(t.column("component").to_numpy(), return_inverse=True)[1]
-    same_block = bool(t.column("same")[0].as_py())
-    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-    place = int((bands[0] == t.column("key")[0].as_py()).argmax())
-    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("codes")]
-    n = np.array([len(x) for x in sets])
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same_block else 1))
-    for i in left.tolist():
-        near = right[(comp[right] != comp[i]) & (node[right] > node[i] if same_block else True)]
-        near = near[100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i])]
-        if len(near):
-            near = near[(sketch[near] == sketch[i]).mean(1) >= least]
+def _alike(batches, least: float):
+    """Of (a, high_a, b, high_b, x, y) the pairs whose sketches x and y agree in enough slots, without these."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (4, 5))
+        yield batch.select([0, 1, 2, 3]).filter(pa.array((x == y).mean(1) >= least if len(x) else [], pa.bool_()))
+
+
+class _Block:
+    """A block's members at home, and how their components have grown together."""
+
+    def __init__(self, rows: pa.Table):
+        self.node, self.label = rows.column("node").to_numpy(), rows.column("component").to_numpy().copy()
+        self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(self.node), -1)
+        self.sets = [np.frombuffer(x, np.uint64) for x in rows.column("codes").to_pylist()]
+        self.n = np.array([len(x) for x in self.sets])
+        self.became: dict[int, int] = {}
+
+    def links(self, node: int, component: int, sketch: np.ndarray, codes: np.ndarray, first: int, percent: int, least: float):
+        """Links (a, b) of a node to members from `first` on: one for each other component that it turns out to join."""
+        while component in self.became:
+            component = self.became[component]
+        near = first + np.flatnonzero(self.label[first:] != component)
+        near = near[100 * np.minimum(self.n[near], len(codes)) >= percent * np.maximum(self.n[near], len(codes))]
         if len(near):
-            near = near[(bands[near] == bands[i]).argmax(1) == place]
-        for x, y in C.pieces(np.concatenate(([0], np.cumsum(n[near]))), CHUNK_SHINGLES):
+            near = near[(self.sketch[near] == sketch).mean(1) >= least]
+        for x, y in C.pieces(np.concatenate(([0], np.cumsum(self.n[near]))), CHUNK_SHINGLES):
             some = near[x:y]
-            codes = np.concatenate([sets[j] for j in some])
-            at = np.minimum(np.searchsorted(sets[i], codes), n[i] - 1)
-            both = np.add.reduceat((sets[i][at] == codes).astype(np.int64), np.cumsum(n[some]) - n[some])
-            for j in some[100 * both >= percent * (n[some] + n[i] - both)].tolist():
-                if comp[j] != comp[i]:
-                    comp[comp == comp[j]] = comp[i]
-                    yield min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))
+            other = np.concatenate([self.sets[j] for j in some])
+            at = np.minimum(np.searchsorted(codes, other), len(codes) - 1)
+            both = np.add.reduceat((codes[at] == other).astype(np.int64), np.cumsum(self.n[some]) - self.n[some])
+            for j in some[100 * both >= percent * (self.n[some] + len(codes) - both)].tolist():
+                old = int(self.label[j])
+                if old != component:
+                    self.became[old] = component
+                    self.label[self.label == old] = component
+                    yield min(node, int(self.node[j])), max(node, int(self.node[j]))
+
+    def own_links(self, percent: int, least: float):
+        if (self.label != self.label[0]).any():
+            for i in range(len(self.node) - 1):
+                yield from self.links(int(self.node[i]), int(self.label[i]), self.sketch[i], self.sets[i], i + 1, percent, least)
 
 
 def _across_blocks(batches, percent: int, least: float):
-    """Rows come sorted by task."""
-    held: list[pa.RecordBatch] = []
-    key = None
+    """Rows come sorted by task, those at home (side 0) before the visitors. The part of a task that is numbered 0 links its block's own members."""
+    key, block, home = None, None, []
+
+    def settled():
+        nonlocal block, home
+        block = _Block(pa.Table.from_batches(home))
+        own = block.own_links(percent, least) if home[0].column("own")[0].as_py() else ()
+        home = []
+        return list(own)
 
-    def links():
-        pairs = list(_compared(pa.Table.from_batches(held), percent, least))
+    def batch_of(pairs):
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        task = batch.column(0).to_numpy()
-        edge = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+        found = []
+        task, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edge = [0, *(np.flatnonzero((task[1:] != task[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(task)]
         for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if task[a] != key and held:
-                yield links()
-                held = []
-            key = task[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield links()
+            part = batch.slice(a, b - a)
+            if task[a] != key:
+                found += settled() if home else []
+                key, block = task[a], None
+            if side[a] == 0:
+                home.append(part)
+                continue
+            found += settled() if home else []
+            for node, component, sketch, codes in zip(*(part.column(c).to_pylist() for c in ("node", "component", "sketch", "codes")), strict=True):
+                found += block.links(node, component, np.frombuffer(sketch, np.uint8), np.frombuffer(codes, np.uint64), 0, percent, least)
+        yield batch_of(found)
+    if home:
+        yield batch_of(settled())
+
+
+def _across(inside: DataFrame, found: DataFrame, node: DataFrame, docs: DataFrame, size: int, percent: int, block: int, visitors: int) -> DataFrame:
+    """Links (a, b) between the components in `found` that meet in buckets of more than one."""
+    label = found.withColumnRenamed("node", "__node")
+    members = inside.select("key", "node", "high").join(label, F.col("node") == F.col("__node"), "left").select("key", "node", "high", F.coalesce("component", "node").alias("component"))
+    members = C.checkpointed(members)
+    several = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("held")).filter("x < y")
+    members = C.checkpointed(members.join(C.checkpointed(several.select("key", "held")), "key"))
+    homes = members.groupBy("node", "high", "component").agg(F.max(F.struct("held", "key")).alias("g")).select("node", "high", "component", F.col("g.key").alias("group"))
+    homes = C.checkpointed(homes.join(node.select("node", "high", "n_shingles"), ["node", "high"]))
+    parts = lambda n: F.greatest(F.ceil(F.sum(n) / block), F.ceil(F.sum("shingles") / BLOCK_SHINGLES))
+    held = homes.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    # a component that fills blocks has its own; the others of a group share some
+    held = C.checkpointed(held.withColumn("owner", F.when((F.col("n") >= block) | (F.col("shingles") >= BLOCK_SHINGLES), F.col("component"))))
+    shared = held.groupBy("group", "owner").agg(F.sum("n").alias("all"), parts("n").cast("int").alias("blocks")).withColumnsRenamed({"group": "__group", "owner": "__owner"})
+    plan = C.checkpointed(held.join(shared, (F.col("group") == F.col("__group")) & F.col("owner").eqNullSafe(F.col("__owner"))).select("group", "component", "owner", "blocks", F.ceil(F.col("all") / F.col("blocks")).alias("about")))
+    share = F.pmod(F.when(F.col("owner").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("node", "high")), F.col("blocks"))
+    homes = homes.join(plan, ["group", "component"]).select("node", "high", "component", "about", F.xxhash64("group", F.coalesce(F.col("owner"), F.lit(-1)), F.col("owner").isNull(), share).alias("block"))
+    homes = C.checkpointed(homes)
+    placed = C.checkpointed(members.select("key", "node", "high").join(homes, ["node", "high"]))
+    present = C.checkpointed(placed.groupBy("key", F.col("block").alias("goal"), F.col("about").alias("goal_about")).agg(F.min("component").alias("x"), F.max("component").alias("y")))
+    smaller = F.struct("about", "block") < F.struct("goal_about", "goal")
+    visits = placed.join(present, "key").filter(smaller & ((F.col("x") != F.col("component")) | (F.col("y") != F.col("component"))))
+    visits = C.checkpointed(visits.select(F.col("goal").alias("block"), "node", "high", "component").distinct())
+    mixed = homes.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("block", F.lit(0).alias("came"))
+    tasks = C.checkpointed(visits.groupBy("block").agg(F.count("*").alias("came")).unionByName(mixed).groupBy("block").agg(F.ceil(F.max("came") / visitors).cast("int").alias("parts")).withColumn("parts", F.greatest("parts", F.lit(1))))
+    at_home = homes.join(tasks, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "node", "high", "component")
+    guests = visits.join(tasks, "block").select("block", F.pmod(F.xxhash64("node", "high"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "node", "high", "component")
+    rows = C.checkpointed(at_home.unionByName(guests).select(F.xxhash64("block", "part").alias("task"), "side", (F.col("part") == 0).alias("own"), "node", "high", "component"))
+    texts = docs.select("doc_id", "text").join(rows.select(F.col("node").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi").distinct()
+    sets = texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, high long, codes binary").filter("octet_length(codes) > 0").withColumnRenamed("doc_id", "node")
+    whole = C.checkpointed(sets.join(node.select("node", "high", "sketch"), ["node", "high"]))
+    n = C.shuffle_partitions(docs.sparkSession)
+    rows = rows.join(whole, ["node", "high"]).select("task", "side", "own", "node", "component", "sketch", "codes")
+    return rows.repartition(n, "task").sortWithinPartitions("task", "side").mapInArrow(lambda it: _across_blocks(it, percent, SKETCH_LEAST), "a long, b long")
 
 
-def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+def _copies(features: DataFrame, node: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rep) of the documents that only copy the set of one other, and the links of those that also have another set."""
+    sets = ["n_shingles", "high", "low"]
+    many = C.checkpointed(node.filter("copies > 1").select(*sets, F.col("node").alias("rep")))
+    same = C.checkpointed(features.select("doc_id", *sets).join(many, sets).filter("doc_id != rep").select("doc_id", "rep"))
+    of = same.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+    own = node.select(F.col("node").alias("__node")).distinct()
+    of = C.checkpointed(of.join(own, F.col("doc_id") == F.col("__node"), "left").withColumn("joins", (F.col("rep") != F.col("last")) | F.col("__node").isNotNull()))
+    several = of.filter("joins").select(F.col("doc_id").alias("__doc"))
+    return of.filter("not joins").select("doc_id", "rep"), same.join(several, F.col("doc_id") == F.col("__doc"), "left_semi").toDF("a", "b").distinct()
+
+
+def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK, visitors: int = VISITORS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept (doc_id = component_id).
 
     Null or blank text: no shingles, linked with nothing. Fewer words than a shingle: all of them as one. Rows with the same
@@ -254,54 +332,29 @@ def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows:
     none = docs.filter("doc_id is null").select("doc_id", "text").mapInArrow(lambda it: _features(it, size, rows, bands), "doc_id long, n_shingles long, high long, low long, bands array<long>, sketch binary")
     docs = docs.filter("doc_id is not null")
     features = C.checkpointed(docs.select("doc_id", "text").mapInArrow(lambda it: _features(it, size, rows, bands), "doc_id long, n_shingles long, high long, low long, bands array<long>, sketch binary"))
-    sets = ["n_shingles", "high", "low"]
-    full = features.filter("n_shingles > 0")
-    first = full.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    many = first.filter("copies > 1").drop("copies")
-    same = C.checkpointed(full.select("doc_id", *sets).join(many, sets).filter("doc_id != rep").distinct())
-    node = full.join(same, ["doc_id", *sets], "left_anti").dropDuplicates(["doc_id", *sets])  # a row for each distinct set, under its rep
-    key = F.explode("bands").alias("key")
-    band = node.select(F.col("doc_id").alias("node"), "high", key)
-    bucket = band.groupBy("key").agg(F.min("high").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    first = features.filter("n_shingles > 0").groupBy("n_shingles", "high", "low").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r"), F.count("*").alias("copies"))
+    node = C.checkpointed(first.select("n_shingles", "high", "low", "copies", F.col("r.doc_id").alias("node"), "r.bands", "r.sketch"))
+    band = node.select("node", "high", F.explode("bands").alias("key"))
+    bucket = C.checkpointed(band.groupBy("key").agg(F.min("high").alias("pivot"), F.count("*").alias("members")).filter("members > 1"))
     inside = C.checkpointed(band.join(bucket, "key"))
-    pairs = inside.filter("high != pivot").select(F.col("pivot").alias("high_a"), F.col("node").alias("b"), F.col("high").alias("high_b")).distinct()
-    pairs = C.checkpointed(pairs.join(node.select(F.col("high").alias("high_a"), F.col("doc_id").alias("a")), "high_a").filter("a != b"))
-    links = _verified(pairs, docs, size, percent)
-    copies = same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.union(copies))
-    more = C.checkpointed(_across(inside.filter("members > 2"), found, node, docs, size, percent, block))
+    pairs = C.checkpointed(inside.filter("high != pivot").select(F.col("pivot").alias("high_a"), F.col("node").alias("b"), F.col("high").alias("high_b")).distinct())
+    pairs = pairs.join(node.select(F.col("high").alias("high_a"), F.col("node").alias("a"), F.col("sketch").alias("x")), "high_a").filter("a != b")
+    pairs = pairs.join(node.select(F.col("high").alias("high_b"), F.col("node").alias("b"), F.col("sketch").alias("y")), ["b", "high_b"])
+    alike = pairs.select("a", "high_a", "b", "high_b", "x", "y").mapInArrow(lambda it: _alike(it, SKETCH_LEAST), "a long, high_a long, b long, high_b long")
+    links = _verified(C.checkpointed(alike), docs, size, percent)
+    copies, more = _copies(features, node)
+    found = components(links.union(more))
+    more = C.checkpointed(_across(inside.filter("members > 2"), found, node, docs, size, percent, block, visitors))
     if not more.isEmpty():
         found = components(found.toDF("a", "b").union(more))
-    least = found.select(F.col("node").alias("__node"), "component")
-    out = features.select("doc_id", "n_shingles").join(least, F.col("doc_id") == F.col("__node"), "left")
+    least = found.toDF("__node", "component")
+    behind = copies.join(least, F.col("rep") == F.col("__node"), "left").select(F.col("doc_id").alias("__node"), F.coalesce("component", "rep").alias("component"))
+    out = features.select("doc_id", "n_shingles").join(least.unionByName(behind), F.col("doc_id") == F.col("__node"), "left")
     component = F.coalesce("component", "doc_id")
     out = out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
     return out.unionByName(none.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
 
 
-def _across(inside: DataFrame, found: DataFrame, node: DataFrame, docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between the components in `found` that meet in buckets of more than one."""
-    label = found.withColumnRenamed("node", "__node")
-    members = inside.select("key", "node", "high").join(label, F.col("node") == F.col("__node"), "left").select("key", "node", "high", F.coalesce("component", "node").alias("component"))
-    several = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    members = C.checkpointed(members.join(several, "key").join(node.select(F.col("doc_id").alias("node"), "high", "n_shingles"), ["node", "high"]))
-    texts = docs.select("doc_id", "text").join(members.select(F.col("node").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
-    sets = texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, high long, codes binary").filter("octet_length(codes) > 0").withColumnRenamed("doc_id", "node")
-    whole = sets.join(node.select(F.col("doc_id").alias("node"), "high", "sketch", "bands"), ["node", "high"])
-    counts = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node", "high"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = members.join(whole, ["node", "high"]).select("*", other).select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
-        *("key", "node", "component"),
-        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
-        (F.col("block") == F.col("other")).alias("same"),
-        *("sketch", "bands", "codes"),
-    )
-    n = C.shuffle_partitions(docs.sparkSession)
-    return tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lambda it: _across_blocks(it, percent, SKETCH_LEAST), "a long, b long")
-
-
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without those that are linked, directly or through others, with a smaller doc_id. Columns stay."""
     kept = grouped(docs, **options).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__doc"))
