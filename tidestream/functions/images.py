@@ -3,12 +3,16 @@
 Images stay encoded in their column; each function decodes what it needs within its batch.
 """
 
+import functools
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,24 +25,37 @@ from tidestream.functions.scalars import GRAY
 Scorer = Callable[[np.ndarray], np.ndarray]
 SIDE = 256
 
-
-def corrected(data: bytes) -> bytes:
-    """The image less the row of background that follows its file: each column is raised to white by what its
-    background lacks. Tags are not kept. Without a whole row, the image stays as it is."""
+# Names of the tags of TIFF and EXIF files by their numbers.
+TAG_NAMES = {
+    254: "NewSubfileType", 256: "ImageWidth", 257: "ImageLength", 258: "BitsPerSample", 259: "Compression", 262: "PhotometricInterpretation", 266: "FillOrder",
+    269: "DocumentName", 270: "ImageDescription", 271: "Make", 272: "Model", 273: "StripOffsets", 274: "Orientation", 277: "SamplesPerPixel", 278: "RowsPerStrip",
+    279: "StripByteCounts", 282: "XResolution", 283: "YResolution", 284: "PlanarConfiguration", 285: "PageName", 296: "ResolutionUnit", 297: "PageNumber",
+    301: "TransferFunction", 305: "Software", 306: "DateTime", 315: "Artist", 316: "HostComputer", 317: "Predictor", 318: "WhitePoint", 319: "PrimaryChromaticities",
+    320: "ColorMap", 322: "TileWidth", 323: "TileLength", 324: "TileOffsets", 325: "TileByteCounts", 338: "ExtraSamples", 339: "SampleFormat", 529: "YCbCrCoefficients",
+    530: "YCbCrSubSampling", 531: "YCbCrPositioning", 532: "ReferenceBlackWhite", 700: "XMLPacket", 33432: "Copyright", 33434: "ExposureTime", 33437: "FNumber",
+    34665: "ExifOffset", 34853: "GPSInfo", 34855: "ISOSpeedRatings", 36864: "ExifVersion", 36867: "DateTimeOriginal", 36868: "DateTimeDigitized", 37377: "ShutterSpeedValue",
+    37378: "ApertureValue", 37380: "ExposureBiasValue", 37383: "MeteringMode", 37385: "Flash", 37386: "FocalLength", 37500: "MakerNote", 37510: "UserComment",
+    40960: "FlashPixVersion", 40961: "ColorSpace", 40962: "ExifImageWidth", 40963: "ExifImageHeight", 41729: "SceneType", 41986: "ExposureMode", 41987: "WhiteBalance",
+}
+
+
+def corrected(data: bytes) -> np.ndarray:
+    """The image's pixels less the row of background that follows its file: each column is raised to white by what its
+    background lacks. Without a whole row, the image stays as it is."""
     image = tiff.Tiff(data)
     pixels = image.pixels()
     n = pixels.shape[1] * pixels.shape[2]
     row = data[image.end : image.end + n]
     if len(row) < n:
-        return tiff.encode(pixels)
+        return pixels
     lacking = 255 - np.frombuffer(row, np.uint8).astype(np.int16).reshape(1, *pixels.shape[1:])
-    return tiff.encode(np.clip(pixels.astype(np.int16) - lacking, 0, 255).astype(np.uint8))
+    return np.clip(pixels.astype(np.int16) - lacking, 0, 255).astype(np.uint8)
 
 
 @F.pandas_udf(T.BinaryType())
 def background_corrected(payload: pd.Series) -> pd.Series:
-    """Null where the image cannot be read."""
-    return payload.map(lambda x: _or(None, corrected, x))
+    """The image as a file without its tags; null where it cannot be read."""
+    return payload.map(lambda x: _or(None, lambda b: tiff.encode(corrected(b)), x))
 
 
 def _or(default, f, x):
@@ -49,6 +66,7 @@ def _or(default, f, x):
 
 
 _NOTHING = (0.0, 0.0, 0.0, 0.0, 0.0, None)
+_NOWHERE = (None, None, None, False)
 
 
 @F.pandas_udf(S.MEASURES)
@@ -66,7 +84,7 @@ def position(data: bytes) -> tuple[float, float, str, bool]:
 @F.pandas_udf(S.POSITION)
 def positioned(payload: pd.Series) -> pd.DataFrame:
     """Nulls and gps_ok false where an image tells no position or time."""
-    return pd.DataFrame([_or((None, None, None, False), position, x) for x in payload], columns=S.POSITION.names)
+    return pd.DataFrame([_or(_NOWHERE, position, x) for x in payload], columns=S.POSITION.names)
 
 
 def _exif(data: bytes) -> tuple[int, int, str | None]:
@@ -74,6 +92,19 @@ def _exif(data: bytes) -> tuple[int, int, str | None]:
     return int(tags[tiff.WIDTH][0]), int(tags[tiff.LENGTH][0]), tags.get(tiff.DATE_TIME)
 
 
+@F.pandas_udf(T.MapType(T.IntegerType(), T.StringType()))
+def tags(payload: pd.Series) -> pd.Series:
+    """The number and the printed value of each tag of an image; null where it cannot be read."""
+    printed = lambda v: v if isinstance(v, str) else " ".join(map(str, v)) if isinstance(v, tuple) else str(v)
+    return payload.map(lambda x: _or(None, lambda b: {int(k): printed(v) for k, v in tiff.of_file(b).tags.items()}, x))
+
+
+def named_tags(tags: Column) -> Column:
+    """A map of tags with their names in place of their numbers; a number without a known name stands for itself."""
+    names = F.create_map(*[F.lit(x) for pair in TAG_NAMES.items() for x in pair])
+    return F.transform_keys(tags, lambda k, _: F.coalesce(F.element_at(names, k), k.cast("string")))
+
+
 @F.pandas_udf(S.EXIF)
 def exif(payload: pd.Series) -> pd.DataFrame:
     frame = pd.DataFrame([_or((None, None, None), _exif, x) for x in payload], columns=S.EXIF.names)
@@ -83,23 +114,22 @@ def exif(payload: pd.Series) -> pd.DataFrame:
 # --- classes ---------------------------------------------------------------------------------------------------
 
 
+@functools.lru_cache(maxsize=64)
 def _spread(n: int, side: int) -> np.ndarray:
     """Weights (side x n) of linear resampling; when shrinking, each output averages over its whole share."""
     scale = n / side
     at = (np.arange(side) + 0.5) * scale - 0.5
     w = np.clip(1 - np.abs(np.arange(n)[None, :] - at[:, None]) / max(scale, 1.0), 0, None)
-    return w / w.sum(1, keepdims=True)
+    return (w / w.sum(1, keepdims=True)).astype(np.float32)
 
 
 def model_input(pixels: np.ndarray, gray: bool = False, side: int = SIDE) -> np.ndarray:
     """3 x side x side floats from 0 to 1; gray: all three channels are the gray value."""
-    image = pixels.astype(np.float64) / 255
-    if image.shape[2] == 1:
-        image = image.repeat(3, axis=2)
-    image = np.einsum("yh,hwc,xw->cyx", _spread(image.shape[0], side), image[:, :, :3], _spread(image.shape[1], side), optimize=True)
-    if gray:
-        image = np.broadcast_to(np.tensordot(GRAY, image, 1)[None], image.shape)
-    return image.astype(np.float32)
+    image = pixels[:, :, :3].transpose(2, 0, 1).astype(np.float32) / np.float32(255)
+    image = _spread(image.shape[1], side) @ image @ _spread(image.shape[2], side).T
+    if gray and len(image) > 1:
+        image = np.tensordot(np.array(GRAY, np.float32), image, 1)[None]
+    return np.broadcast_to(image, (3, side, side)) if len(image) == 1 else image
 
 
 def stand_in_scorer(batch: np.ndarray) -> np.ndarray:
@@ -110,43 +140,88 @@ def stand_in_scorer(batch: np.ndarray) -> np.ndarray:
 
 
 class OnnxScorer:
-    """A model file in ONNX form; it is opened once in each Python worker."""
+    """A model file in ONNX form; it is opened once in each Python worker.
+
+    path: a file that every executor has under that path, or one given to SparkContext.addFile, by its name. `of_file` reads the model
+    on the driver instead and sends it along with the function."""
 
-    def __init__(self, path: str):
-        self.path, self._session = path, None
+    def __init__(self, path: str | None = None, model: bytes | None = None):
+        self.path, self.model, self._session = path, model, None
+
+    @classmethod
+    def of_file(cls, path: str) -> "OnnxScorer":
+        return cls(model=Path(path).read_bytes())
 
     def __getstate__(self):
-        return {"path": self.path, "_session": None}
+        return {"path": self.path, "model": self.model, "_session": None}
 
     def __call__(self, batch: np.ndarray) -> np.ndarray:
         if self._session is None:
             import onnxruntime
 
-            self._session = onnxruntime.InferenceSession(self.path, providers=onnxruntime.get_available_providers())
+            model = self.model
+            if model is None:
+                model = self.path if Path(self.path).exists() else SparkFiles.get(self.path)
+            self._session = onnxruntime.InferenceSession(model, providers=onnxruntime.get_available_providers())
         return self._session.run(None, {self._session.get_inputs()[0].name: batch})[0]
 
 
+def _classes(pixels: list[np.ndarray | None], scorer: Scorer, labels: tuple[str, ...], gray: bool, batch: int) -> list[tuple]:
+    """Label and scores (softmax) of images, at most `batch` at a time; nulls where there is none."""
+    out: list[tuple] = [(None, None)] * len(pixels)
+    there = [i for i, p in enumerate(pixels) if p is not None]
+    for first in range(0, len(there), batch):
+        some = there[first : first + batch]
+        outputs = np.asarray(scorer(np.stack([model_input(pixels[i], gray) for i in some])), np.float64)
+        powers = np.exp(outputs - outputs.max(1, keepdims=True))
+        scores = (powers / powers.sum(1, keepdims=True)).astype(np.float32)
+        for i, k, s in zip(some, outputs.argmax(1).tolist(), scores, strict=True):
+            out[i] = (labels[k], s)
+    return out
+
+
 def classifier(scorer: Scorer = stand_in_scorer, labels: tuple[str, ...] = LABEL_KEYS, gray: bool = False, batch: int = 255):
-    """A UDF from images to label and scores (softmax), at most `batch` images at a time; null where one cannot be read."""
+    """A UDF from images to label and scores; nulls where one cannot be read."""
 
     @F.pandas_udf(S.PREDICTION)
     def classified(payloads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for payload in payloads:
-            out: list[tuple] = [(None, None)] * len(payload)
+            out = []
             for first in range(0, len(payload), batch):
-                tensors = [(i, t) for i, x in enumerate(payload.iloc[first : first + batch], first) if (t := _or(None, lambda b: model_input(tiff.Tiff(b).pixels(), gray), x)) is not None]
-                if not tensors:
-                    continue
-                outputs = np.asarray(scorer(np.stack([t for _, t in tensors])), np.float64)
-                powers = np.exp(outputs - outputs.max(1, keepdims=True))
-                scores = (powers / powers.sum(1, keepdims=True)).astype(np.float32)
-                for (i, _), k, s in zip(tensors, outputs.argmax(1).tolist(), scores, strict=True):
-                    out[i] = (labels[k], s)
+                pixels = [_or(None, lambda b: tiff.Tiff(b).pixels(), x) for x in payload.iloc[first : first + batch]]
+                out += _classes(pixels, scorer, labels, gray, batch)
             yield pd.DataFrame(out, columns=["label", "scores"])
 
     return classified
 
 
+#: What `viewer` finds, field by field.
+SEEN = T.StructType([*S.POSITION, *S.PREDICTION, *S.MEASURES])
+
+
+def viewer(scorer: Scorer = stand_in_scorer, labels: tuple[str, ...] = LABEL_KEYS, gray: bool = False, batch: int = 255, correct: bool = True, classify: bool = True, measure: bool = True, locate: bool = True):
+    """A UDF from images, as they came, to SEEN: position, class and measures in one pass that decodes each image once.
+
+    correct: take off the background before classifying and measuring. What isn't asked for is null. It is marked as not
+    deterministic so that Spark runs it once a row, however many of its fields are used."""
+
+    @F.pandas_udf(SEEN)
+    def seen(payloads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        decode = corrected if correct else lambda b: tiff.Tiff(b).pixels()
+        for payload in payloads:
+            rows = []
+            for first in range(0, len(payload), batch):
+                some = payload.iloc[first : first + batch]
+                places = [_or(_NOWHERE, position, x) if locate else (None,) * 4 for x in some]
+                pixels = [_or(None, decode, x) for x in some] if classify or measure else [None] * len(some)
+                classes = _classes(pixels, scorer, labels, gray, batch) if classify else [(None, None)] * len(some)
+                sizes = [(_NOTHING if p is None else _or(_NOTHING, lambda _, p=p: shapes.measures(p), b"")) if measure else (None,) * len(_NOTHING) for p in pixels]
+                rows += [(*a, *b, *c) for a, b, c in zip(places, classes, sizes, strict=True)]
+            yield pd.DataFrame(rows, columns=SEEN.names)
+
+    return seen.asNondeterministic()
+
+
 # --- drawings --------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,10 +105,15 @@ def parse_points(printed: Column) -> Column:
 # --- class scores and pixels -----------------------------------------------------------------------------------
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: inside a lambda Spark would work out an outer expression again for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def softmax(outputs: Column) -> Column:
-    most = F.array_max(outputs)
-    powers = F.transform(outputs, lambda x: F.exp(x.cast("double") - most.cast("double")))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, y: a + y))
+    powers = _bound(F.array_max(outputs).cast("double"), lambda most: F.transform(outputs, lambda x: F.exp(x.cast("double") - most)))
+    shares = lambda p: _bound(F.aggregate(p, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(p, lambda x: x / total))
+    return _bound(powers, shares)
 
 
 def argmax(values: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidestream.functions import shapes
 
+#: Groups into which the partial hulls of a group of points are merged first.
+SHARES = 64
 #: Patterns up to which they are broadcast.
 BROADCAST_PATTERNS = 10_000
 
@@ -40,7 +42,8 @@ def widest_pairs(points: DataFrame, group: str, x: Column, y: Column) -> DataFra
     """group, n_points and the greatest distance between two of its points in the plane.
 
     The ends of a widest pair are corners of the hull, and the hull of all is that of the partial hulls. So each batch of
-    rows sends its groups' corners on, and only those meet; no group is held whole."""
+    rows sends its groups' corners on, and only those meet: first those of a share of the batches, then the corners of what is
+    left; no group is held whole."""
     flat = points.select(F.col(group).alias("g"), x.cast("double").alias("x"), y.cast("double").alias("y")).filter("x is not null and y is not null")
     kind = dict(points.dtypes)[group]
 
@@ -53,7 +56,13 @@ def widest_pairs(points: DataFrame, group: str, x: Column, y: Column) -> DataFra
         ps = np.stack([np.concatenate(frame["xs"].tolist()), np.concatenate(frame["ys"].tolist())], axis=1)
         return pd.DataFrame([(frame["g"].iloc[0], int(frame["n"].sum()), shapes.diameter(ps)[0])], columns=[group, "n_points", "max_distance"])
 
-    partial = flat.mapInPandas(corners, f"g {kind}, n long, xs array<double>, ys array<double>")
+    def fewer(frame: pd.DataFrame) -> pd.DataFrame:
+        ps = np.stack([np.concatenate(frame["xs"].tolist()), np.concatenate(frame["ys"].tolist())], axis=1)
+        return pd.DataFrame([(frame["g"].iloc[0], int(frame["n"].sum()), *_spread(ps))], columns=["g", "n", "xs", "ys"])
+
+    schema = f"g {kind}, n long, xs array<double>, ys array<double>"
+    partial = flat.mapInPandas(corners, schema).withColumn("share", F.pmod(F.spark_partition_id(), F.lit(SHARES)))
+    partial = partial.groupBy("g", "share").applyInPandas(lambda frame: fewer(frame), schema)
     return partial.groupBy("g").applyInPandas(widest, f"{group} {kind}, n_points long, max_distance double")
 
 

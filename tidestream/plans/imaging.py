@@ -8,11 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidestream import schemas as S
 from tidestream.functions import images as I
 from tidestream.functions import scalars
 from tidestream.functions.labels import LABEL_KEYS
-from tidestream.operators import reassembly, windows
-from tidestream.sources import files, packets
+from tidestream.operators import joins, reassembly, windows
+from tidestream.sources import checkpoints, files, packets
 
 
 @dataclass(frozen=True)
@@ -47,17 +48,12 @@ def sampled(images: DataFrame, every: int) -> DataFrame:
 def enriched(images: DataFrame, settings: Settings) -> DataFrame:
     """filename, arrival and, as settings ask, position (of the image as it came), label with scores, measures (of the corrected image).
 
-    The corrected bytes are made once and not kept: only what is derived from them goes on."""
-    rows = images.select("filename", "arrival", "payload")
-    if settings.locate:
-        rows = rows.withColumn("position", I.positioned("payload"))
-    if settings.correct_background:
-        rows = rows.withColumn("payload", I.background_corrected("payload"))
-    if settings.classify:
-        rows = rows.withColumn("prediction", I.classifier(settings.scorer, settings.labels, settings.gray, settings.batch)("payload"))
-    if settings.measure:
-        rows = rows.withColumn("measures", I.measured("payload"))
-    return rows.drop("payload")
+    Each image is decoded once, in one pass of one function."""
+    s = settings
+    seen = I.viewer(s.scorer, s.labels, s.gray, s.batch, s.correct_background, s.classify, s.measure, s.locate)
+    rows = images.select("filename", "arrival", seen("payload").alias("seen"))
+    parts = {"position": (s.locate, S.POSITION), "prediction": (s.classify, S.PREDICTION), "measures": (s.measure, S.MEASURES)}
+    return rows.select("filename", "arrival", *(F.struct(*(F.col(f"seen.{f}") for f in kind.names)).alias(name) for name, (asked, kind) in parts.items() if asked))
 
 
 def window_records(rows: DataFrame, controls: DataFrame, settings: Settings) -> DataFrame:
@@ -67,12 +63,12 @@ def window_records(rows: DataFrame, controls: DataFrame, settings: Settings) ->
     place = {c: F.col(f"position.{c}") if settings.locate else null("double") for c in ("latitude", "longitude")}
     label = F.col("prediction.label") if settings.classify else null("string")
     flat = rows.select("arrival", label.alias("label"), *(c.alias(n) for n, c in (value | place).items()))
-    # all of a window in one aggregation, so images are decoded once
+    # all of a window in one aggregation, kept in a checkpoint, so images are decoded once
     counts = [F.count(F.when(F.col("label") == x, 1)).alias(x) for x in settings.labels]
     means = [F.round(F.avg(c), 3).alias(n) for c, n in MEANS.items()]
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("arrival"))).alias(c) for c in place]
     closed = flat.groupBy(windows.minute().alias("minute")).agg(*counts, *means, *last, F.max("arrival").alias("time_end"))
-    closed = windows.sequenced(closed)
+    closed = windows.sequenced(checkpoints.checkpointed(closed))
     over = windows.Window.orderBy("minute").rowsBetween(windows.Window.unboundedPreceding, windows.Window.currentRow)
     closed = closed.withColumns({c: F.last(c, ignorenulls=True).over(over) for c in place})
     control = files.control_rows(windows.control_sequence(controls, closed))
@@ -113,8 +109,6 @@ def correct_folder(spark: SparkSession, path: str, out: str) -> None:
 
 def draw_folder(spark: SparkSession, table: str, path: str, out: str) -> None:
     """Draws what a table of measurements (as measure_folder writes it) says of a folder's images."""
-    rows = spark.read.schema("filename string, esd_1 double, esd_2 double, threshold_area double, threshold_area_otsu double, object_length double, points string").csv(table)
-    rows = rows.withColumn("points", F.coalesce(F.from_json("points", "array<array<int>>"), scalars.parse_points(F.col("points"))))
-    found = rows.join(files.images(spark, path).select("filename", "payload"), "filename")
+    found = joins.with_images(files.measures(spark, table), files.images(spark, path))
     radius = lambda c: F.col(c) / (2 * scalars.PIXEL)
-    files.write_images(found.select("filename", I.drawn("payload", radius("esd_1"), radius("esd_2"), "points").alias("payload")), out)
+    files.write_images(found.select("filename", I.drawn("payload", radius("esd_1"), radius("esd_2"), "max_points").alias("payload")), out)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tidestream.functions import images, labels, scalars, tiff
 from tidestream.operators import joins, reassembly, windows
-from tidestream.sources import files
+from tidestream.sources import checkpoints, files
 from tidestream.sources import packets as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,8 +117,8 @@ def micro_batches(spark, sf_dir):
 
 
 def _sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minutes with counts by type and their place."""
-    return windows.sequenced(windows.wide_counts(table(spark, sf_dir, "events"), EVENT_TYPES, "event_type", "ts"))
+    """Minutes with counts by type and their place: a small table, written once as it is read several times."""
+    return checkpoints.checkpointed(windows.sequenced(windows.wide_counts(table(spark, sf_dir, "events"), EVENT_TYPES, "event_type", "ts")))
 
 
 def _controls(sequenced: DataFrame) -> DataFrame:
@@ -188,7 +188,13 @@ def corrected_concentration(spark, sf_dir):
     return both.select(_text("minute").alias("minute"), "event_type", "hits", "misses", scalars.concentration(F.col("hits"), F.col("misses"), F.lit(1), F.col("n")).alias("concentration"))
 
 
-@query()
+@query(
+    f"""WITH {_WINDOWS}, r AS (SELECT strftime(m, '%Y-%m-%d %H:%M:%S') AS minute, win_seq, hits, misses, (click + error + purchase + signup + view)::bigint AS total, * EXCLUDE (m, h, win_seq, hits, misses)
+        FROM w JOIN l USING (win_seq) WHERE win_seq <= (SELECT max(win_seq) FROM w) - 10)
+    SELECT minute, to_json(struct_pack(win_seq := win_seq, minute := minute, hits := hits, misses := misses, "totalCount" := total,
+        {", ".join(f'"uncorrected_{x}Count" := "{x}"' for x in EVENT_TYPES)},
+        {", ".join(f'"{x}Count" := round((hits + misses)::double / hits * 1 * "{x}" / 34, 3)' for x in EVENT_TYPES)}))::varchar AS payload FROM r"""
+)
 def window_payload_json(spark, sf_dir):
     return windows.payloads(positional_correction(spark, sf_dir))
 
@@ -316,7 +322,5 @@ def _disc(radius: pd.Series, tone: pd.Series) -> pd.Series:
 def image_measures(spark, sf_dir):
     """Discs drawn with the radius of each part's size: background corrected, measured, placed and classified."""
     few = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # small rows, much work on each
-    rows = few.select("p_partkey", _disc(F.col("p_size"), F.col("p_partkey") % 200).alias("raw"))
-    rows = rows.select("p_partkey", images.positioned("raw").alias("position"), images.background_corrected("raw").alias("payload"))
-    rows = rows.select("p_partkey", "position", images.measured("payload").alias("m"), images.classifier()("payload").alias("c"))
-    return rows.select("p_partkey", F.round("m.esd_1", 6).alias("esd_1"), F.round("m.esd_2", 6).alias("esd_2"), F.round("m.object_length", 6).alias("object_length"), F.round("position.latitude", 9).alias("latitude"), F.col("c.label").alias("label"))
+    rows = few.select("p_partkey", images.viewer()(_disc(F.col("p_size"), F.col("p_partkey") % 200)).alias("s"))
+    return rows.select("p_partkey", *(F.round(f"s.{c}", 6).alias(c) for c in ("esd_1", "esd_2", "object_length")), F.round("s.latitude", 9).alias("latitude"), F.col("s.label").alias("label"))

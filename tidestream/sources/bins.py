@@ -63,31 +63,35 @@ class BinFrames(DataSource):
 
 
 class _BinWriter(DataSourceWriter):
+    """Tasks write to a folder that readers don't look into; the commit moves the files of the tasks that were taken out of it, and what
+    other tries have left goes with it."""
+
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.staged = path, f"{path}/_staged-{uuid.uuid4().hex}"
 
     def write(self, rows) -> WriterCommitMessage:
-        """Rows come sorted by bin. A task that is run again writes files of other names; only committed ones stay."""
+        """Rows come sorted by bin. A task that is run again writes files of other names."""
         task, written, name, out = uuid.uuid4().hex, [], None, None
         for row in rows:
             if row["bin"] != name:
                 if out:
                     out.close()
                 name = row["bin"]
-                written.append(f"{self.path}/{name.removesuffix('.bin')}-{task}.bin")
-                out = shared.create(written[-1])
+                written.append(f"{name.removesuffix('.bin')}-{task}.bin")
+                out = shared.create(f"{self.staged}/{written[-1]}")
             out.write(framed(row["filename"], bytes(row["payload"])))
         if out:
             out.close()
         return shared.Written(files=written)
 
     def commit(self, messages) -> None:
-        pass
-
-    def abort(self, messages) -> None:
         for message in messages:
             for f in message.files if message else ():
-                shared.delete(f)
+                shared.move(f"{self.staged}/{f}", f"{self.path}/{f}")
+        shared.delete_folder(self.staged)
+
+    def abort(self, messages) -> None:
+        shared.delete_folder(self.staged)
 
 
 def write(images: DataFrame, path: str) -> None:

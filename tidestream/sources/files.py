@@ -34,9 +34,11 @@ def tiffs(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
 
 
 def measures(spark: SparkSession, path: str) -> DataFrame:
-    """A headerless table of measurements, its points parsed; rows whose points don't parse have none."""
+    """A headerless table of measurements, its points parsed, be they JSON (as `write_table` writes them) or printed arrays; rows whose
+    points don't parse have none."""
     rows = spark.read.schema(S.MEASURES_CSV).option("header", False).csv(path)
-    return rows.withColumn("max_points", scalars.parse_points(F.col("max_points")))
+    points = F.coalesce(scalars.parse_points(F.col("max_points")), F.from_json("max_points", "array<array<int>>"))
+    return rows.withColumn("max_points", F.when(F.size(points) == 2, points))
 
 
 def control_rows(controls: DataFrame, text: str = "text", exact: int | None = CONTROL_ROWS) -> DataFrame:
@@ -94,8 +96,13 @@ class _ImageWriter(DataSourceWriter):
         """Files stay: writing them again gives the same."""
 
 
-def write_images(images: DataFrame, path: str, prefix: Column | None = None) -> None:
-    """One file per image; prefix (a label) goes before its name with a dash."""
+def write_images(images: DataFrame, path: str, prefix: Column | None = None, clash: str = "error") -> None:
+    """One file per image; prefix (a label) goes before its name with a dash. clash: whether images of one name are an error, found before
+    anything is written, or overwrite each other."""
     name = F.col("filename") if prefix is None else F.concat(F.coalesce(F.concat(prefix, F.lit("-")), F.lit("")), F.col("filename"))
     images.sparkSession.dataSource.register(ImageFiles)
+    if clash == "error":
+        again = images.select(scalars.basename(name).alias("name")).filter("name is not null").groupBy("name").count().filter("count > 1").first()
+        if again:
+            raise ValueError(f"{again['count']} images are called {again['name']}")
     images.select(name.alias("filename"), "payload").filter("filename is not null and payload is not null").write.format("imagefiles").mode("append").save(path)

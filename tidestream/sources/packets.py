@@ -1,7 +1,7 @@
 """Datagrams of the camera: their header, read with Spark expressions.
 
-A UDP socket cannot be read again after a failure, so a collector lands datagrams as files (columns of schemas.DATAGRAM)
-and batch and streaming readers take them from there.
+A UDP socket cannot be read again after a failure, so a collector (see `collector`) lands datagrams as files (columns of
+schemas.DATAGRAM) and batch and streaming readers take them from there.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ def _unsigned(data: str, at: int, size: int) -> Column:
 
 def decoded(datagrams: DataFrame) -> DataFrame:
     """schemas.PACKET of each datagram; those shorter than their header and body are left out (see `malformed`)."""
-    ok = datagrams.filter(~_short())
+    ok = datagrams.filter(~is_malformed())
     size = _unsigned("datagram", 18, 2).cast("int")
     return ok.select(
         _unsigned("datagram", 0, 4).cast("long").alias("hash"),
         _unsigned("datagram", 4, 2).cast("int").alias("field"),
-        _unsigned("datagram", 6, 2).cast("int").alias("part"),
+        part_of().alias("part"),
         _unsigned("datagram", 8, 8).cast("decimal(20,0)").alias("unique_id"),
         _unsigned("datagram", 16, 2).cast("int").alias("total_parts"),
         size.alias("data_size"),
@@ -41,12 +41,19 @@ def decoded(datagrams: DataFrame) -> DataFrame:
     )
 
 
-def _short() -> Column:
-    return F.col("datagram").isNull() | (F.octet_length("datagram") < S.HEADER_BYTES)
+def part_of() -> Column:
+    """The part index in a datagram's header."""
+    return _unsigned("datagram", 6, 2).cast("int")
+
+
+def is_malformed() -> Column:
+    size = F.octet_length("datagram")
+    return F.col("datagram").isNull() | (size < S.HEADER_BYTES) | (size < F.lit(S.HEADER_BYTES) + _unsigned("datagram", 18, 2).cast("int"))
 
 
 def malformed(datagrams: DataFrame) -> DataFrame:
-    return datagrams.filter(_short())
+    """Datagrams that end within their header or before the body that it announces."""
+    return datagrams.filter(is_malformed())
 
 
 def encoded(field: int, part: int, unique_id: int, total_parts: int, tag: int, body: bytes, hash_: int = 0) -> bytes:

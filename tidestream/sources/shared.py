@@ -1,4 +1,4 @@
-"""Files in folders that driver and executors share, by path or URI."""
+"""Files in folders that driver and executors share, by URI; a path without a scheme is a local one, for one machine."""
 
 from __future__ import annotations
 
@@ -23,7 +23,29 @@ def create(path: str):
     return store.open_output_stream(place)
 
 
-def delete(path: str) -> None:
+def move(old: str, new: str) -> None:
+    store, place = _at(old)
+    store.move(place, _at(new)[1])
+
+
+def exists(path: str) -> bool:
+    store, place = _at(path)
+    return store.get_file_info(place).type != fs.FileType.NotFound
+
+
+def names(path: str) -> list[str]:
+    """The names in a folder; none if there isn't one."""
     store, place = _at(path)
-    if store.get_file_info(place).type != fs.FileType.NotFound:
+    return sorted(x.base_name for x in store.get_file_info(fs.FileSelector(place, allow_not_found=True)))
+
+
+def delete_folder(path: str) -> None:
+    store, place = _at(path)
+    if store.get_file_info(place).type == fs.FileType.Directory:
+        store.delete_dir(place)
+
+
+def delete(path: str) -> None:
+    if exists(path):
+        store, place = _at(path)
         store.delete_file(place)

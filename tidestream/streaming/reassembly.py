@@ -33,7 +33,7 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
             continue
         held[row.part] = (row.tag, bytes(row.body))
         total = max(total, row.total_parts)
-        if len(held) >= total:
+        if sum(k < total for k in held) >= total:
             done = True
             named = [held[k][1] for k in sorted(held) if held[k][0] == P.TAG_NAME]
             name = named[0].decode("ascii", "replace").replace("\\", "/").rpartition("/")[2] if named else None
