@@ -45,3 +45,39 @@ def test_null_id_and_empty_table(spark):
     got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=str) == [(1, "response", None), (2, "revisit", 1), (None, "response", None)]
     assert warc.archived(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@given(st.lists(st.tuples(st.lists(st.sampled_from(["\r\n", "\r", "\n", "x", "\r\n\r\n"]), max_size=9).map("".join), st.booleans()), max_size=6))
+def test_lines_give_back_the_records(parts):
+    made, want = b"", []
+    for text, revisit in parts:
+        block = b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\n" + text.encode()
+        made += f"WARC/1.1\r\nWARC-Type: {revisit}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + warc.GAP
+        want.append((str(revisit), block))
+    assert [(h["WARC-Type"], b) for h, b in warc.parse(made)] == want
+
+
+def test_long_archives_are_read_as_a_stream_and_merged_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PART_ENTRIES", 40)
+    monkeypatch.setattr(warc, "RECORDS_PER_ARCHIVE", 90)
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    rnd = random.Random(8)
+    rows = []
+    for d in range(400):
+        text = "".join(rnd.choice(["\r\n\r\n", "\r\n", "\r", "\n", "a" * rnd.randint(1, 400), "\r\n\r\r\n\r\n"]) for _ in range(rnd.randint(0, 60)))
+        rows.append((d, f"http://h{d % 7}.org/{rnd.randint(0, 50)}", text * (40 if d % 50 == 0 else 1)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.archived(df, f"file://{tmp_path}/w").collect()
+    assert len(list((tmp_path / "w").glob("*.gz"))) == 5
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == sorted((d, len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for d, _, t in rows)
+    order = [(r.url_key, r.captured, r.page_id) for r in got]
+    assert order == sorted(order)
+
+
+def test_a_broken_archive_is_an_error():
+    for data in (b"x\r\n\r\n", b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcdefgh\r\n\r\n"):
+        try:
+            list(warc.parse(data))
+        except ValueError:
+            continue
+        raise AssertionError(data)

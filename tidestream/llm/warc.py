@@ -1,14 +1,17 @@
 """WARC archives of pages, and the globally ordered index of what they hold.
 
 Writing: one record per page, a response or, where an equal payload has been stored, a revisit that refers to it; Spark's
-text writer makes one archive per task, the blank line after each record being its line separator. Reading: each archive
-is parsed by its records' lengths, payloads hashed anew, and its index entries sorted: a local run. Merging: entries are
-range-partitioned by URL key and time, and within a partition a loser tree merges the runs that reach into it.
+text writer makes archives of some records each, the blank line after each record being its line separator. Reading: Spark's text
+reader gives each archive's lines as a stream, cut at blank lines, and a task puts them together again and parses records by their
+lengths, holding one record at a time whatever the size of the archive; payloads are hashed anew. Index entries are sorted archive by
+archive: local runs. Merging: entries are range-partitioned by URL key and time, into as many parts as keep each below PART_ENTRIES,
+and within a partition a loser tree merges the runs that reach into it, each read block by block from its Arrow batches.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,8 +23,11 @@ from pyspark.sql import functions as F
 
 from tidestream.llm import common as C
 
-#: Payloads of fewer bytes are never revisits; records of an archive at most.
-LEAST_SHARED, RECORDS_PER_ARCHIVE = 100, 20_000
+#: Payloads of fewer bytes are never revisits; records of an archive at most; entries (some 250 bytes each) that one task merges, and
+#: those of a run that it has as Python rows at once.
+LEAST_SHARED, RECORDS_PER_ARCHIVE, PART_ENTRIES, BLOCK = 100, 20_000, 400_000, 512
+#: What stands after each record, and between the lines that the text reader gives.
+GAP = b"\r\n\r\n"
 #: Second 0 of a capture without a time of its own: page_id counts seconds from it.
 EPOCH = 1_704_067_200
 _INDEX = "run string, at long, url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -63,7 +69,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, folder: str) -> None:
     """Writes gzip-compressed archives to folder, which must be shared by driver and executors."""
-    records(pages).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(folder)
+    records(pages).write.option("lineSep", GAP.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(folder)
 
 
 def url_key(url: str) -> str:
@@ -77,40 +83,77 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (tail or "/").lower()
 
 
-def parse(archive: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
+class Parser:
+    """Records of an archive that comes line by line, lines being parted by GAP; one record is held at a time."""
+
+    def __init__(self):
+        self.headers: dict[str, str] | None = None
+        self.lines: list[bytes] = []
+        self.left, self.skip = 0, b""  # bytes of the block that are still to come; what is left of a GAP that began in a block's end
+
+    def feed(self, line: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        """(headers, block) of the record that ends with this line, if one does."""
+        if self.headers is None:
+            if not line.startswith(self.skip):
+                raise ValueError("a record isn't followed by a blank line")
+            head, self.skip = line[len(self.skip) :].decode().split("\r\n"), b""
+            if head == [""]:
+                return
+            if not head[0].startswith("WARC/"):
+                raise ValueError("no record begins where one should")
+            self.headers = dict(x.split(": ", 1) for x in head[1:])
+            self.left = int(self.headers["Content-Length"])
+            return
+        self.lines.append(line)
+        self.left -= len(line) + len(GAP)
+        if self.left < 0:
+            block = GAP.join([*self.lines, b""])
+            if block[self.left :] != GAP[: -self.left]:
+                raise ValueError("a record is longer than it says")
+            headers, self.headers, self.lines, self.skip = self.headers, None, [], GAP[-self.left :]
+            yield headers, block[: self.left]
+
+
+def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of an uncompressed archive."""
-    at, view = 0, memoryview(archive)
-    while at < len(archive):
-        end = archive.index(b"\r\n\r\n", at)
-        lines = archive[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(headers["Content-Length"])
-        yield headers, view[end + 4 : end + 4 + size]
-        at = end + 8 + size
+    parser = Parser()
+    for line in archive.split(GAP):
+        yield from parser.feed(line)
 
 
-def _entries(batches):
-    import zlib
+def _entry(headers: dict[str, str], block: bytes) -> tuple:
+    number = lambda name: int(x[10:-1]) if (x := headers.get(name)) else None
+    if headers["WARC-Type"] == "response":
+        cut = block.index(GAP) + len(GAP)
+        size, digest = len(block) - cut, hashlib.sha256(memoryview(block)[cut:]).hexdigest()
+    else:
+        size, digest = int(re.search(rb"Content-Length: (\d+)", block)[1]), headers["WARC-Payload-Digest"][7:]
+    return url_key(headers["WARC-Target-URI"]), headers["WARC-Date"], number("WARC-Record-ID"), size, digest, headers["WARC-Type"], number("WARC-Refers-To")
+
+
+def _order(row: tuple) -> tuple:
+    return row[0], row[1], row[2] is not None, row[2] or 0
+
 
+def _entries(batches):
+    """Rows are an archive's path and a line of it; archives come one after the other."""
     schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string()}[t]) for n, t in (x.split() for x in _INDEX.split(", "))])
+    last, parser, rows = None, Parser(), []
+
+    def run():
+        name = hashlib.md5(last.encode()).hexdigest()
+        rows.sort(key=_order)
+        for i in range(0, len(rows), 4096):
+            columns = list(zip(*[(name, i + k, *r) for k, r in enumerate(rows[i : i + 4096])], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = []
-            for headers, block in parse(zlib.decompress(content, 31)):
-                cut = bytes(block[:400]).index(b"\r\n\r\n") + 4
-                number = lambda name, h=headers: int(x[10:-1]) if (x := h.get(name)) else None
-                if headers["WARC-Type"] == "response":
-                    size, digest = len(block) - cut, hashlib.sha256(block[cut:]).hexdigest()
-                else:
-                    size, digest = int(re.search(rb"Content-Length: (\d+)", block)[1]), headers["WARC-Payload-Digest"][7:]
-                rows.append((url_key(headers["WARC-Target-URI"]), headers["WARC-Date"], number("WARC-Record-ID"), size, digest, headers["WARC-Type"], number("WARC-Refers-To")))
-            rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0))
-            run = hashlib.md5(path.encode()).hexdigest()
-            for i in range(0, len(rows), 4096):
-                columns = list(zip(*[(run, i + k, *r) for k, r in enumerate(rows[i : i + 4096])], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+        for path, line in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if path != last:
+                yield from run() if rows else ()
+                last, parser, rows = path, Parser(), []
+            rows += [_entry(*record) for record in parser.feed(line.as_py())]
+    yield from run() if rows else ()
 
 
 def merge(runs: list[Iterable], key) -> Iterator:
@@ -139,31 +182,32 @@ def merge(runs: list[Iterable], key) -> Iterator:
 
 
 def _merged(batches):
-    """Rows come sorted by run and place in it."""
-    runs: list[list[tuple]] = []
-    last, schema = None, None
+    """Rows come sorted by run and place in it; they stay Arrow batches but for a block of each run."""
+    runs: dict[str, list[pa.RecordBatch]] = {}
+    schema = None
     for batch in batches:
         schema = batch.schema
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != last:
-                runs.append([])
-                last = row[0]
-            runs[-1].append(row)
-    out = []
-    for row in merge(runs, lambda r: (r[2], r[3], r[4] is not None, r[4] or 0)):
-        out.append(row)
-        if len(out) == 4096:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-            out = []
-    if out:
+        names = batch.column(0).to_pylist()
+        edge = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            runs.setdefault(names[a], []).append(batch.slice(a, b - a))
+
+    def rows(parts: list[pa.RecordBatch]):
+        for part in parts:
+            for i in range(0, len(part), BLOCK):
+                yield from zip(*(c.to_pylist() for c in part.slice(i, BLOCK).columns), strict=True)
+
+    merged = merge([rows(parts) for parts in runs.values()], lambda r: _order(r[2:]))
+    while out := list(itertools.islice(merged, 4096)):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def index(spark: SparkSession, folder: str) -> DataFrame:
     """The entries of all archives in folder, ordered by url_key, captured and page_id over all partitions."""
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(folder).select("path", "content")
-    entries = C.checkpointed(content.mapInArrow(_entries, _INDEX))
-    dealt = entries.repartitionByRange(C.shuffle_partitions(spark), "url_key", "captured", "page_id").sortWithinPartitions("run", "at")
+    lines = spark.read.option("lineSep", GAP.decode()).option("pathGlobFilter", "*.txt.gz").text(folder)
+    entries = C.checkpointed(lines.select("_metadata.file_path", F.col("value").cast("binary")).mapInArrow(_entries, _INDEX))
+    parts = max(C.shuffle_partitions(spark), -(-entries.count() // PART_ENTRIES))
+    dealt = entries.repartitionByRange(parts, "url_key", "captured", "page_id").sortWithinPartitions("run", "at")
     return dealt.mapInArrow(_merged, _INDEX).drop("run", "at")
 
 
@@ -174,7 +218,6 @@ def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
     Of records with equal payloads of LEAST_SHARED bytes or more, those of the smallest page_id are responses."""
     spark = pages.sparkSession
     if folder is None:
-        C.checkpointed(spark.range(0))  # makes sure of the shared folder
-        folder = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+        folder = f"{C.folder(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, folder)
     return index(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
