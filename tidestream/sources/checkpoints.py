@@ -18,6 +18,12 @@ def folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whichever store Spark has it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """The rows of df, written once: whatever reads them again doesn't make them again."""
     folder(df.sparkSession)
