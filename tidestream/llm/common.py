@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidestream.sources.checkpoints import checkpointed, folder  # noqa: F401  (used as common.checkpointed, common.folder)
+
 #: A word, as a Java regular expression: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -24,15 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """The rows of df, written once to the shared checkpoint folder; only an unset folder (tests) becomes a local one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidestream-checkpoint-"))
-    return df.checkpoint(eager)
-
-
 def blank_split(text: Column) -> Column:
     """text, not null, split at every blank; single-character replaces and splits cost less than regular expressions."""
     for c in SPACES[1:]:

@@ -5,11 +5,15 @@ unchanged wherever the item occurs within k edits: each exact piece hit (one aut
 items) gives a stretch of the document in which Myers' bit-parallel distance then finds the best end. Letter case and
 the kind and number of white space do not count.
 
-The items are the query set: they are taken in blocks of at most about BLOCK_ITEMS, each block against all documents.
+The items are the query set: they are taken in blocks of at most about BLOCK_ITEMS, each block against all documents. More
+than one block are taken one after the other, each one's matches written down before the next is sent out, so that the driver and the
+executors hold one block at a time.
 """
 
 from __future__ import annotations
 
+import functools
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -125,13 +129,16 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block_items:
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("trim(text) != ''")
     blocks = max(1, -(-items.count() // block_items))
-    out = None
+    parts = []
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         held = spark.sparkContext.broadcast(tuple(sorted((tuple(r) for r in block.collect()), key=str)))
         part = docs.select("doc_id", "text").mapInArrow(lambda it, held=held: _matches(it, held, rate), "doc_id long, item_id long, distance int, budget int")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+        if blocks > 1:
+            part = C.checkpointed(part.distinct())
+            held.unpersist()
+        parts.append(part)
+    return functools.reduce(DataFrame.unionByName, parts).distinct()
 
 
 def without_matches(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
