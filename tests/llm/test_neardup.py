@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from tidestream.llm import neardup
+from tidestream.llm import common, neardup
 
 SCHEMA = "doc_id long, text string, node string, bands int"
 
@@ -57,7 +57,8 @@ def test_components_match_brute_force(spark, sizes):
 
 
 @pytest.mark.parametrize("sizes", [{}, {"block": 8, "visitors": 5}])
-def test_borderline_family_of_many_members(spark, sizes):
+def test_borderline_family_of_many_members(spark, sizes, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0 if sizes else 20_000)
     rows = corpus(7, families=2, per=80, rate=(0.02, 0.07))
     assert run(spark, rows, **sizes) == brute(rows)
 
@@ -118,3 +119,22 @@ def test_signature_slots_estimate_similarity():
         assert (a == b).all() and (a != np.iinfo(np.uint64).max).all()
     a, b = neardup.super_minhash([np.unique(base), np.unique(other)], 200)
     assert abs((a == b).mean() - 800 / 1200) < 0.12
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "sparse", "none"])
+def test_components_of_links(spark, shape):
+    rnd = random.Random(6)
+    n = 300
+    names = rnd.sample(range(10_000), n)
+    links = {"path": [(i, i + 1) for i in range(n - 1)], "star": [(n - 1, i) for i in range(n - 1)], "sparse": [(rnd.randrange(n), rnd.randrange(n)) for _ in range(200)], "none": []}[shape]
+    links = [(names[a], names[b]) for a, b in links]
+    parent = {x: x for x in names}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = neardup.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in names if find(x) != x)

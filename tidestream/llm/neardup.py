@@ -5,7 +5,7 @@
    and take no part in the rounds between.
 2. Stars: of each band's bucket every member is held against the one of least hash only: as many pairs as members. Pairs
    whose signatures agree in less than SKETCH_LEAST of the slots are left; the others are verified on their whole sets, and
-   the links make components by alternating min-label steps.
+   the links make components in rounds of union-find.
 3. The rest: only buckets that still hold several components go on. Each of their members has one home, a block of about BLOCK
    members or BLOCK_SHINGLES in its largest bucket; a component that fills blocks has blocks of its own. For each two blocks that
    meet in a bucket and hold different components, the members of the smaller one visit the larger: once, in however many buckets
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ ROWS, BANDS, SHINGLE = 5, 40, 2
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Members of a block, or their shingles, and visitors of a block that one task takes.
-BLOCK, BLOCK_SHINGLES, VISITORS = 1024, 2_000_000, 8192
+BLOCK, BLOCK_SHINGLES, VISITORS = 256, 500_000, 1024
 #: Share of agreeing slots from which a pair is verified: six standard deviations below 0.8.
 SKETCH_LEAST = 0.63
 #: Shingles that the signature and comparison kernels take at once.
@@ -128,6 +129,33 @@ def _sets(batches, size: int):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), high, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "high", "codes"])
 
 
+def _packed(batches):
+    for batch in batches:
+        texts = [zstandard.compress(x.as_buffer(), 1) if x.is_valid else None for x in batch.column(1).cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "packed"])
+
+
+def _unpacked(batches):
+    for batch in batches:
+        for i in range(0, len(batch), 256):
+            part = batch.slice(i, 256)
+            texts = [zstandard.decompress(x.as_buffer()) if x.is_valid else None for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.large_binary())], names=["doc_id", "text"])
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc_id, high, codes) of the documents in wanted (a column of doc_ids), one row for each of their different texts. A few
+    wanted ones are broadcast; otherwise texts travel compressed."""
+    wanted = C.checkpointed(wanted.toDF("__id").distinct())
+    on, texts, schema = F.col("doc_id") == F.col("__id"), docs.select("doc_id", "text"), "doc_id long, high long, codes binary"
+    if wanted.limit(C.BROADCAST_ROWS + 1).count() <= C.BROADCAST_ROWS:
+        sets = texts.join(F.broadcast(wanted), on, "left_semi").distinct().mapInArrow(lambda it: _sets(it, size), schema)
+    else:
+        packed = texts.mapInArrow(_packed, "doc_id long, packed binary").join(wanted, on, "left_semi").distinct()
+        sets = packed.mapInArrow(lambda it: _sets(_unpacked(it), size), schema)
+    return sets.filter("octet_length(codes) > 0")
+
+
 def _linked(batches, percent: int):
     for batch in batches:
         keep = []
@@ -149,9 +177,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     high_a and high_b tell which of the sets of a and of b are meant, as rows of one doc_id can differ.
 
     Each task unites its links at once, so a task needs one Python worker, not one for each of two steps."""
-    wanted = pairs.select(F.col("a").alias("__id")).union(pairs.select(F.col("b").alias("__id"))).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__id"), "left_semi").distinct()
-    sets = C.checkpointed(texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, high long, codes binary").filter("octet_length(codes) > 0"))
+    sets = C.checkpointed(_sets_of(docs, pairs.select("a").union(pairs.select("b")), size))
     first = sets.select(F.col("doc_id").alias("a"), F.col("high").alias("high_a"), F.col("codes").alias("x"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("high").alias("high_b"), F.col("codes").alias("y"))
     both = pairs.join(first, ["a", "high_a"]).join(second, ["b", "high_b"]).select("a", "b", "x", "y")
@@ -182,20 +208,20 @@ def _union(batches):
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes in links (two columns) but the least of each component.
 
-    Union-find within each partition, then rounds of large-star and small-star steps, checkpointed, till every link
-    goes from a node to its component's least. Minima are checkpointed before they are joined: both sides of the join are
-    plain shuffles then, so that Spark can split the partition of a node with many links."""
+    Rounds, till every link goes from a node to its component's least: links are dealt out by their greater end and each task
+    unites its own (so a node with several lesser ends links these), then each lesser end gives way to the least that it is itself
+    linked to. A task sends one link for each of its nodes, so no node brings more rows together than there are tasks."""
     u, v = links.columns
-    edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u != v")
-    edges = C.checkpointed(edges.mapInArrow(_union, "u long, v long"))
-    while not edges.join(edges.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty() or not edges.groupBy("u").agg(F.min("v").alias("x"), F.max("v").alias("y")).filter("x < y").isEmpty():
-        around = edges.union(edges.select("v", "u"))
-        least = C.checkpointed(around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
-        large = C.checkpointed(around.join(least, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = C.checkpointed(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"))
-        small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = C.checkpointed(small.select("e.u", "e.v").filter("u != v").distinct().mapInArrow(_union, "u long, v long").distinct())
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    n = C.shuffle_partitions(links.sparkSession)
+    edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u != v").mapInArrow(_union, "u long, v long")
+    while True:
+        edges = C.checkpointed(edges.repartition(n, "u").mapInArrow(_union, "u long, v long"))
+        least = C.checkpointed(edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")))
+        ends = least.select(F.col("u").alias("w"))
+        if least.filter("m < most").isEmpty() and least.join(ends, F.col("m") == F.col("w"), "left_semi").isEmpty():
+            return least.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        up = C.left_join_small(edges, least.select(F.col("u").alias("v"), "m"), "v", F.col("u"))
+        edges = up.select("u", F.coalesce("m", "v").alias("v")).mapInArrow(_union, "u long, v long")
 
 
 def _alike(batches, least: float):
@@ -303,9 +329,8 @@ def _across(inside: DataFrame, found: DataFrame, node: DataFrame, docs: DataFram
     at_home = homes.join(tasks, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "node", "high", "component")
     guests = visits.join(tasks, "block").select("block", F.pmod(F.xxhash64("node", "high"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "node", "high", "component")
     rows = C.checkpointed(at_home.unionByName(guests).select(F.xxhash64("block", "part").alias("task"), "side", (F.col("part") == 0).alias("own"), "node", "high", "component"))
-    texts = docs.select("doc_id", "text").join(rows.select(F.col("node").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi").distinct()
-    sets = texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, high long, codes binary").filter("octet_length(codes) > 0").withColumnRenamed("doc_id", "node")
-    whole = C.checkpointed(sets.join(node.select("node", "high", "sketch"), ["node", "high"]))
+    sets = _sets_of(docs, rows.select("node"), size).withColumnRenamed("doc_id", "node")
+    whole = sets.join(node.select("node", "high", "sketch"), ["node", "high"])
     n = C.shuffle_partitions(docs.sparkSession)
     rows = rows.join(whole, ["node", "high"]).select("task", "side", "own", "node", "component", "sketch", "codes")
     return rows.repartition(n, "task").sortWithinPartitions("task", "side").mapInArrow(lambda it: _across_blocks(it, percent, SKETCH_LEAST), "a long, b long")
