@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter
 
 from tidestream.llm import common, licences
@@ -29,23 +30,39 @@ def tokens(x):
     return [t for t in re.split(r"[^a-z0-9.]+|\.(?![0-9])", x.lower()) if t]
 
 
+SPACE = "[ \\t\\n\\x0b\\f\\r]+"
+
+
+def units(path, text):
+    """(single, passage) of a text."""
+    singles = [x.strip(common.SPACES) for x in re.split(licences.SENTENCE, text) if re.search(licences.MENTION, x)]
+    bare = re.sub(licences.END, "", re.sub(licences.BEGIN, r"\1", text))
+    larger = [x for x in re.split(licences.BLANK, bare) if re.search(licences.MENTION, x) and re.search(licences.MORE, x, re.ASCII)]
+    if path and re.search(licences.NAMED, path):
+        larger.append(bare)
+    return [(True, x) for x in singles] + [(False, re.sub(SPACE, " ", x).strip(" ")) for x in larger]
+
+
 def brute(rows):
-    found = [(d, p, t, x.strip()) for d, p, t in rows if t for x in re.split(r"\n|(?<=[.!?])\s+", t) if re.search(licences.MENTION, x)]
-    df = Counter(t for x in [f[3] for f in found] + [t for _, t in licences.TEMPLATES] for t in set(tokens(x)))
-    n = len(found) + len(licences.TEMPLATES)
+    found = [(d, p, *u) for d, p, t in rows if t and re.search(licences.MENTION, t) for u in units(p, t)]
+    templates = licences.all_templates()
+    df = Counter(t for x in [f[3] for f in found] + [t for _, t, _ in templates] for t in set(tokens(x)))
+    n = len(found) + len(templates)
 
     def vector(x):
         v = {t: c * (math.log((1 + n) / (df[t] + 1)) + 1) for t, c in Counter(tokens(x)).items()}
         norm = math.sqrt(sum(w * w for w in v.values()))
         return {t: w / norm for t, w in v.items()}
 
-    own, words = {}, Counter()
-    for d, p, _, x in found:
-        words[d, p] += len(x.split())
+    made = [(name, vector(y), least) for name, y, least in templates]
+    own, single, larger = {}, Counter(), Counter()
+    for d, p, one, x in found:
         v = vector(x)
-        s, name = min((-round(sum(v.get(t, 0) * w for t, w in vector(y).items()), 9), name) for name, y in licences.TEMPLATES)
-        if -s >= licences.LEAST:
-            own[d, p] = min(own.get((d, p), (0, "")), (s, name))
+        hits = [(-s, name) for name, y, least in made if (s := round(sum(v.get(t, 0) * w for t, w in y.items()), 9)) >= least]
+        (single if one else larger)[d, p] += len(x.split()) if one or hits else 0
+        if hits:
+            own[d, p] = min(own.get((d, p), (0, "")), min(hits))
+    words = {k: max(single[k], larger[k]) for k in own}
     given = {}
     for (d, p), (s, name) in own.items():
         text = next(t for a, b, t in rows if (a, b) == (d, p))
@@ -75,3 +92,30 @@ def test_matches_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert licences.licences(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_every_template_is_compared():
+    assert all(re.search(licences.MENTION, t) for _, t, _ in licences.all_templates())
+
+
+def test_standard_notices_are_found_as_headers(spark):
+    """Each notice, wrapped and behind comment marks, in a file of other words; and lines that only sound like licences."""
+    rows, want = [], {}
+    for k, (name, text, _) in enumerate(licences.all_templates()):
+        for style, (first, mark, last) in enumerate([("/*\n", " * ", "\n */"), ("", "# ", ""), ("", "// ", ""), ("", "", "")]):
+            lines = textwrap.wrap(text, 72)
+            d = 10 * k + style
+            rows.append((d, f"/{d}/a.c", first + "\n".join(mark + x for x in lines) + last + "\n\n" + BODY))
+            want[d] = name
+    noise = ["A license to fish is sold here by old men.", "The library is free to all readers of the town.", "She gave her permission to use the garden.", "SPDX-License-Identifier: LicenseRef-Acme-7", "Drive only with a valid driving licence, version B.", "Their songs fell into the public domain long ago.", "He was licensed as a doctor in 1999.", "Free software meetups are held on Mondays."]
+    rows += [(100_000 + k, f"/n{k}/b.c", x + "\n" + BODY) for k, x in enumerate(noise)]
+    got = {r.doc_id: r.own_licence for r in licences.licences(spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(4)).collect()}
+    right = [got[d] == name for d, name in want.items()]
+    assert sum(right) / len(right) >= 0.97, [(d, want[d], got[d]) for d in want if got[d] != want[d]]
+    assert not [x for k, x in enumerate(noise) if got[100_000 + k]]
+
+
+def test_equal_files_take_the_best_of_theirs(spark):
+    rows = [(1, "/a/x", BODY), (1, "/a/x", BODY + "\n" + MIT), (1, "/a/x", BODY), (2, "/a/y", BODY)]
+    got = [(r.doc_id, r.own_licence, r.licence) for r in licences.licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()]
+    assert sorted(got, key=str) == [(1, "MIT", "MIT")] * 3 + [(2, None, None)]

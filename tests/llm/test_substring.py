@@ -61,3 +61,30 @@ def test_texts_lose_only_repeats(spark):
     rows = [(1, text, "a", 0), (2, "own  words\n" + text, "b", 1), (3, text, "c", 2), (4, None, None, None), (5, "", "d", 3), (6, "keeps\n its  space", "e", 4)]
     got = {r.doc_id: tuple(r)[1:] for r in substring.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: (text, "a", 0), 2: ("own words", "b", 1), 4: (None, None, None), 5: ("", "d", 3), 6: ("keeps\n its  space", "e", 4)}
+
+
+def test_windows_around_frequent_words_are_spread(spark):
+    rnd = random.Random(12)
+    own = lambda n: " ".join(f"o{rnd.randrange(10**6)}" for _ in range(n))
+    line = " ".join(f"f{i}" for i in range(20))
+    rows = [(d, f"{own(12)} on behalf of {own(12)}") for d in range(300)] + [(500 + d, f"{own(14)} {line} {own(3)}") for d in range(30)]
+    rows += [(900, rows[3][1] + " tail"), (901, "x " + rows[310][1])]
+    for chunk in (60, 1 << 20):
+        assert run(spark, rows, chunk_words=chunk) == brute(rows, 13)
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hot = substring.frequent(texts.select("text"), 13, 64, 1 << 20)
+    assert 1 <= len(hot) <= 6 * 64
+
+    def fullest(hot):
+        n = {}
+        for b in texts.toArrow().to_batches():
+            for bucket, _, packed in (x for out in substring._send([b], 13, 64, 1 << 20, hot) for x in zip(*(c.to_pylist() for c in out.columns), strict=True)):
+                if bucket >= 0:
+                    n[bucket] = n.get(bucket, 0) + int(substring._unpack(packed, 4)[0][2].sum())
+        return max(n.values()) / sum(n.values())
+
+    assert fullest(hot) < 0.05 < 0.1 < fullest(hot[:0])
+
+
+def test_nothing_is_frequent_in_nothing(spark):
+    assert len(substring.frequent(spark.createDataFrame([(None,), ("",), ("a b",)], "text string"), 13, 16, 100)) == 0

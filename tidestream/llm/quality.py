@@ -59,7 +59,9 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def host_verdicts(rows: DataFrame, host: str = "source") -> DataFrame:
-    """One row per host: its documents, shrunk failure rate of each rule, host_rejected. rows: features with a host column."""
+    """One row per host: its documents, shrunk failure rate of each rule, host_rejected. rows: features with a host column.
+
+    A null host is one like others; no rows give none. With a single host, or rates that don't differ, the prior has strength PRIOR."""
     counts = rows.groupBy(host).agg(F.count("*").alias("host_docs"), *(F.count(F.when(F.expr(c), 1)).alias(f"failed_{r}") for r, c in RULES.items()))
     counts = C.checkpointed(counts)
     rate = {r: F.col(f"failed_{r}") / F.col("host_docs") for r in RULES}

@@ -5,7 +5,8 @@ chunk of documents, all but those of the smallest doc_id are repeats whatever th
 So one occurrence per chunk is all that a window, however frequent, sends on. The remaining windows get the
 least hash of their word triples as minimiser, and consecutive windows of one document with the same minimiser
 travel as one packed string (the text from the first window's first word to the last one's last) to the bucket of
-that minimiser. There, sorting brings equal windows together; their words are compared, so a window
+that minimiser. Triples so frequent that they would overfill a bucket are counted first and rank behind all others, so that windows
+around them spread by their other triples; windows of nothing but such triples go by a hash of all their words. In a bucket, sorting brings equal windows together; their words are compared, so a window
 hash shared by different windows does not count. Ranges of repeated windows then meet their documents.
 
 Words are told apart by 64-bit hashes. A bucket's memory is its share of the corpus over
@@ -27,8 +28,9 @@ from tidestream.llm import common as C
 
 #: Words of a window, words whose hash competes to be the minimiser, words of a task's chunk.
 WINDOW, MINIMISER, CHUNK_WORDS = 13, 3, 1 << 20
-#: Buckets per shuffle partition: a task holds one bucket at a time.
-BUCKETS_PER_PARTITION = 4
+#: Buckets per shuffle partition: a task holds one bucket at a time. A triple is frequent if its windows would fill so many buckets.
+BUCKETS_PER_PARTITION, OVERFULL = 4, 4
+_TOP = np.uint64(1 << 63)
 
 
 def _same(code: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
@@ -81,7 +83,34 @@ def _unpack(blob: bytes, arrays: int) -> tuple[list[np.ndarray], bytes]:
     return [np.frombuffer(raw, "<i8", n, 8 + 8 * n * k) for k in range(arrays)], raw[8 + 8 * n * arrays :]
 
 
-def _super_kmers(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def _triples(code: np.ndarray, window: int) -> np.ndarray:
+    return C.window_codes(code, min(MINIMISER, window), 20)
+
+
+def _common(batches, window: int, share: float, chunk_words: int):
+    """(code, n, words) of the triples that make up `share` or more of a chunk, and of each chunk its words."""
+    for batch in batches:
+        data, offsets = C.text_buffer(batch.column(0))
+        for i, j in C.pieces(offsets, 6 * chunk_words):
+            parts = [C.words(data[offsets[i + a] : offsets[i + b]], offsets[i + a : i + b + 1] - offsets[i + a])[3] for a, b in C.pieces(offsets[i : j + 1] - offsets[i])]
+            code = np.concatenate(parts)
+            triple, n = np.unique(_triples(code, window), return_counts=True)
+            many = n >= share * len(code)
+            columns = np.append(triple[many], np.uint64(0)).view(np.int64), np.append(n[many], 0), np.append(np.zeros(many.sum(), np.int64), len(code))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["code", "n", "words"])
+
+
+def frequent(texts: DataFrame, window: int, buckets: int, chunk_words: int) -> np.ndarray:
+    """The triples that are frequent over all texts, sorted: at most 6 for each bucket. What a chunk has less than half the share of
+    isn't counted, so a triple may be taken for frequent from half the share on."""
+    share = OVERFULL / (buckets * (window - min(MINIMISER, window) + 1)) / 2
+    found = C.checkpointed(texts.mapInArrow(lambda it: _common(it, window, share, chunk_words), "code long, n long, words long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("words").alias("words")))
+    total = found.agg(F.sum("words")).first()[0] or 0
+    hot = found.filter((F.col("n") > 1) & (F.col("n") >= share * total)).select("code").collect()
+    return np.sort(np.array([r.code for r in hot], np.int64).view(np.uint64))
+
+
+def _super_kmers(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int, buckets: int, hot: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Of one chunk of documents: (bucket, 0, packed super-k-mers), and (a key below 0, doc_id, word ranges already settled)."""
     parts = [(C.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), i, offsets[i]) for i, j in C.pieces(offsets)]
     start, end = (np.concatenate([p[0][k] + p[2] for p in parts]) for k in (0, 1))
@@ -105,13 +134,18 @@ def _super_kmers(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window:
     left = at[~gone]
     if not len(left):
         return
-    small = C.window_codes(code, min(MINIMISER, window), 20)
+    small = _triples(code, window)
+    if len(hot):
+        late = hot[np.minimum(np.searchsorted(hot, small), len(hot) - 1)] == small
+        small = np.where(late, small | _TOP, small & ~_TOP)
     span, have = window - min(MINIMISER, window) + 1, 1
     while have < span:  # least of `span` consecutive values, by doubling
         step = min(have, span - have)
         small = np.minimum(small[:-step], small[step:]) if step else small
         have += step
     least = small[left]
+    if len(hot) and (alone := least >= _TOP).any():
+        least[alone] = C.window_codes(code, window, 30)[left[alone]]
     begin = _runs(left, row[left], least)
     count = np.diff(np.append(begin, len(left)))
     w0 = left[begin]
@@ -126,13 +160,13 @@ def _super_kmers(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window:
         yield int(bucket[a]), 0, _pack([x[a:b] for x in arrays], b"".join([view[x:y] for x, y in zip(s[a:b].tolist(), e[a:b].tolist(), strict=True)]))
 
 
-def _send(batches, window: int, buckets: int, chunk_words: int):
+def _send(batches, window: int, buckets: int, chunk_words: int, hot: np.ndarray):
     schema = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("packed", pa.binary())])
 
     def flush(held):
         table = pa.Table.from_batches(held).combine_chunks()
         data, offsets = C.text_buffer(table.column("text").combine_chunks())
-        out = list(_super_kmers(table.column("doc_id").to_numpy(), data, offsets, window, buckets))
+        out = list(_super_kmers(table.column("doc_id").to_numpy(), data, offsets, window, buckets, hot))
         for k in range(0, len(out), 512):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 512], strict=True), schema.types, strict=True)], schema=schema)
 
@@ -204,7 +238,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, chunk_words: int = CHUNK_WORD
     """(doc_id, ranges): packed pairs of first word and number of windows that an earlier document also holds."""
     n = C.shuffle_partitions(docs.sparkSession)
     buckets = BUCKETS_PER_PARTITION * n
-    sent = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(lambda it: _send(it, window, buckets, chunk_words), "bucket long, doc_id long, packed binary")
+    docs = docs.filter("doc_id is not null").select("doc_id", "text")
+    hot = docs.sparkSession.sparkContext.broadcast(frequent(docs.select("text"), window, buckets, chunk_words))
+    sent = docs.mapInArrow(lambda it: _send(it, window, buckets, chunk_words, hot.value), "bucket long, doc_id long, packed binary")
     dealt = sent.repartition(n, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(lambda it: _receive(it, window), "doc_id long, ranges binary")
 
