@@ -118,6 +118,8 @@ def test_tags_and_their_names(spark):
     df = spark.createDataFrame([(data,), (b"junk",)], "payload binary")
     got = [r.t for r in df.select(images.named_tags(images.tags("payload")).alias("t")).collect()]
     assert got[0]["ImageWidth"] == "120" and got[0]["DateTime"] == "2024:01:02 03:04:05" and "GPSInfo" in got[0] and got[1] is None
+    place = df.limit(1).select(images.named_tags(images.gps_tags("payload"), images.GPS_TAG_NAMES).alias("t")).first().t
+    assert (place["GPSLatitudeRef"], place["GPSLongitude"]) == ("S", "4 15 36")
     unknown = spark.range(1).select(images.named_tags(F.create_map(F.lit(60001), F.lit("x"))).alias("t")).first().t
     assert unknown == {"60001": "x"}
     sizes = [(r.e.width, r.e.length, r.e.datetime) for r in df.select(images.exif("payload").alias("e")).collect()]

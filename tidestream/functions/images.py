@@ -37,6 +37,13 @@ TAG_NAMES = {
     37378: "ApertureValue", 37380: "ExposureBiasValue", 37383: "MeteringMode", 37385: "Flash", 37386: "FocalLength", 37500: "MakerNote", 37510: "UserComment",
     40960: "FlashPixVersion", 40961: "ColorSpace", 40962: "ExifImageWidth", 40963: "ExifImageHeight", 41729: "SceneType", 41986: "ExposureMode", 41987: "WhiteBalance",
 }
+GPS_TAG_NAMES = {
+    0: "GPSVersionID", 1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude", 5: "GPSAltitudeRef", 6: "GPSAltitude", 7: "GPSTimeStamp",
+    8: "GPSSatellites", 9: "GPSStatus", 10: "GPSMeasureMode", 11: "GPSDOP", 12: "GPSSpeedRef", 13: "GPSSpeed", 14: "GPSTrackRef", 15: "GPSTrack",
+    16: "GPSImgDirectionRef", 17: "GPSImgDirection", 18: "GPSMapDatum", 19: "GPSDestLatitudeRef", 20: "GPSDestLatitude", 21: "GPSDestLongitudeRef",
+    22: "GPSDestLongitude", 23: "GPSDestBearingRef", 24: "GPSDestBearing", 25: "GPSDestDistanceRef", 26: "GPSDestDistance", 27: "GPSProcessingMethod",
+    28: "GPSAreaInformation", 29: "GPSDateStamp", 30: "GPSDifferential", 31: "GPSHPositioningError",
+}
 
 
 def corrected(data: bytes) -> np.ndarray:
@@ -92,17 +99,26 @@ def _exif(data: bytes) -> tuple[int, int, str | None]:
     return int(tags[tiff.WIDTH][0]), int(tags[tiff.LENGTH][0]), tags.get(tiff.DATE_TIME)
 
 
+def _printed(found: dict) -> dict[int, str]:
+    return {int(k): v if isinstance(v, str) else " ".join(map(str, v)) if isinstance(v, tuple) else str(v) for k, v in found.items()}
+
+
 @F.pandas_udf(T.MapType(T.IntegerType(), T.StringType()))
 def tags(payload: pd.Series) -> pd.Series:
     """The number and the printed value of each tag of an image; null where it cannot be read."""
-    printed = lambda v: v if isinstance(v, str) else " ".join(map(str, v)) if isinstance(v, tuple) else str(v)
-    return payload.map(lambda x: _or(None, lambda b: {int(k): printed(v) for k, v in tiff.of_file(b).tags.items()}, x))
+    return payload.map(lambda x: _or(None, lambda b: _printed(tiff.of_file(b).tags), x))
+
+
+@F.pandas_udf(T.MapType(T.IntegerType(), T.StringType()))
+def gps_tags(payload: pd.Series) -> pd.Series:
+    """The same of an image's position."""
+    return payload.map(lambda x: _or(None, lambda b: _printed(tiff.of_file(b).gps), x))
 
 
-def named_tags(tags: Column) -> Column:
+def named_tags(tags: Column, names: dict[int, str] = TAG_NAMES) -> Column:
     """A map of tags with their names in place of their numbers; a number without a known name stands for itself."""
-    names = F.create_map(*[F.lit(x) for pair in TAG_NAMES.items() for x in pair])
-    return F.transform_keys(tags, lambda k, _: F.coalesce(F.element_at(names, k), k.cast("string")))
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.transform_keys(tags, lambda k, _: F.coalesce(F.element_at(known, k), k.cast("string")))
 
 
 @F.pandas_udf(S.EXIF)

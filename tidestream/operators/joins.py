@@ -38,6 +38,17 @@ def with_images(results: DataFrame, images: DataFrame) -> DataFrame:
     return results.join(images.select("filename", "payload"), "filename")
 
 
+def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """How often each actual label (null among them) was predicted as which: actual, predicted, n."""
+    return rows.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def accuracy(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """One row: how many rows have an actual label, and the share of these that was predicted right; a null prediction is wrong."""
+    right = F.count(F.when(F.col(actual) == F.col(predicted), 1))
+    return rows.filter(F.col(actual).isNotNull()).agg(F.count("*").alias("n"), F.try_divide(right, F.count("*")).alias("accuracy"))
+
+
 def widest_pairs(points: DataFrame, group: str, x: Column, y: Column) -> DataFrame:
     """group, n_points and the greatest distance between two of its points in the plane.
 

@@ -101,6 +101,11 @@ def corrected(windows: DataFrame, corrections_: DataFrame, labels: Sequence[str]
     return rows.select(*rest, total.cast("long").alias("totalCount"), *(F.col(x).alias(f"uncorrected_{x}Count") for x in labels), *(c.alias(f"{x}Count") for x, c in concentration.items()))
 
 
+def accounted(records: DataFrame, least: float = 0.5) -> DataFrame:
+    """Those corrected windows of whose images (hits and misses) more than a share was counted; windows without any are left out."""
+    return records.filter(F.col("totalCount") > least * (F.col("hits") + F.col("misses")))
+
+
 def payloads(records: DataFrame, key: str = "minute") -> DataFrame:
     """key and `payload`, each record as JSON."""
     return records.select(key, F.to_json(F.struct(*records.columns)).alias("payload"))

@@ -169,6 +169,12 @@ def positional_correction(spark, sf_dir):
     return windows.corrected(found, _corrected(found), EVENT_TYPES).withColumn("minute", _text("minute"))
 
 
+@query(f"WITH {_WINDOWS} SELECT win_seq FROM w JOIN l USING (win_seq) WHERE win_seq <= (SELECT max(win_seq) FROM w) - 10 AND click + error + purchase + signup + view > 0.2 * (hits + misses)")
+def accounted_windows(spark, sf_dir):
+    found = _sequenced(spark, sf_dir)
+    return windows.accounted(windows.corrected(found, _corrected(found), EVENT_TYPES), 0.2).select("win_seq")
+
+
 @query(f"WITH {_WINDOWS} SELECT win_seq, l.hits IS NOT NULL AND win_seq <= (SELECT max(win_seq) FROM w) - 10 AS emitted FROM w LEFT JOIN l USING (win_seq)")
 def emitted_only_corrected(spark, sf_dir):
     found = _sequenced(spark, sf_dir)
@@ -272,6 +278,23 @@ def argmax_class(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", scalars.argmax(F.col("embedding")).alias("class"))
 
 
+_CLASS = "(list_position(embedding, list_max(embedding)) - 1)::int % 8"
+
+
+def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("label") % 8, (scalars.argmax(F.col("embedding")) % 8).alias("found")).toDF("label", "found")
+
+
+@query(f"SELECT label % 8 AS actual, {_CLASS} AS predicted, count(*) AS n FROM embeddings GROUP BY 1, 2")
+def confusion_matrix(spark, sf_dir):
+    return joins.confusion(_classed(spark, sf_dir), "label", "found")
+
+
+@query(f"SELECT count(*) AS n, round(count(*) FILTER (label % 8 = {_CLASS})::double / count(*), 9) AS accuracy FROM embeddings WHERE label IS NOT NULL")
+def accuracy(spark, sf_dir):
+    return joins.accuracy(_classed(spark, sf_dir), "label", "found").withColumn("accuracy", F.round("accuracy", 9))
+
+
 @query(
     """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::double - list_max(embedding)::double)) AS p FROM embeddings)
     SELECT vec_id, round(list_max(p) / list_sum(p), 6) AS top_score FROM e"""

@@ -13,15 +13,15 @@ from pyspark.sql.streaming import StreamingQueryListener
 from tidestream import schemas as S
 from tidestream.sources import packets
 
-#: Bytes of a log file, and how many older ones stay.
-LOG_BYTES, LOG_FILES = 5_000_000, 5
+#: When a log file is closed, and how many older ones stay.
+LOG_WHEN, LOG_FILES = "midnight", 21
 
 
 def logger(path: str, name: str = "tidestream") -> logging.Logger:
-    """A logger to a file that is rotated by size, on the driver."""
+    """A logger to a file that is rotated each midnight, on the driver."""
     log = logging.getLogger(name)
     if not log.handlers:
-        handler = logging.handlers.RotatingFileHandler(path, maxBytes=LOG_BYTES, backupCount=LOG_FILES)
+        handler = logging.handlers.TimedRotatingFileHandler(path, when=LOG_WHEN, backupCount=LOG_FILES)
         handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
         log.addHandler(handler)
         log.setLevel(logging.INFO)
