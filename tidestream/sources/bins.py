@@ -99,4 +99,4 @@ def write(images: DataFrame, path: str) -> None:
     spark = images.sparkSession
     spark.dataSource.register(BinFrames)
     rows = images.select("filename", "payload", scalars.bin_name(F.col("arrival")).alias("bin"))
-    rows.filter("filename is not null and payload is not null").sortWithinPartitions("bin").write.format("binframes").mode("append").save(path)
+    rows.filter("filename is not null and payload is not null").sortWithinPartitions("bin").write.format("binframes").mode("append").save(shared.qualified(spark, path))

@@ -105,4 +105,4 @@ def write_images(images: DataFrame, path: str, prefix: Column | None = None, cla
         again = images.select(scalars.basename(name).alias("name")).filter("name is not null").groupBy("name").count().filter("count > 1").first()
         if again:
             raise ValueError(f"{again['count']} images are called {again['name']}")
-    images.select(name.alias("filename"), "payload").filter("filename is not null and payload is not null").write.format("imagefiles").mode("append").save(path)
+    images.select(name.alias("filename"), "payload").filter("filename is not null and payload is not null").write.format("imagefiles").mode("append").save(shared.qualified(images.sparkSession, path))

@@ -1,10 +1,11 @@
-"""Files in folders that driver and executors share, by URI; a path without a scheme is a local one, for one machine."""
+"""Files in folders that driver and executors share, by URI (see `qualified`); a path without a scheme is a local one, for one machine."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import WriterCommitMessage
 
 
@@ -17,6 +18,13 @@ def _at(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as a URI of the store that Spark's readers would look for it in, which tasks can't tell by themselves."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def create(path: str):
     store, place = _at(path)
     store.create_dir(place.rpartition("/")[0], recursive=True)
