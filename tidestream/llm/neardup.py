@@ -144,15 +144,11 @@ def _unpacked(batches):
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc_id, high, codes) of the documents in wanted (a column of doc_ids), one row for each of their different texts. A few
-    wanted ones are broadcast; otherwise texts travel compressed."""
-    wanted = C.checkpointed(wanted.toDF("__id").distinct())
-    on, texts, schema = F.col("doc_id") == F.col("__id"), docs.select("doc_id", "text"), "doc_id long, high long, codes binary"
-    if wanted.limit(C.BROADCAST_ROWS + 1).count() <= C.BROADCAST_ROWS:
-        sets = texts.join(F.broadcast(wanted), on, "left_semi").distinct().mapInArrow(lambda it: _sets(it, size), schema)
-    else:
-        packed = texts.mapInArrow(_packed, "doc_id long, packed binary").join(wanted, on, "left_semi").distinct()
-        sets = packed.mapInArrow(lambda it: _sets(_unpacked(it), size), schema)
+    """(doc_id, high, codes) of the documents in wanted (a column of doc_ids), one row for each of their different texts, which travel
+    compressed."""
+    packed = docs.select("doc_id", "text").mapInArrow(_packed, "doc_id long, packed binary")
+    packed = packed.join(wanted.toDF("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_semi").distinct()
+    sets = packed.mapInArrow(lambda it: _sets(_unpacked(it), size), "doc_id long, high long, codes binary")
     return sets.filter("octet_length(codes) > 0")
 
 
