@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidestream.llm import chat, mixing, quality, warc
+from tidestream.llm import audit, chat, fim, mixing, quality, warc
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -94,6 +94,35 @@ SELECT doc_id, size, source_size, target, once + again AS taken, CASE WHEN once
        CASE WHEN again > 0 THEN {position('start + source_size + again / 2')} END AS second_position FROM taken"""
 
 
+FILL = f"""
+WITH docs AS (SELECT coalesce(text, '') AS t, length(coalesce(text, '')) AS n, doc_id, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+     drawn AS (SELECT *, [('0x' || substr(h, 8 * k + 1, 8))::BIGINT FOR k IN [0, 1, 2, 3]] AS x FROM docs),
+     cut AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '{fim.PREFIX}') OR contains(t, '{fim.SUFFIX}') OR contains(t, '{fim.MIDDLE}') OR x[3] % 100 >= {100 - fim.PLAIN} THEN 'plain' WHEN x[4] % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+     parts AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN a END AS prefix_chars, CASE WHEN form != 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{fim.PREFIX}' || p || '{fim.SUFFIX}' || s || '{fim.MIDDLE}' || m ELSE '{fim.SUFFIX}' || s || '{fim.PREFIX}' || p || '{fim.MIDDLE}' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts"""
+
+_LETTERS = ", ".join(f"('{x}')" for x in audit.FILTERS)
+
+AUDIT = rf"""
+WITH RECURSIVE letters(f) AS (VALUES {_LETTERS}),
+     docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+     firsts AS (SELECT t, min(doc_id) AS first FROM docs GROUP BY t),
+     said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+     failed AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [len(w) < {audit.WORDS}, 100 * len(list_distinct(w)) < {audit.DISTINCT} * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {audit.CAPITALS} * length(t), regexp_matches(t, '{audit.SYMBOL}'), coalesce(docs.doc_id > first, false)] AS fails
+         FROM docs JOIN firsts USING (t) LEFT JOIN said ON docs.doc_id = said.doc_id),
+     cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, fails),
+     orders AS (SELECT '' AS o UNION ALL SELECT o || f FROM orders, letters WHERE NOT contains(o, f)),
+     steps AS (SELECT o, step, instr('{audit.FILTERS}', o[step]) AS own, [instr('{audit.FILTERS}', o[i]) FOR i IN range(1, step)] AS before FROM orders, range(1, 6) AS r(step) WHERE length(o) = 5),
+     rows AS (SELECT part, o, step, own, n, good, toxic, fails[own] AS f, list_any_value(list_filter(list_transform(before, lambda i: fails[i]), lambda x: x)) IS NOT NULL AS gone, len(list_filter(fails, lambda x: x)) = 1 AND fails[own] AS alone FROM steps, cells),
+     audit AS (SELECT part, o AS filter_order, step::INT AS step, own, coalesce(sum(n) FILTER (NOT f AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (f AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (f AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (f AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (f AND NOT gone), 0)::BIGINT AS toxic_lost FROM rows GROUP BY part, o, step, own)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM audit"""
+
+
 ORACLES = {
     "op1_quality_rules": QUALITY,
     "op3_substring_dedup": SUBSTRING,
@@ -101,4 +130,6 @@ ORACLES = {
     "op7_minhash_dedup": NEAR,
     "op8_warc": WARC,
     "op9_source_mixing": _mixing(),
+    "op11_fill_in_middle": FILL,
+    "op12_filter_audit": AUDIT,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestream.llm import chat, decontam, htmltree, licences, mixing, neardup, oracles, quality, substring, tokens, warc
+from tidestream.llm import audit, chat, decontam, fim, htmltree, langmodel, licences, mixing, neardup, oracles, quality, substring, tokens, warc
 from tidestream.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,18 @@ def licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(docs.select("doc_id", path.alias("path"), "text"))
 
 
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transformed(read(spark, sf_dir, "documents")))
+
+
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.scored(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": quality_rules,
     "op2_decontamination": decontaminate,
@@ -74,6 +86,9 @@ QUERIES: dict[str, Query] = {
     "op8_warc": warc_archives,
     "op9_source_mixing": source_mixing,
     "op10_licence_scans": licence_scans,
+    "op11_fill_in_middle": fill_in_middle,
+    "op12_filter_audit": filter_audit,
+    "op13_model_scores": model_scores,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
