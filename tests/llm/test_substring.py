@@ -56,6 +56,32 @@ def test_repeated_ids_null_ids_and_empty_table(spark):
     assert substring.remove_repeats(empty).columns == ["doc_id", "text", "bucket", "packed"]
 
 
+def test_rows_of_one_id_lose_what_their_own_text_repeats(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(13))
+    other = " ".join(f"q{i}" for i in range(30))
+    rows = [(1, passage), (2, passage + " a b c d e"), (2, other), (2, other), (3, other + " z"), (None, passage)]
+    random.seed(3)
+    more = [(random.randint(5, 9), " ".join(random.choices([passage, other, "x y", f"u{i}"], k=3))) for i in range(60)]
+    for few in (substring.C.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(substring.C, "BROADCAST_ROWS", few)
+        assert run(spark, rows[:-1] + more) == brute(rows[:-1] + more, 13)
+        kept = substring.remove_repeats(spark.createDataFrame([(d, t, "n", {"k": 1}) for d, t in rows], "doc_id long, text string, __doc string, __ranges map<string,int>"))
+        assert sorted((tuple(r)[:2] for r in kept.collect()), key=str) == sorted([(1, passage), (2, "a b c d e"), (2, other), (2, other), (3, "z"), (None, passage)], key=str)
+        assert kept.columns == ["doc_id", "text", "__doc", "__ranges"]
+
+
+def test_a_chunk_sends_few_triples_whatever_the_partitions(spark):
+    random.seed(1)
+    often = "in the name of"
+    texts = spark.createDataFrame([(" ".join([*(f"w{random.randint(0, 10**6)}" for _ in range(900)), often] * 3),) for _ in range(40)], "text string").coalesce(2)
+    sent = texts.mapInArrow(lambda it: substring._sampled(it, 13, 50_000), "code long, n long, seen long, words long")
+    chunks = sent.filter("words > 0").count()
+    assert sent.count() <= (substring.SAMPLED + 1) * chunks and chunks <= 6
+    assert sent.agg({"words": "sum"}).first()[0] == 40 * 3 * 904
+    for partitions in (4, 100_000):
+        substring.frequent(texts, 13, substring.BUCKETS_PER_PARTITION * partitions, 50_000)
+
+
 def test_texts_lose_only_repeats(spark):
     text = " ".join(f"t{i}" for i in range(20))
     rows = [(1, text, "a", 0), (2, "own  words\n" + text, "b", 1), (3, text, "c", 2), (4, None, None, None), (5, "", "d", 3), (6, "keeps\n its  space", "e", 4)]
@@ -77,10 +103,10 @@ def test_windows_around_frequent_words_are_spread(spark):
 
     def fullest(hot):
         n = {}
-        for b in texts.toArrow().to_batches():
-            for bucket, _, packed in (x for out in substring._send([b], 13, 64, 1 << 20, hot) for x in zip(*(c.to_pylist() for c in out.columns), strict=True)):
+        for b in texts.selectExpr("*", "0L as twin").toArrow().to_batches():
+            for bucket, _, _, packed in (x for out in substring._send([b], 13, 64, 1 << 20, hot) for x in zip(*(c.to_pylist() for c in out.columns), strict=True)):
                 if bucket >= 0:
-                    n[bucket] = n.get(bucket, 0) + int(substring._unpack(packed, 4)[0][2].sum())
+                    n[bucket] = n.get(bucket, 0) + int(substring._unpack(packed, 5)[0][3].sum())
         return max(n.values()) / sum(n.values())
 
     assert fullest(hot) < 0.05 < 0.1 < fullest(hot[:0])
