@@ -1,3 +1,4 @@
+import random
 import math
 
 import numpy as np
@@ -83,6 +84,20 @@ def test_label_keys():
     assert len(set(labels.LABEL_KEYS)) == 18
 
 
+def test_unique_keys_of_a_table_are_those_of_a_list(spark):
+    rnd = random.Random(8)
+    tables = [["abcd1", "abcd2", "abcdef", "abcdeg", "abcdeh"], ["abc", "abc1", "abc12", "abcdx", "abcdy", "abcd", "abcd0", "abcd01", ""], [f"Zoo{k % 7}{k:03d}é" for k in range(300)]]
+    tables += [["".join(rnd.choice("ab01") for _ in range(rnd.randint(1, 8))) for _ in range(n)] for n in (5, 40, 200, 400)]
+    for names in tables:
+        names = sorted(set(names))
+        for length in (2, 5):
+            found = labels.unique_key_column(spark.createDataFrame([(x,) for x in [*names, None]], "name string"), "name", length)
+            got = dict(map(tuple, found.collect()))
+            assert got.pop(None) is None and len(set(got.values())) == len(names)
+            assert [got[x] for x in names] == labels.unique_keys(names, length)
+
+
+
 @given(st.lists(st.text("ab", max_size=6)))
 def test_unique_keys_are_unique(names):
     keys = labels.unique_keys(names, 3)

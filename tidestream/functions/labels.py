@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ LABELS = (
 )
 #: Most characters of a label's key.
 KEY_LENGTH = 30
+DIGITS = "0123456789"
 
 
 def unique_keys(labels: Iterable[str], length: int = KEY_LENGTH) -> list[str]:
@@ -45,15 +47,49 @@ def unique_keys(labels: Iterable[str], length: int = KEY_LENGTH) -> list[str]:
 LABEL_KEYS = tuple(unique_keys(LABELS))
 
 
+def _numbered(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """Rows (label, cut, family) sorted by family and label, with keys. All numbers of a stem below its next one are taken, so what is
+    held of a family is that number for each stem, and the cuts that were free."""
+    family, following, own = None, {}, set()
+
+    def taken(name: str) -> bool:
+        digits = len(name) - len(name.rstrip(DIGITS))
+        splits = ((name[: len(name) - k], name[len(name) - k :]) for k in range(1, digits + 1))
+        return name in own or any(not n.startswith("0") and int(n) < following.get(stem, 1) for stem, n in splits)
+
+    for frame in frames:
+        keys = []
+        for cut, of in zip(frame["__cut"], frame["__family"], strict=True):
+            if of != family:
+                family, following, own = of, {}, set()
+            stem = cut[: length - 1]
+            if cut and cut[-1] in DIGITS and not taken(cut):
+                own.add(cut)
+                keys.append(cut)
+                continue
+            n = following.get(stem, 1)
+            while taken(f"{stem}{n}"):
+                n += 1
+            following[stem] = n + 1
+            keys.append(f"{stem}{n}")
+        yield pd.DataFrame({"__label": frame["__label"], "key": keys})
+
+
 def unique_key_column(labels: DataFrame, label: str, length: int = KEY_LENGTH) -> DataFrame:
-    """labels (distinct values of one column) with `key`, the same rule over a table in alphabetic order: of equal
-    stems the first keeps it, the others are numbered among all that share their first length - 1 characters."""
-    stem = F.left(F.col(label), F.lit(length))
-    later = F.row_number().over(Window.partitionBy(stem).orderBy(label)) > 1
-    marked = labels.withColumns({"__stem": stem, "__later": later.cast("int")})
-    number = F.sum("__later").over(Window.partitionBy(F.left("__stem", F.lit(length - 1))).orderBy(label).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    key = F.when(F.col("__later") == 0, F.col("__stem")).otherwise(F.concat(F.left("__stem", F.lit(length - 1)), number.cast("string")))
-    return marked.withColumn("key", key).drop("__stem", "__later")
+    """labels (distinct values of one column) with `key`: what `unique_keys` gives for them in alphabetic order; null has none.
+
+    A cut that doesn't end in a digit can only be wanted by labels of the same cut, so the first of these has it. What is left wants names of
+    one stem and a number: labels whose stems differ in digits at their end alone are a family, and no two families can want the same name.
+    Families are settled side by side, each label after label as it must be, without holding its rows."""
+    cut = F.left(F.col("__label"), F.lit(length))
+    rows = labels.select(F.col(label).alias("__label")).filter("__label is not null").withColumn("__cut", cut)
+    first = F.row_number().over(Window.partitionBy("__cut").orderBy("__label")) == 1
+    rows = rows.withColumn("__settled", first & ~F.col("__cut").rlike("[0-9]$"))
+    family = F.regexp_replace(F.left("__cut", F.lit(length - 1)), "[0-9]+$", "")
+    open_ = rows.filter("not __settled").select("__label", "__cut", family.alias("__family"))
+    numbered = open_.repartition("__family").sortWithinPartitions("__family", "__label").mapInPandas(lambda it: _numbered(it, length), "__label string, key string")
+    keys = rows.filter("__settled").select("__label", F.col("__cut").alias("key")).unionByName(numbered)
+    return labels.join(keys, F.col(label) == F.col("__label"), "left").drop("__label")
 
 
 def group_of(label: Column, patterns: dict[str, str], default: str = "Other") -> Column:

@@ -245,8 +245,11 @@ def route_by_name(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT p_name FROM part), s AS (SELECT p_name, left(p_name, 5) AS stem, (row_number() OVER (PARTITION BY left(p_name, 5) ORDER BY p_name) > 1)::int AS later FROM d)
-    SELECT p_name, CASE WHEN later = 0 THEN stem ELSE left(stem, 4) || (sum(later) OVER (PARTITION BY left(stem, 4) ORDER BY p_name ROWS UNBOUNDED PRECEDING))::bigint END AS key FROM s"""
+    """WITH RECURSIVE l AS (SELECT p_name, row_number() OVER (ORDER BY p_name) AS i FROM (SELECT DISTINCT p_name FROM part)),
+    r AS (SELECT 0::bigint AS i, []::varchar[] AS keys UNION ALL  -- label after label, each beside the keys before it
+        SELECT l.i, list_append(keys, CASE WHEN NOT list_contains(keys, left(p_name, 5)) THEN left(p_name, 5)
+            ELSE left(p_name, 4) || list_min(list_filter(range(1, l.i + 1), lambda n: NOT list_contains(keys, left(p_name, 4) || n))) END) FROM r JOIN l ON l.i = r.i + 1)
+    SELECT p_name, keys[l.i] AS key FROM l, (SELECT keys FROM r ORDER BY i DESC LIMIT 1)"""
 )
 def unique_labels(spark, sf_dir):
     return labels.unique_key_column(table(spark, sf_dir, "part").select("p_name").distinct(), "p_name", 5)
