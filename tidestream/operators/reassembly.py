@@ -23,15 +23,16 @@ def _joined(parts: Column) -> Column:
 def reassembled(packets: DataFrame) -> DataFrame:
     """filename, payload, arrival (of the last packet) of each complete file, once.
 
-    A file is complete when it has all parts below total_parts; others don't count. Of packets of one part the last to arrive counts. Part
+    A file is complete when it has all parts below total_parts, which is one at least; others don't count. Of packets of one part the last to arrive counts. Part
     tagged as a name gives the name, parts from 1 on the payload, in order. At most MOST_PARTS parts of BODY_BYTES meet in one row."""
     part = F.struct("arrival", "body", "tag")
     latest = packets.filter(F.col("part") < S.MOST_PARTS).groupBy("field", "unique_id", "part").agg(F.max(part).alias("p"), F.max("total_parts").alias("total"))
     rows = latest.select("field", "unique_id", "total", F.struct("part", F.col("p.body").alias("body"), F.col("p.tag").alias("tag"), F.col("p.arrival").alias("arrival")).alias("part"))
     files = rows.groupBy("field", "unique_id").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.max("total").alias("total"), F.max("part.arrival").alias("arrival"))
-    whole = files.filter(F.size(F.filter("parts", lambda p: p["part"] < F.col("total"))) >= F.col("total"))
+    files = files.filter("total > 0").withColumn("parts", F.filter("parts", lambda p: p["part"] < F.col("total")))
+    whole = files.filter(F.size("parts") >= F.col("total"))
     name = F.get(F.filter("parts", lambda p: p["tag"] == P.TAG_NAME), 0)["body"]
-    body = F.filter("parts", lambda p: (p["part"] >= 1) & (p["part"] < F.col("total")))
+    body = F.filter("parts", lambda p: p["part"] >= 1)
     return whole.select(scalars.basename(name.cast("string")).alias("filename"), _joined(body).alias("payload"), "arrival")
 
 
