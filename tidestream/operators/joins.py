@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidestream.functions import shapes
@@ -33,6 +33,26 @@ def label_groups(rows: DataFrame, label: str, patterns: DataFrame, default: str
     return out.withColumn("label_group", F.coalesce("label_group", F.lit(default)))
 
 
+def next_at(rows: DataFrame, at: str, marks: DataFrame, mark: str, unit: str = "hour") -> DataFrame:
+    """rows with the columns of the first of marks whose time is not before theirs; null where none follows, or where they have no time. marks have
+    distinct times; columns of one name are those of rows.
+
+    Both are laid in one line in time, cut in pieces of a unit. Within a piece each row takes what follows; what nothing follows there takes the
+    first mark of a later piece, and of that there is one row a piece. So no task orders all rows, and nothing is compared in pairs."""
+    new = [c for c in marks.columns if c not in rows.columns]
+    values = F.struct(*(F.col(c) for c in new))
+    line = marks.filter(F.col(mark).isNotNull()).select(F.col(mark).alias("__at"), F.lit(1).alias("__kind"), values.alias("__next"), F.lit(None).cast(rows.schema).alias("__row"))
+    line = line.unionByName(rows.select(F.col(at).alias("__at"), F.lit(0).alias("__kind"), F.struct(*rows.columns).alias("__row")), allowMissingColumns=True)
+    line = line.withColumn("__piece", F.date_trunc(unit, "__at"))
+    ahead = Window.partitionBy("__piece").orderBy("__at", "__kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    inside = line.withColumn("__next", F.first("__next", ignorenulls=True).over(ahead)).filter("__kind = 0")
+    firsts = line.groupBy("__piece").agg(F.min_by("__next", F.when(F.col("__kind") == 1, F.col("__at"))).alias("__first"))
+    after = Window.orderBy("__piece").rowsBetween(1, Window.unboundedFollowing)  # one row a piece
+    later = firsts.select(F.col("__piece").alias("__p"), F.first("__first", ignorenulls=True).over(after).alias("__later"))
+    found = inside.join(later, F.col("__piece") == F.col("__p"), "left").withColumn("__next", F.when(F.col("__at").isNotNull(), F.coalesce("__next", "__later")))
+    return found.select("__row.*", *(F.col(f"__next.{c}").alias(c) for c in new))
+
+
 def with_images(results: DataFrame, images: DataFrame) -> DataFrame:
     """Results beside the images of their names; results without one are left out."""
     return results.join(images.select("filename", "payload"), "filename")

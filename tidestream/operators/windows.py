@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidestream.functions import scalars
+from tidestream.operators import joins
 
 #: A window is emitted when this many more have closed; so long can control rows correct it.
 DELAY = 10
@@ -86,12 +87,50 @@ def corrections(control_rows: DataFrame, delay: int = DELAY) -> DataFrame:
     return latest.select("win_seq", F.col("c.hits").alias("hits"), F.col("c.misses").alias("misses"))
 
 
-def corrected(windows: DataFrame, corrections_: DataFrame, labels: Sequence[str], every: int = 1, delay: int | None = DELAY) -> DataFrame:
+def event_corrections(control_rows: DataFrame, windows: DataFrame, at: str = "arrival", order: str = "minute", delay: int = DELAY) -> DataFrame:
+    """minute, hits, misses: the latest control row with hits for each minute, matched by time instead of by number of closes.
+
+    control_rows: arrival, n (1..delay), hits, misses. A control stands at the minute of the window that closes next after it arrives; its row n
+    speaks of the minute delay - n minutes before, whatever windows lie between. The two forms differ after gaps only, where this one is right."""
+    good = control_rows.filter((F.col("hits") > 0) & F.col("misses").isNotNull())
+    times = good.select(F.col(at).alias("__arrival"), minute(at).alias("__minute")).distinct()
+    stands = joins.next_at(times, "__minute", windows.select(F.col(order).alias("__closes")), "__closes", "day").filter("__closes is not null")
+    aimed = good.join(stands, good[at] == stands["__arrival"])
+    back = F.timestamp_seconds(F.unix_micros("__closes") / 1_000_000 - 60 * (F.lit(delay) - F.col("n")))
+    rows = aimed.select(back.alias("minute"), F.struct(F.col(at).alias("at"), "n", "hits", "misses").alias("c"))
+    latest = rows.groupBy("minute").agg(F.max("c").alias("c"))
+    return latest.select("minute", F.col("c.hits").alias("hits"), F.col("c.misses").alias("misses"))
+
+
+def calendar(windows: DataFrame, counts: Sequence[str] = (), carried: Sequence[str] = (), order: str = "minute", unit: str = "day") -> DataFrame:
+    """A row for every minute from the first window to the last: counts are 0 and carried values the last known where there is no window, other
+    columns null; `idle` tells these minutes.
+
+    Minutes are made where they are needed: one row per unit makes its own. Values are carried within a unit, and from unit to unit by one row
+    for each, so no task orders all minutes."""
+    rows = windows.withColumn("__unit", F.date_trunc(unit, order))
+    ends = windows.agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first is not null")
+    units = ends.select("first", "last", F.explode(F.sequence(F.date_trunc(unit, "first"), F.date_trunc(unit, "last"), F.expr(f"interval 1 {unit}"))).alias("__unit"))
+    until = F.least(F.col("last"), F.col("__unit") + F.expr(f"interval 1 {unit}") - F.expr("interval 1 minute"))
+    minutes = units.select("__unit", F.explode(F.sequence(F.greatest("first", "__unit"), until, F.expr("interval 1 minute"))).alias(order))
+    out = minutes.join(rows.withColumn("__there", F.lit(True)), ["__unit", order], "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts} | {"idle": F.col("__there").isNull()})
+    if carried:
+        last = rows.groupBy("__unit").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in carried))
+        before = Window.orderBy("__unit").rowsBetween(Window.unboundedPreceding, -1)  # one row a unit
+        known = units.select("__unit").join(last, "__unit", "left").select("__unit", *(F.last(c, ignorenulls=True).over(before).alias(f"__{c}") for c in carried))
+        inside = Window.partitionBy("__unit").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in carried}).join(known, "__unit")
+        out = out.withColumns({c: F.coalesce(c, f"__{c}") for c in carried})
+    return out.select(order, *(c for c in windows.columns if c != order), "idle")
+
+
+def corrected(windows: DataFrame, corrections_: DataFrame, labels: Sequence[str], every: int = 1, delay: int | None = DELAY, by: str = "win_seq") -> DataFrame:
     """The windows (sequenced, a count for each label) that have been corrected at least once, with hits, misses,
     totalCount and `<label>Count` concentrations beside `uncorrected_<label>Count`.
 
-    delay: leave out the last windows, which haven't closed so many closes ago; None keeps them."""
-    rows = windows.join(corrections_, "win_seq")
+    delay: leave out the last windows, which haven't closed so many closes ago; None keeps them. by: what corrections are of."""
+    rows = windows.join(corrections_, by)
     if delay is not None:
         last = windows.agg((F.max("win_seq") - delay).alias("__last"))
         rows = rows.join(F.broadcast(last), F.col("win_seq") <= F.col("__last")).drop("__last")  # one row

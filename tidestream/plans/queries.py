@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidestream import schemas as S
 from tidestream.functions import images, labels, scalars, tiff
 from tidestream.operators import joins, reassembly, windows
-from tidestream.sources import checkpoints, files
+from tidestream.sources import checkpoints, files, quarantine
 from tidestream.sources import packets as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,6 +206,46 @@ def window_payload_json(spark, sf_dir):
     return windows.payloads(positional_correction(spark, sf_dir))
 
 
+_EVENT_TIME = f"""{_WINDOWS},
+    t AS (SELECT DISTINCT ctrl, m - INTERVAL 20 SECOND AS at FROM a JOIN w ON w.win_seq = a.ctrl),
+    s AS (SELECT t.ctrl, t.at, w.m AS closes FROM t ASOF JOIN w ON date_trunc('minute', t.at) <= w.m),
+    e AS (SELECT closes - (10 - n) * INTERVAL 1 MINUTE AS m, arg_max(hits, (s.at, n)) AS hits, arg_max(misses, (s.at, n)) AS misses FROM a JOIN s USING (ctrl) WHERE hits > 0 GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_EVENT_TIME} SELECT strftime(m, '%Y-%m-%d %H:%M:%S') AS minute, win_seq, hits, misses, (click + error + purchase + signup + view)::bigint AS "totalCount", {_OUT}
+    FROM w JOIN e USING (m) WHERE win_seq <= (SELECT max(win_seq) FROM w) - 10"""
+)
+def event_time_correction(spark, sf_dir):
+    """Control rows that arrive 20 seconds before a window, often in a gap, matched to minutes by time."""
+    found = _sequenced(spark, sf_dir)
+    places = found.select("win_seq", (F.col("minute").cast("timestamp") - F.expr("interval 20 seconds")).alias("arrival"))
+    controls = _controls(found).join(places, "win_seq").drop("win_seq")
+    seen = found.withColumn("minute", F.col("minute").cast("timestamp"))
+    rows = windows.event_corrections(files.control_rows(controls), seen)
+    return windows.corrected(seen, rows, EVENT_TYPES, by="minute").withColumn("minute", _text("minute"))
+
+
+@query(
+    f"""WITH w AS (SELECT date_trunc('minute', ts) AS m, count(*) AS n, arg_max(value, event_id) FILTER (event_type = 'purchase' AND value IS NOT NULL) AS v FROM events GROUP BY 1),
+    c AS (SELECT unnest(generate_series(min(m), max(m), INTERVAL 1 MINUTE)) AS m FROM w)
+    SELECT strftime(m, '%Y-%m-%d %H:%M:%S') AS minute, coalesce(n, 0) AS n, last_value(v IGNORE NULLS) OVER (ORDER BY m ROWS UNBOUNDED PRECEDING) AS last_purchase, n IS NULL AS idle FROM c LEFT JOIN w USING (m)"""
+)
+def dense_minutes(spark, sf_dir):
+    """Every minute, those without arrivals too, with the last purchase known then."""
+    rows = table(spark, sf_dir, "events").withColumn("bought", F.when(F.col("event_type") == "purchase", F.col("value")))
+    order = F.struct("ts", "event_id")
+    found = rows.groupBy(windows.minute("ts").alias("minute")).agg(F.count("*").alias("n"), F.max_by("bought", F.when(F.col("bought").isNotNull(), order)).alias("last_purchase"))
+    return windows.calendar(checkpoints.checkpointed(found), ["n"], ["last_purchase"]).withColumn("minute", _text("minute"))
+
+
+@query(
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS stamp, strftime(date_trunc('minute', ts) + INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS boundary FROM events"""
+)
+def stamps_and_boundaries(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalars.iso_stamp(F.col("ts").cast("timestamp")).alias("stamp"), _text(scalars.next_boundary(F.col("ts"))).alias("boundary"))
+
+
 # --- packets and names -------------------------------------------------------------------------------------------
 
 
@@ -219,6 +260,81 @@ def _as_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.unionByName(total.select(*fixed, F.lit(0).alias("part"), "total_parts", F.lit(P.TAG_NAME).alias("tag"), name.cast("binary").alias("body"), at))
 
 
+_NAME = "regexp_replace(replace(url, '\\', '/'), '^.*/', '')"
+#: Of the packets of the queries: bytes of a body at most, and what goes wrong with some.
+_BODY = 300
+
+
+def _datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A datagram for each turn, of its text's first bytes. Some of them end early, some say a part that is too high, some aren't there."""
+    turns = table(spark, sf_dir, "conversations")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    body = F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 1, _BODY)
+    part = F.when((conv + turn) % 11 == 3, turn + S.MOST_PARTS).otherwise(turn)
+    whole = P.packed(conv % 2048, part, conv * 1_000_003 + 5_000_000_000, turn + 1, F.lit(P.TAG_BODY), body, conv * 7 + turn)
+    sent = F.when((conv + turn) % 13 == 5, F.substring(whole, 1, 10)).when((conv + turn) % 17 == 6, F.substring(whole, F.lit(1), F.octet_length(whole) - 1)).when((conv + turn) % 19 != 7, whole)
+    return checkpoints.checkpointed(turns.select(sent.alias("datagram"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("arrival")))  # as they land
+
+
+_SENT = f"""s AS (SELECT conv_id AS c, turn AS t, encode(coalesce(text, ''))[1:{_BODY}] AS body, CASE WHEN (conv_id + turn) % 13 = 5 THEN '{P.SHORT}' WHEN (conv_id + turn) % 17 = 6 THEN '{P.TORN}' WHEN (conv_id + turn) % 19 = 7 THEN '{P.MISSING}'
+        WHEN (conv_id + turn) % 11 = 3 OR turn >= {S.MOST_PARTS} THEN '{P.OUT_OF_RANGE}' END AS reason FROM conversations)"""
+
+
+@query(
+    f"""WITH {_SENT} SELECT (c * 7 + t)::bigint AS hash, (c % 2048)::int AS field, t::int AS part, (c * 1000003 + 5000000000)::bigint AS unique_id, (t + 1)::int AS total_parts, octet_length(body)::int AS data_size, 3 AS tag, md5(body) AS body
+    FROM s WHERE reason IS NULL"""
+)
+def packet_headers(spark, sf_dir):
+    """Headers and bodies of the datagrams that are taken."""
+    taken = quarantine.accepted(P.judged(_datagrams(spark, sf_dir)))
+    return P.decoded(taken).drop("arrival").withColumns({"unique_id": F.col("unique_id").cast("long"), "body": F.md5("body")})
+
+
+@query(f"WITH {_SENT} SELECT reason, count(*) AS n FROM s WHERE reason IS NOT NULL GROUP BY 1")
+def packet_quarantine(spark, sf_dir):
+    return quarantine.reasons(P.judged(_datagrams(spark, sf_dir)))
+
+
+_CONTROL_TEXT = "CASE WHEN turn % 2 = 0 THEN chr(10) ELSE '' END || conv_id || ',' || turn || CASE (conv_id + turn) % 9 WHEN 4 THEN ',1' WHEN 5 THEN 'x' ELSE '' END"
+
+
+@query(
+    f"""WITH x AS (SELECT conv_id, string_agg({_CONTROL_TEXT}, chr(10) ORDER BY turn) AS text, count(*) AS lines FROM conversations GROUP BY 1),
+    y AS (SELECT conv_id, CASE WHEN lines != 6 THEN NULL ELSE i END AS n, CASE WHEN lines != 6 THEN text ELSE z[i] END AS line FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda l: trim(l) != '') AS z FROM x), range(1, 7) AS r(i) WHERE lines = 6 OR i = 1),
+    v AS (SELECT *, CASE WHEN n IS NOT NULL THEN string_split(line, ',') END AS p FROM y)
+    SELECT conv_id, n::int AS n, CASE WHEN len(p) = 2 THEN try_cast(p[1] AS bigint) END AS hits, CASE WHEN len(p) = 2 THEN try_cast(p[2] AS bigint) END AS misses,
+        CASE WHEN n IS NULL THEN '{quarantine.LINES}' WHEN len(p) != 2 THEN '{quarantine.WIDTH}' WHEN try_cast(p[1] AS bigint) IS NULL OR try_cast(p[2] AS bigint) IS NULL THEN '{quarantine.NUMBERS}' END AS reason FROM v"""
+)
+def control_quarantine(spark, sf_dir):
+    """A text for each conversation, a line for each turn; those of six lines are whole, and some of their lines aren't two numbers."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    wrong = F.when((conv + turn) % 9 == 4, ",1").when((conv + turn) % 9 == 5, "x").otherwise("")
+    line = F.concat(F.when(turn % 2 == 0, "\n").otherwise(""), conv.cast("string"), F.lit(","), turn.cast("string"), wrong)
+    lines = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
+    texts = lines.select("conv_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+    return quarantine.judged_controls(texts, exact=6).select("conv_id", "n", "hits", "misses", "reason")
+
+
+@query(
+    """SELECT p_partkey, least(p_size * 10, p_partkey % 301)::int AS low, greatest(p_size * 10, p_partkey % 301)::int AS high, trunc((p_size + p_partkey % 97) / 2)::int AS x, trunc((p_size * 3 + p_partkey % 89) / 2)::int AS y FROM part"""
+)
+def extents_and_midpoints(spark, sf_dir):
+    """Ranges of two estimates, and the middle of two points that are read from their printed form."""
+    size, key = F.col("p_size"), F.col("p_partkey").cast("int")
+    point = lambda x, y: F.concat(F.lit("array([["), x.cast("string"), F.lit(", "), y.cast("string"), F.lit("]], dtype=int32)"))
+    printed = F.concat(F.lit("("), point(size, size * 3), F.lit(", "), point(key % 97, key % 89), F.lit(")"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", scalars.extent(size * 10, key % 301).alias("e"), scalars.midpoint(scalars.parse_points(printed)).alias("m"))
+    return rows.select("p_partkey", "e.low", "e.high", F.get("m", 0).alias("x"), F.get("m", 1).alias("y"))
+
+
+@query(f"""WITH u AS (SELECT {_NAME} || CASE page_id % 5 WHEN 0 THEN '.tif' WHEN 1 THEN '.JPG' WHEN 2 THEN '.png' WHEN 3 THEN '.jpeg' ELSE '' END AS name FROM pages) SELECT name, ends_with(name, '.tif') OR ends_with(name, '.png') OR ends_with(name, '.jpeg') OR ends_with(name, '.jpg') OR ends_with(name, '.tiff') AS image, contains(name, 'tif') AS tif, count(*) AS n FROM u GROUP BY ALL""")
+def image_suffixes(spark, sf_dir):
+    added = F.element_at(F.array(*map(F.lit, (".tif", ".JPG", ".png", ".jpeg", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    name = F.concat(scalars.basename(F.col("url")), added)
+    rows = table(spark, sf_dir, "pages").select(name.alias("name"))
+    return rows.groupBy("name", scalars.has_image_suffix(F.col("name")).alias("image"), files.is_tiff_name(F.col("name")).alias("tif")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT 'conv-' || conv_id || '.tif' AS filename, string_agg(coalesce(text, ''), '' ORDER BY turn) AS payload FROM conversations GROUP BY conv_id")
 def reassemble_messages(spark, sf_dir):
     return reassembly.reassembled(_as_packets(spark, sf_dir)).select("filename", F.decode("payload", "UTF-8").alias("payload"))
@@ -231,9 +347,6 @@ def complete_messages_only(spark, sf_dir):
     return reassembly.reassembled(left).select("filename", F.octet_length("payload").cast("long").alias("n_bytes"))
 
 
-_NAME = "regexp_replace(replace(url, '\\', '/'), '^.*/', '')"
-
-
 @query(
     f"""WITH u AS (SELECT {_NAME} AS name FROM pages)
     SELECT CASE WHEN ends_with(name, '.tif') AND lower(name) <> 'background.tif' THEN 'image' WHEN name = 'HitsMisses.txt' THEN 'control' ELSE 'other' END AS route,

@@ -1,21 +1,32 @@
 """Ten-minute containers: name length (2 bytes, little endian), name, payload length (4 bytes), payload, again and again.
 
-Reading goes through Spark's binary files, so any store that Spark reads will do; names in a container are data and are
-never taken as paths. Writing goes through a data source whose tasks each append one file per bin.
+Containers are read in ranges: one pass over their headers, file by file in tasks, finds where records begin, and a data source reads some megabytes of
+records in each of its tasks, of those bins alone that a filter asks for. Names in a container are data and are never taken as paths. Writing, of a table or a stream,
+goes through the same data source, whose tasks write into a folder of the job that a commit makes appear (see `commits`).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.streaming import StreamingQuery
 
 from tidestream.functions import scalars
-from tidestream.sources import shared
+from tidestream.sources import checkpoints, commits, shared
+
+#: Bytes of records that a task reads, files whose headers a task passes over, shares of a bin that are written side by side.
+RANGE_BYTES, FILES_PER_TASK, SHARES = 64 << 20, 16, 4
+#: Bytes of records that a task passes on at once, about.
+BATCH_BYTES = 4 << 20
+SCHEMA = "bin string, filename string, payload binary"
 
 
 def frames(data: bytes) -> Iterator[tuple[str, bytes]]:
@@ -45,58 +56,215 @@ def _rows(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([payload], pa.binary())], names=["bin", "filename", "payload"])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """bin (its path), filename, payload of each record of the containers under path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select("path", "content")
-    return files.mapInArrow(_rows, "bin string, filename string, payload binary")
+# --- reading in ranges -------------------------------------------------------------------------------------------
+
+
+def boundaries(file, size: int, most: int = RANGE_BYTES) -> Iterator[tuple[int, int, int]]:
+    """(begin, end, records) of stretches of whole records of an open container, about `most` bytes each, from its headers alone."""
+    at = begin = n = 0
+    while at + 2 <= size:
+        file.seek(at)
+        name = int.from_bytes(file.read(2), "little")
+        body = at + 2 + name + 4
+        if not name or body > size:
+            break
+        file.seek(body - 4)
+        end = body + int.from_bytes(file.read(4), "little")
+        if end > size:
+            break
+        at, n = end, n + 1
+        if at - begin >= most:
+            yield begin, at, n
+            begin, n = at, 0
+    if n:
+        yield begin, at, n
+
+
+def _boundaries(frames_: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    for frame in frames_:
+        for path, size in zip(frame["path"], frame["length"], strict=True):
+            with shared.opened(path) as file:
+                found = list(boundaries(file, int(size), most))
+            yield pd.DataFrame([(path, *x) for x in found], columns=["bin", "begin", "end", "records"])
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
+
+
+def ranges(spark: SparkSession, path: str, most: int = RANGE_BYTES) -> DataFrame:
+    """bin (its URI), begin, end, records: stretches of records of the containers under path. Payloads are not read."""
+    listed = _files(spark, path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length")
+    n = max(1, -(-listed.count() // FILES_PER_TASK))
+    return listed.repartition(n, "path").mapInPandas(lambda it: _boundaries(it, most), "bin string, begin long, end long, records long")
+
+
+def read(spark: SparkSession, path: str, most: int = RANGE_BYTES) -> DataFrame:
+    """bin (its path), filename, payload of each record of the containers under path (a folder, a file, or a pattern).
+
+    A filter on bin (equality, a list, comparison, the beginning, end or a part of it) leaves out other bins before any task reads them: their names sort by
+    time. Of a store that only Spark reads, files are taken whole."""
+    if not all(shared.is_known(r.path) for r in _files(spark, path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path")).limit(1).collect()):
+        return _files(spark, path).select("path", "content").mapInArrow(_rows, SCHEMA)
+    found = [tuple(r) for r in ranges(spark, path, most).orderBy("bin", "begin").select("bin", "begin", "end").collect()]  # one row for each `most` bytes, as of any scan's splits
+    plan = f"{shared.qualified(spark, checkpoints.folder(spark))}/bins-{uuid.uuid4().hex}.json"
+    with shared.create(plan) as out:
+        out.write(json.dumps(found).encode())
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BinFrames)
+    return spark.read.format("binframes").option("ranges", plan).load()
+
+
+@dataclass
+class _Range(D.InputPartition):
+    path: str
+    begin: int
+    end: int
+
+
+_TESTS = {
+    D.EqualTo: lambda f, x: x == f.value,
+    D.In: lambda f, x: x in f.value,
+    D.GreaterThan: lambda f, x: x > f.value,
+    D.GreaterThanOrEqual: lambda f, x: x >= f.value,
+    D.LessThan: lambda f, x: x < f.value,
+    D.LessThanOrEqual: lambda f, x: x <= f.value,
+    D.StringStartsWith: lambda f, x: x.startswith(f.value),
+    D.StringEndsWith: lambda f, x: x.endswith(f.value),
+    D.StringContains: lambda f, x: f.value in x,
+    D.IsNotNull: lambda f, x: True,
+}
+
+
+class _BinReader(D.DataSourceReader):
+    def __init__(self, plan: str):
+        self.plan, self.asked = plan, []
+
+    def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:
+        """What is asked of bin alone is settled by leaving bins out; the rest is Spark's."""
+        for f in filters:
+            if f.attribute == ("bin",) and type(f) in _TESTS:
+                self.asked.append(f)
+            else:
+                yield f
+
+    def partitions(self) -> list[_Range]:
+        found = json.loads(shared.content(self.plan))
+        return [_Range(*r) for r in found if all(_TESTS[type(f)](f, r[0]) for f in self.asked)] or [_Range("", 0, 0)]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        held: list[tuple[str, bytes]] = []
+        with shared.opened(partition.path) as file:
+            file.seek(partition.begin)
+            while file.tell() < partition.end:
+                name = file.read(int.from_bytes(file.read(2), "little")).decode()
+                held.append((name, file.read(int.from_bytes(file.read(4), "little"))))
+                if sum(len(p) for _, p in held) >= BATCH_BYTES or len(held) >= 64:
+                    yield _batch(partition.path, held)
+                    held = []
+        if held:
+            yield _batch(partition.path, held)
+
+
+def _batch(path: str, held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    names, payloads = zip(*held, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array(names), pa.array(payloads, pa.binary())], names=["bin", "filename", "payload"])
+
+
+# --- writing -----------------------------------------------------------------------------------------------------
 
 
-class BinFrames(DataSource):
-    """`binframes`: writes filename, payload, bin to containers in the folder `path`, which all tasks share."""
+class BinFrames(D.DataSource):
+    """`binframes`: reads the ranges that the file of option `ranges` lists; writes filename, payload, bin to containers in the folder `path`, which all
+    tasks share, under option `key` if it is to be committed once."""
 
     @classmethod
     def name(cls) -> str:
         return "binframes"
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _BinWriter(self.options["path"])
+    def schema(self) -> str:
+        return SCHEMA
 
+    def reader(self, schema) -> D.DataSourceReader:
+        return _BinReader(self.options["ranges"])
 
-class _BinWriter(DataSourceWriter):
-    """Tasks write to a folder that readers don't look into; the commit moves the files of the tasks that were taken out of it, and what
-    other tries have left goes with it."""
+    def writer(self, schema, overwrite: bool) -> D.DataSourceWriter:
+        return _BinWriter(self.options["path"], self.options.get("key"))
 
-    def __init__(self, path: str):
-        self.path, self.staged = path, f"{path}/_staged-{uuid.uuid4().hex}"
+    def streamWriter(self, schema, overwrite: bool) -> D.DataSourceStreamWriter:
+        return _BinStreamWriter(self.options["path"], self.options["key"])
 
-    def write(self, rows) -> WriterCommitMessage:
-        """Rows come sorted by bin. A task that is run again writes files of other names."""
+
+class _BinWriter(D.DataSourceWriter):
+    """Tasks write to a folder that readers don't look into, which the commit or abort does away with, and what other tries have left with it."""
+
+    def __init__(self, path: str, key: str | None = None):
+        self.path, self.key, self.staged = path, key, commits.staging(path)
+
+    def write(self, rows) -> D.WriterCommitMessage:
+        """A task that is run again writes files of other names. Rows of a table come sorted by bin; those of a stream come as they arrive, so that a
+        bin may be left and taken up in a file more."""
         task, written, name, out = uuid.uuid4().hex, [], None, None
         for row in rows:
             if row["bin"] != name:
                 if out:
                     out.close()
                 name = row["bin"]
-                written.append(f"{name.removesuffix('.bin')}-{task}.bin")
+                written.append(f"{name.removesuffix('.bin')}-{task}-{len(written)}.bin")
                 out = shared.create(f"{self.staged}/{written[-1]}")
             out.write(framed(row["filename"], bytes(row["payload"])))
         if out:
             out.close()
         return shared.Written(files=written)
 
-    def commit(self, messages) -> None:
-        for message in messages:
-            for f in message.files if message else ():
-                shared.move(f"{self.staged}/{f}", f"{self.path}/{f}")
-        shared.delete_folder(self.staged)
+    def commit(self, messages, batch: int | None = None) -> None:
+        files = [f for message in messages if message for f in message.files]
+        commits.commit(self.path, self.staged, files, self.key if batch is None else f"{self.key}-{batch}")
 
-    def abort(self, messages) -> None:
+    def abort(self, messages, batch: int | None = None) -> None:
         shared.delete_folder(self.staged)
 
 
-def write(images: DataFrame, path: str) -> None:
-    """images: filename, payload, arrival. A bin of many images is written by as many tasks as hold some of it: nothing is shuffled."""
+class _BinStreamWriter(_BinWriter, D.DataSourceStreamWriter):
+    """The same for each batch of a stream: a batch that is run again after its commit adds nothing."""
+
+    def __init__(self, path: str, key: str):
+        super().__init__(path, key)
+        self.staged = commits.staging(path, key)
+
+    def commit(self, messages, batchId: int) -> None:
+        super().commit(messages, batchId)
+        commits.prune(self.path, self.key, batchId)
+
+
+def _framed_rows(images: DataFrame, shares: int) -> DataFrame:
+    rows = images.select("filename", "payload", scalars.bin_name(F.col("arrival")).alias("bin")).filter("filename is not null and payload is not null")
+    return rows.repartition("bin", F.pmod(F.xxhash64("filename"), F.lit(shares))).sortWithinPartitions("bin")
+
+
+def write(images: DataFrame, path: str, shares: int = SHARES, key: str | None = None) -> None:
+    """images: filename, payload, arrival. A bin's images are dealt to `shares` tasks, each of which writes one container of it, so however many tasks
+    have some of a bin, its files are few.
+
+    key: a name for the job, under which it is committed once: run again it adds nothing. A commit that an earlier job left unfinished is finished."""
+    spark = images.sparkSession
+    place = shared.qualified(spark, path)
+    commits.recover(place)
+    spark.dataSource.register(BinFrames)
+    writer = _framed_rows(images, shares).write.format("binframes").mode("append")
+    (writer.option("key", key) if key else writer).save(place)
+
+
+def stream(images: DataFrame, path: str, name: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Starts writing a stream of images to containers; name tells this stream's batches from others' in the folder. Each image is there once, whatever
+    dies: a batch appears with its manifest, and one that is run again is told by it. A micro-batch's images of a bin make one container for each task that
+    holds some."""
     spark = images.sparkSession
+    place = shared.qualified(spark, path)
+    commits.recover(place)
     spark.dataSource.register(BinFrames)
-    rows = images.select("filename", "payload", scalars.bin_name(F.col("arrival")).alias("bin"))
-    rows.filter("filename is not null and payload is not null").sortWithinPartitions("bin").write.format("binframes").mode("append").save(shared.qualified(spark, path))
+    rows = images.select("filename", "payload", scalars.bin_name(F.col("arrival")).alias("bin")).filter("filename is not null and payload is not null")
+    writer = rows.writeStream.format("binframes").option("key", name).option("path", place).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()

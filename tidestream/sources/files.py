@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.streaming import StreamingQuery
 
 from tidestream import schemas as S
 from tidestream.functions import scalars
-from tidestream.sources import shared
+from tidestream.sources import commits, shared
 
 #: Rows of a control file that count: one per window that may still be corrected.
 CONTROL_ROWS = 10
@@ -28,9 +31,13 @@ def images(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame
     return _binary(spark, path, recursive).filter(scalars.has_image_suffix(F.col("filename")))
 
 
+def is_tiff_name(name: Column) -> Column:
+    return F.instr(name, "tif") > 0
+
+
 def tiffs(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """The same of those with `tif` anywhere in their name."""
-    return _binary(spark, path, recursive).filter(F.instr("filename", "tif") > 0)
+    return _binary(spark, path, recursive).filter(is_tiff_name(F.col("filename")))
 
 
 def measures(spark: SparkSession, path: str) -> DataFrame:
@@ -63,46 +70,87 @@ def write_table(rows: DataFrame, path: str, header: bool = True) -> None:
     plain.write.mode("append").option("header", header).csv(path)
 
 
-class ImageFiles(DataSource):
-    """`imagefiles`: writes each row's payload to a file of its own, called filename, in the folder `path`."""
+class ImageFiles(D.DataSource):
+    """`imagefiles`: writes each row's payload to a file of its own, called filename, in the folder `path`, under option `key` if it is to be committed
+    once."""
 
     @classmethod
     def name(cls) -> str:
         return "imagefiles"
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _ImageWriter(self.options["path"])
+    def writer(self, schema, overwrite: bool) -> D.DataSourceWriter:
+        return _ImageWriter(self.options["path"], self.options.get("key"))
+
+    def streamWriter(self, schema, overwrite: bool) -> D.DataSourceStreamWriter:
+        return _ImageStreamWriter(self.options["path"], self.options["key"])
 
 
-class _ImageWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+class _ImageWriter(D.DataSourceWriter):
+    """Each task writes into a folder of its own within the job's, which readers skip; the commit makes the files of the tasks that were taken appear."""
 
-    def write(self, rows) -> WriterCommitMessage:
-        out = shared.Written()
+    def __init__(self, path: str, key: str | None = None):
+        self.path, self.key, self.staged = path, key, commits.staging(path)
+
+    def write(self, rows) -> D.WriterCommitMessage:
+        out, task = shared.Written(), uuid.uuid4().hex
         for row in rows:
             name = row["filename"].replace("\\", "/").rpartition("/")[2]  # never out of the folder
             if name in ("", ".", ".."):
                 continue
-            with shared.create(f"{self.path}/{name}") as f:
+            with shared.create(f"{self.staged}/{task}/{name}") as f:
                 f.write(bytes(row["payload"]))
-            out.files.append(name)
+            out.files.append(f"{task}/{name}")
+        out.files = list(dict.fromkeys(out.files))
         return out
 
-    def commit(self, messages) -> None:
-        pass
+    def commit(self, messages, batch: int | None = None) -> None:
+        files = [f for message in messages if message for f in message.files]
+        commits.commit(self.path, self.staged, files, self.key if batch is None else f"{self.key}-{batch}")
 
-    def abort(self, messages) -> None:
-        """Files stay: writing them again gives the same."""
+    def abort(self, messages, batch: int | None = None) -> None:
+        shared.delete_folder(self.staged)
 
 
-def write_images(images: DataFrame, path: str, prefix: Column | None = None, clash: str = "error") -> None:
-    """One file per image; prefix (a label) goes before its name with a dash. clash: whether images of one name are an error, found before
-    anything is written, or overwrite each other."""
+class _ImageStreamWriter(_ImageWriter, D.DataSourceStreamWriter):
+    def __init__(self, path: str, key: str):
+        super().__init__(path, key)
+        self.staged = commits.staging(path, key)
+
+    def commit(self, messages, batchId: int) -> None:
+        super().commit(messages, batchId)
+        commits.prune(self.path, self.key, batchId)
+
+
+def _named(images: DataFrame, prefix: Column | None) -> DataFrame:
     name = F.col("filename") if prefix is None else F.concat(F.coalesce(F.concat(prefix, F.lit("-")), F.lit("")), F.col("filename"))
-    images.sparkSession.dataSource.register(ImageFiles)
+    return images.select(name.alias("filename"), "payload").filter("filename is not null and payload is not null")
+
+
+def write_images(images: DataFrame, path: str, prefix: Column | None = None, clash: str = "error", key: str | None = None) -> None:
+    """One file per image; prefix (a label) goes before its name with a dash. clash: whether images of one name are an error, found before
+    anything is written, or overwrite each other.
+
+    All files appear at the commit, or none. key: a name for the job, under which it is committed once. A commit that an earlier job left unfinished is
+    finished first."""
+    spark = images.sparkSession
+    spark.dataSource.register(ImageFiles)
+    rows = _named(images, prefix)
     if clash == "error":
-        again = images.select(scalars.basename(name).alias("name")).filter("name is not null").groupBy("name").count().filter("count > 1").first()
+        again = rows.select(scalars.basename(F.col("filename")).alias("name")).groupBy("name").count().filter("count > 1").first()
         if again:
             raise ValueError(f"{again['count']} images are called {again['name']}")
-    images.select(name.alias("filename"), "payload").filter("filename is not null and payload is not null").write.format("imagefiles").mode("append").save(shared.qualified(images.sparkSession, path))
+    place = shared.qualified(spark, path)
+    commits.recover(place)
+    writer = rows.write.format("imagefiles").mode("append")
+    (writer.option("key", key) if key else writer).save(place)
+
+
+def stream_images(images: DataFrame, path: str, name: str, checkpoint: str, prefix: Column | None = None, **trigger) -> StreamingQuery:
+    """Starts writing a stream of images to files; name tells this stream's batches from others' in the folder. The files of a batch appear with its
+    manifest, and a batch that is run again adds nothing; of images of one name the last batch's stays."""
+    spark = images.sparkSession
+    place = shared.qualified(spark, path)
+    commits.recover(place)
+    spark.dataSource.register(ImageFiles)
+    writer = _named(images, prefix).writeStream.format("imagefiles").option("key", name).option("path", place).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()

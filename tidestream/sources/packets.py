@@ -51,6 +51,35 @@ def is_malformed() -> Column:
     return F.col("datagram").isNull() | (size < S.HEADER_BYTES) | (size < F.lit(S.HEADER_BYTES) + _unsigned("datagram", 18, 2).cast("int"))
 
 
+def _little_endian(number: Column, size: int) -> Column:
+    """The hexadecimal digits of a number's `size` bytes, lowest first."""
+    digits = F.lpad(F.hex(number), 2 * size, "0")
+    return F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))))
+
+
+def packed(field: Column, part: Column, unique_id: Column, total_parts: Column, tag: Column, body: Column, hash_: Column | None = None) -> Column:
+    """A datagram, as `encoded` makes it, of columns: numbers as longs, the body binary and not null."""
+    numbers = ((F.lit(0) if hash_ is None else hash_, 4), (field, 2), (part, 2), (unique_id, 8), (total_parts, 2), (F.octet_length(body), 2), (tag, 2), (F.lit(0), 2))
+    return F.unhex(F.concat(*(_little_endian(n.cast("long"), size) for n, size in numbers), F.hex(body)))
+
+
+#: Why a datagram is turned away.
+MISSING, SHORT, TORN, OUT_OF_RANGE = "missing", "shorter than a header", "shorter than its body", "part out of range"
+
+
+def judged(datagrams: DataFrame) -> DataFrame:
+    """datagrams with `reason` for which each is turned away, null for those that are taken: one pass tells both, so that accepted and rejected
+    ones add up to what came (see quarantine.parted)."""
+    size = F.octet_length("datagram")
+    reason = (
+        F.when(F.col("datagram").isNull(), MISSING)
+        .when(size < S.HEADER_BYTES, SHORT)
+        .when(is_malformed(), TORN)
+        .when(part_of() >= S.MOST_PARTS, OUT_OF_RANGE)
+    )
+    return datagrams.withColumn("reason", reason)
+
+
 def malformed(datagrams: DataFrame) -> DataFrame:
     """Datagrams that end within their header or before the body that it announces."""
     return datagrams.filter(is_malformed())

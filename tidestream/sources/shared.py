@@ -36,6 +36,33 @@ def move(old: str, new: str) -> None:
     store.move(place, _at(new)[1])
 
 
+def move_if_there(old: str, new: str) -> None:
+    """Moves a file, unless an earlier try has."""
+    if exists(old):
+        move(old, new)
+
+
+def content(path: str) -> bytes:
+    store, place = _at(path)
+    with store.open_input_stream(place) as f:
+        return f.read()
+
+
+def opened(path: str):
+    """A file to read from any place in it."""
+    store, place = _at(path)
+    return store.open_input_file(place)
+
+
+def is_known(path: str) -> bool:
+    """Whether the store of a URI is one that tasks can open by themselves."""
+    try:
+        _at(path)
+    except (ValueError, NotImplementedError, OSError):
+        return False
+    return True
+
+
 def exists(path: str) -> bool:
     store, place = _at(path)
     return store.get_file_info(place).type != fs.FileType.NotFound
