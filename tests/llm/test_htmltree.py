@@ -183,3 +183,45 @@ def test_driver_pages(spark):
         article = re.search(r"<article>(.*?)(</article>|<footer>|\Z)", html[r.page_id], re.S)[1]
         lines = [" ".join(unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1|ul|li)>", article)]
         assert r.text == "\n".join(x for x in lines if x) and r.n_chars == len(r.text), html[r.page_id]
+
+
+def _as_div(html, *tags):
+    return re.sub(rf"<(/?)({'|'.join(tags)})(?=[\s>])", r"<\1div", html)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
+@pytest.mark.parametrize("tags", [("p",), ("article", "nav", "footer"), ("p", "article"), ("p", "article", "nav"), ("p", "article", "nav", "footer")])
+def test_pages_without_elements_of_their_own_keep_their_text(spark, tags):
+    model = htmltree.trained()
+    found = total = 0
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)(</article>|<footer>|\Z)", r.html, re.S)[1]
+        lines = [" ".join(unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1|ul|li)>", article)]
+        got = htmltree.main_text(_as_div(r.html, *tags), model).split("\n")
+        assert got != [""]
+        found, total = found + len({x for x in lines if x} & set(got)), total + len({x for x in lines if x})
+        ads = re.search(r'<div class="ad">(.*?)</div>', r.html, re.S)[1]
+        assert " ".join(unescape(ads).split()) not in got and not any(x in got for x in re.findall(r'<a href="[^"]*">(.*?)</a>', r.html))
+    assert found >= 0.9 * total
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
+def test_pages_of_bare_text_keep_it(spark):
+    model = htmltree.trained()
+    found = total = 0
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)(</article>|<footer>|\Z)", r.html, re.S)[1]
+        text = htmltree.main_text(re.sub(r"</?(?:p|article)>", "<br>", r.html), model)
+        want = unescape(re.sub("<[^>]*>", " ", article)).split()
+        found, total = found + sum(x in set(text.split()) for x in want), total + len(want)
+        assert text
+    assert found >= 0.9 * total
+
+
+def test_pages_without_names():
+    model = htmltree.trained()
+    lines = ["Some text that stands here by itself. It goes on for a while, as text does.", "Another line of it comes here. It has a few words more."]
+    assert htmltree.main_text("<body>" + "<br><br>".join(lines) + "</body>", model) == " ".join(lines)
+    assert htmltree.main_text("<html><body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body></html>", model).split("\n") == lines
+    cells = "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in lines) + "</table>"
+    assert htmltree.main_text(f"<html><body><div>{cells}</div></body></html>", model).split("\n") == lines

@@ -34,6 +34,8 @@ WALLS = frozenset("td th table body html".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Ends of sentences.
+_STOPS = re.compile(r"[.!?…。](?=\s|$)")
 _UNSEEN = re.compile(r"display:none|visibility:hidden")
 # Parts of class, id and role names that speak against and for content, and parts that say nothing by themselves.
 AGAINST = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside rail widget footer foot header masthead topbar cookie cookies consent gdpr notice popup modal overlay dialog alert newsletter subscribe subscription signup register login share sharing social related recommended recommendation recommendations trending popular more comment comments commentlist reply replies respond disqus discussion feedback search searchbox form pager pagination pages copyright legal disclaimer toolbar tags tagcloud complementary contentinfo".split())
@@ -44,10 +46,11 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption
 
 
 class Node:
-    __slots__ = ("tag", "parent", "hint", "size", "linked", "last")
+    __slots__ = ("tag", "parent", "hint", "size", "linked", "first", "last", "stops", "under")
 
     def __init__(self, tag: str, parent: int, hint: int):
-        self.tag, self.parent, self.hint, self.size, self.linked, self.last = tag, parent, hint, 0, 0, ""
+        self.tag, self.parent, self.hint, self.size, self.linked, self.first, self.last, self.stops = tag, parent, hint, 0, 0, "", "", 0
+        self.under = False  # whether something around it speaks against content
 
 
 def _hint(tag: str, attributes: str) -> int:
@@ -179,7 +182,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if tag in wall:
                     break
         if name not in VOID:
+            above = nodes[stack[-1]]
             nodes.append(Node(name, stack[-1], _hint(name, attributes) if attributes else 0))
+            nodes[-1].under = above.under or above.hint >= 2 or above.tag in _APART
             stack.append(len(nodes) - 1)
     if at < len(page):
         add(page[at:])
@@ -188,21 +193,23 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         text = " ".join("".join(parts).split())
         if text:
             out.append((n, text))
-            nodes[n].last = text[-1]
+            nodes[n].first, nodes[n].last = nodes[n].first or text[0], text[-1]
+            nodes[n].stops += len(_STOPS.findall(text))
     return nodes, out
 
 
 # --- model ---------------------------------------------------------------------------------------------------
 
-_KINDS = ["p", "h1", "h2 h3 h4 h5 h6", "li dt dd", "td th", "blockquote pre figcaption", "article", "main", "nav menu", "header", "footer", "aside", "form fieldset", "section", "div", "ul ol dl table tbody thead tr figure", "html body #"]
+_KINDS = ["p", "h1", "h2 h3 h4 h5 h6", "li dt dd", "td th", "blockquote pre figcaption", "article", "main", "nav menu", "header", "footer", "aside", "form fieldset", "section", "div", "ul ol dl table tbody thead tr figure", "html #", "body"]
 KIND = {tag: i for i, tags in enumerate(_KINDS) for tag in tags.split()}
 _OTHER = len(_KINDS)
-_FOR, _AGAINST, _UNSHOWN, _LINKS, _EMPTY, _SHORT, _MIDDLE, _LONG, _STOP = range(_OTHER + 1, _OTHER + 10)
-FEATURES = _OTHER + 10
+_FOR, _AGAINST, _UNSHOWN, _LINKS, _EMPTY, _SHORT, _MIDDLE, _LONG, _STOP, _PROSE, _RIGHTS, _OWN = range(_OTHER + 1, _OTHER + 13)
+FEATURES = _OTHER + 13
 #: Kinds of edges: from what holds a whole page; to a part that name or hint set apart; from what holds one thing; others.
 EDGES = 4
 _APART = frozenset("nav menu footer aside form fieldset".split())
 _WHOLE = frozenset("# html body".split())
+_HOLDERS = frozenset(("article", "main"))
 _ONE = frozenset("article main nav menu header footer aside form fieldset p ul ol dl table tr tbody thead blockquote figure li td".split())
 
 
@@ -215,6 +222,12 @@ def features(node: Node) -> list[int]:
         out.append(_LINKS)
     if node.last and node.last in ".!?…。:;\"”»)":
         out.append(_STOP)
+    if node.stops > 1 and 4 * node.linked < size:
+        out.append(_PROSE)
+    if node.first in ("©", "Ⓒ"):
+        out.append(_RIGHTS)
+    if node.tag in _HOLDERS and not node.under and node.hint < 2:
+        out.append(_OWN)
     return out
 
 
@@ -278,8 +291,14 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int], str]]:
 
     def page():
         labels, kept, html = [0], [], []
+        open_ = [0]  # places of the open elements' labels
+        style = rnd.choices(["p", "div", "bare", "cells"], [54, 20, 20, 6])[0]  # what holds a paragraph
+        plain = rnd.random() < 0.3  # parts without names and elements of their own
+        brief = rnd.random() < 0.1  # one sentence is all
+        alone = rnd.random() < 0.1  # nothing around it
 
         def tag(name, inner, label=0, attributes=""):
+            open_.append(len(labels))
             labels.append(label)
             html.append(f"<{name}{attributes}>")
             if callable(inner):
@@ -289,12 +308,15 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int], str]]:
                 if label and inner.strip():
                     kept.append(" ".join(re.sub("<[^>]*>", "", inner).split()))
             html.append(f"</{name}>")
+            open_.pop()
 
         named = lambda *names: "" if rnd.random() < 0.15 else f' {rnd.choice(["class", "id"])}="{rnd.choice(names)}"'
         items = lambda name="li", n=8: [tag(name, link()) for _ in range(rnd.randint(3, n))]
 
         def menu():
-            if rnd.random() < 0.7:
+            if plain:
+                tag("div", lambda: tag("ul", items) if rnd.random() < 0.5 else html.append(" ".join(link() for _ in range(rnd.randint(3, 8)))))
+            elif rnd.random() < 0.7:
                 tag("nav", lambda: tag("ul", items) if rnd.random() < 0.7 else html.append(" | ".join(link() for _ in range(5))), 0, rnd.choice(["", named("menu", "main-nav")]))
             else:
                 tag("div", lambda: tag("ul", items), 0, f' class="{rnd.choice(["navbar", "menu", "topNav", "breadcrumbs"])}"')
@@ -337,13 +359,31 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int], str]]:
             if rnd.random() < 0.25:
                 first, _, rest = text.partition(" ")
                 text = f"<b>{first}</b> {link()} {rest}"
-            tag("p", text, 1, f' class="{rnd.choice([word(), "lead", "more-about-" + word(), "comment-worthy", "ad-hoc", "p-1", "has-notice", "text"])}"' if rnd.random() < 0.2 else "")
+            tag("div" if style == "div" else "p", text, 1, f' class="{rnd.choice([word(), "lead", "more-about-" + word(), "comment-worthy", "ad-hoc", "p-1", "has-notice", "text"])}"' if rnd.random() < 0.2 else "")
 
         slug = lambda: f' id="{rnd.choice([word(), "more-tags", "comments", "related", word() + "-" + word()])}"' if rnd.random() < 0.3 else ""
 
+        def bare():
+            """Text that stands in its parent itself, in lines."""
+            lines = [prose() for _ in range(rnd.randint(1, 5))]
+            labels[open_[-1]] = 1
+            html.append(rnd.choice(["<br>", "<br><br>", "<br/>\n"]).join(lines))
+            kept.append(" ".join(" ".join(lines).split()))
+
         def content(own):
+            if brief:
+                return tag("div" if style == "div" else "p", sentence(), 1)
             if rnd.random() < 0.85:
                 tag("h1", title(), 1) if rnd.random() < 0.8 else tag("header", lambda: tag("h1", title(), 1), 1)
+            if style == "cells":
+                tag("table", lambda: [tag("tr", lambda: tag("td", (lambda: [paragraph() for _ in range(rnd.randint(1, 3))]) if rnd.random() < 0.5 else prose(), 1), 1) for _ in range(rnd.randint(1, 4))], 1)
+                return
+            if style == "bare":
+                for _ in range(rnd.randint(1, 3)):
+                    bare()
+                    tag(rnd.choice(["h2", "h3"]), title(), 1, slug())
+                bare()
+                return
             for _ in range(rnd.randint(1, 9)):
                 x = rnd.random()
                 if x < 0.62:
@@ -369,7 +409,11 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int], str]]:
 
         def article():
             kind = rnd.random()
-            if kind < 0.55:
+            if style == "bare" and rnd.random() < 0.8:
+                content(False)
+            elif plain and kind < 0.7:
+                tag(rnd.choice(["div", "div", "section"]), lambda: content(False), 1)
+            elif kind < 0.55:
                 tag("article", lambda: content(True), 1, rnd.choice(["", "", named("post", "story")]))
             elif kind < 0.7:
                 tag("main", lambda: content(False), 1)
@@ -383,12 +427,14 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int], str]]:
 
         def site_footer():
             text = f"&copy; {word()}.{word()} &middot; {rnd.choice([title, sentence, prose])()}"
-            name = rnd.choice(["footer", "footer", "div"])
-            attributes = ' class="footer"' if name == "div" or rnd.random() < 0.5 else ""
+            name = "div" if plain else rnd.choice(["footer", "footer", "div"])
+            attributes = "" if plain else ' class="footer"' if name == "div" or rnd.random() < 0.5 else ""
             tag(name, text if rnd.random() < 0.7 else lambda: [tag("p", text), tag("ul", items)], 0, attributes)
 
         def body():
             def parts():
+                if alone:
+                    return article()
                 for part, chance in ((site_header, 0.5), (menu, 0.6), (junk, 0.6), (junk, 0.3)):
                     if rnd.random() < chance:
                         part()
@@ -402,7 +448,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int], str]]:
             def wrapped(depth):
                 tag("div", lambda: wrapped(depth - 1), 0, rnd.choice(["", "", ' id="page"', ' class="wrapper"'])) if depth else parts()
 
-            wrapped(rnd.choice([0, 0, 0, 1, 1, 2, 5]))
+            wrapped(rnd.choice([0, 0, 0, 1, 1, 2, 5, 12]))
 
         tag("html", lambda: [html.append(f"<head><title>{title()}</title><script>var x='<p>';</script></head>"), tag("body", body)])
         return "<!DOCTYPE html>" + "".join(html), labels, "\n".join(kept)
