@@ -36,6 +36,14 @@ def word_array(text: Column) -> Column:
     return F.array_remove(blank_split(text), "")
 
 
+def unclashing(keys: DataFrame, key: str, docs: DataFrame) -> DataFrame:
+    """keys with its column under a name that docs has none of."""
+    name = f"__{key}"
+    while name in docs.columns:
+        name += "_"
+    return keys.select(F.col(key).alias(name))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

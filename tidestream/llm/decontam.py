@@ -142,7 +142,9 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block_items:
 
 
 def without_matches(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs that hold no item. Each row is judged by itself, whatever its doc_id: rows are numbered in a checkpoint. Columns stay."""
-    rows = C.checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = matches(rows.select(F.col("__row").alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("__found")).distinct()
-    return rows.join(found, F.col("__row") == F.col("__found"), "left_anti").drop("__row")
+    """docs that hold no item. Each row is judged by itself, whatever its doc_id: rows are numbered in a checkpoint. Columns stay,
+    whatever their names."""
+    rows = C.checkpointed(docs.select(F.struct(*docs.columns).alias("rest"), F.monotonically_increasing_id().alias("row")))
+    found = matches(rows.select(F.col("row").alias("doc_id"), "rest.text"), items, **options).select(F.col("doc_id").alias("found")).distinct()
+    left = rows.join(found, F.col("row") == F.col("found"), "left_anti")
+    return left.select(*(F.col("rest").getField(c).alias(c) for c in docs.columns))

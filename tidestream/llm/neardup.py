@@ -377,6 +377,6 @@ def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that are linked, directly or through others, with a smaller doc_id. Columns stay."""
-    kept = grouped(docs, **options).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__doc"))
-    return docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("__doc"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    """docs without those that are linked, directly or through others, with a smaller doc_id. Columns stay, whatever their names."""
+    kept = C.unclashing(grouped(docs, **options).filter("kept and doc_id is not null").select("doc_id"), "doc_id", docs)
+    return docs.filter("doc_id is not null").join(kept, docs["doc_id"] == kept[kept.columns[0]], "left_semi").unionByName(docs.filter("doc_id is null"))

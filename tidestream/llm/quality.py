@@ -89,5 +89,5 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     with the counts, in the checkpoint too."""
     other = F.struct(*(c for c in docs.columns if c != "text")).alias("__row")
     rows = C.checkpointed(features(docs.select(other, "text", F.col(host).alias("host"))))
-    both = C.left_join_small(rows, C.checkpointed(host_verdicts(rows, "host")), "host", F.col("__row"))
+    both = C.left_join_small(rows, C.checkpointed(host_verdicts(rows, "host")), "host", F.monotonically_increasing_id())
     return both.filter(KEPT).select(*(F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns))
