@@ -301,9 +301,10 @@ _CONTROL_TEXT = "CASE WHEN turn % 2 = 0 THEN chr(10) ELSE '' END || conv_id || '
 @query(
     f"""WITH x AS (SELECT conv_id, string_agg({_CONTROL_TEXT}, chr(10) ORDER BY turn) AS text, count(*) AS lines FROM conversations GROUP BY 1),
     y AS (SELECT conv_id, CASE WHEN lines != 6 THEN NULL ELSE i END AS n, CASE WHEN lines != 6 THEN text ELSE z[i] END AS line FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda l: trim(l) != '') AS z FROM x), range(1, 7) AS r(i) WHERE lines = 6 OR i = 1),
-    v AS (SELECT *, CASE WHEN n IS NOT NULL THEN string_split(line, ',') END AS p FROM y)
-    SELECT conv_id, n::int AS n, CASE WHEN len(p) = 2 THEN try_cast(p[1] AS bigint) END AS hits, CASE WHEN len(p) = 2 THEN try_cast(p[2] AS bigint) END AS misses,
-        CASE WHEN n IS NULL THEN '{quarantine.LINES}' WHEN len(p) != 2 THEN '{quarantine.WIDTH}' WHEN try_cast(p[1] AS bigint) IS NULL OR try_cast(p[2] AS bigint) IS NULL THEN '{quarantine.NUMBERS}' END AS reason FROM v"""
+    v AS (SELECT *, CASE WHEN n IS NOT NULL THEN string_split(line, ',') END AS p FROM y),
+    j AS (SELECT conv_id, n, CASE WHEN len(p) = 2 THEN try_cast(p[1] AS bigint) END AS hits, CASE WHEN len(p) = 2 THEN try_cast(p[2] AS bigint) END AS misses, len(p) AS width FROM v)
+    SELECT conv_id, coalesce(n, 0)::int AS n, coalesce(hits, -1) AS hits, coalesce(misses, -1) AS misses,
+        CASE WHEN n IS NULL THEN '{quarantine.LINES}' WHEN width != 2 THEN '{quarantine.WIDTH}' WHEN hits IS NULL OR misses IS NULL THEN '{quarantine.NUMBERS}' ELSE 'taken' END AS verdict FROM j"""
 )
 def control_quarantine(spark, sf_dir):
     """A text for each conversation, a line for each turn; those of six lines are whole, and some of their lines aren't two numbers."""
@@ -312,7 +313,8 @@ def control_quarantine(spark, sf_dir):
     line = F.concat(F.when(turn % 2 == 0, "\n").otherwise(""), conv.cast("string"), F.lit(","), turn.cast("string"), wrong)
     lines = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
     texts = lines.select("conv_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
-    return quarantine.judged_controls(texts, exact=6).select("conv_id", "n", "hits", "misses", "reason")
+    rows = quarantine.judged_controls(texts, exact=6)
+    return rows.select("conv_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hits", F.lit(-1)).alias("hits"), F.coalesce("misses", F.lit(-1)).alias("misses"), F.coalesce("reason", F.lit("taken")).alias("verdict"))
 
 
 @query(
