@@ -1,12 +1,15 @@
-"""Whole jobs: from packets to corrected window records, and the three folder jobs."""
+"""Whole jobs: from packets to corrected window records, of what has landed or as it lands, and the folder jobs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tidestream import schemas as S
 from tidestream.functions import images as I
@@ -14,6 +17,9 @@ from tidestream.functions import scalars
 from tidestream.functions.labels import LABEL_KEYS
 from tidestream.operators import joins, reassembly, windows
 from tidestream.sources import checkpoints, files, packets
+from tidestream.streaming import publish, sampling
+from tidestream.streaming import reassembly as stream_files
+from tidestream.streaming import windows as stream_windows
 
 
 @dataclass(frozen=True)
@@ -84,6 +90,70 @@ def from_packets(spark: SparkSession, path: str, settings: Settings) -> DataFram
     return window_records(enriched(sampled(particles, settings.every), settings), controls, settings)
 
 
+# --- the live stream -----------------------------------------------------------------------------------------------
+
+#: What the live form keeps of an image.
+LOOKED_AT = T.StructType([T.StructField("filename", T.StringType()), T.StructField("arrival", T.TimestampType()), *(f for f in I.SEEN if not isinstance(f.dataType, T.ArrayType))])
+
+
+def _looker(settings: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What is seen of a batch of images, which the model takes at once."""
+    s = settings
+    seen = I.viewer(s.scorer, s.labels, s.gray, s.batch, s.correct_background, s.classify, s.measure, s.locate).func
+
+    def look(rows: pd.DataFrame) -> pd.DataFrame:
+        (found,) = seen(iter([rows["payload"]]))
+        return pd.concat([rows[["filename", "arrival"]].reset_index(drop=True), found[LOOKED_AT.names[2:]]], axis=1)
+
+    return look
+
+
+def live(spark: SparkSession, landed: str, folder: str, settings: Settings, transport: publish.Transport, lateness: str = "1 minute") -> list[tuple[str, Callable[..., StreamingQuery]]]:
+    """The queries of a running instrument, in the order in which they feed each other by tables in folder, each by name with what starts it (given
+    a trigger): files put together from the datagrams at landed; every n-th image; images looked at in batches that are released when full or when their
+    minute closes; closed minutes; control texts; corrected records, sent through an outbox. Each goes on from its own checkpoint, so a restart of any loses
+    nothing and does nothing twice."""
+    tables = {
+        "files": S.IMAGE,
+        "sampled": T.StructType([*S.IMAGE.fields, T.StructField("rn", T.LongType())]),
+        "seen": T.StructType([T.StructField("minute", T.TimestampType()), T.StructField("batch", T.LongType()), *LOOKED_AT.fields]),
+        "closed": T.StructType([T.StructField("minute", T.TimestampType()), *(T.StructField(x, T.LongType()) for x in settings.labels), *(T.StructField(m, T.DoubleType()) for m in MEANS.values())]),
+        "controls": T.StructType([T.StructField("arrival", T.TimestampType()), T.StructField("rows", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("n", "hits", "misses")])))]),
+    }
+
+    def read(name: str) -> DataFrame:
+        return spark.readStream.schema(tables[name]).parquet(f"{folder}/{name}")
+
+    def controls() -> DataFrame:
+        texts = reassembly.routed(read("files"))[1]
+        lines = F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "")
+        number = lambda line, k: F.trim(F.get(F.split(line, ","), k)).try_cast("bigint")
+        rows = F.transform(lines, lambda x, i: F.struct((i + 1).cast("long").alias("n"), number(x, 0).alias("hits"), number(x, 1).alias("misses")))
+        return texts.select("arrival", rows.alias("rows"))
+
+    made = {
+        "files": lambda: stream_files.reassembled(packets.decoded(packets.landed_stream(spark, landed)), lateness=lateness),
+        "sampled": lambda: sampling.every_nth(reassembly.routed(read("files"))[0], settings.every),
+        "seen": lambda: sampling.batched(read("sampled").drop("rn"), settings.batch, lateness, function=_looker(settings), schema=LOOKED_AT),
+        "closed": lambda: stream_windows.closed_windows(read("seen"), settings.labels, MEANS if settings.measure else None, lateness),
+        "controls": controls,
+    }
+
+    def start(name: str) -> Callable[..., StreamingQuery]:
+        def begin(**trigger) -> StreamingQuery:
+            spark.createDataFrame([], tables[name]).write.mode("ignore").parquet(f"{folder}/{name}")  # there for whoever reads it
+            writer = made[name]().writeStream.queryName(f"live-{name}").format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/_checkpoints/{name}")
+            return (writer.trigger(**trigger) if trigger else writer).start()
+
+        return begin
+
+    def send(**trigger) -> StreamingQuery:
+        records = stream_windows.emitted(read("closed"), read("controls"), settings.labels, settings.every)
+        return publish.published(records.select("minute", F.col("record").alias("payload")), "minute", f"{folder}/outbox", transport, f"{folder}/_checkpoints/records", **trigger)
+
+    return [*((name, start(name)) for name in made), ("records", send)]
+
+
 # --- folder jobs -------------------------------------------------------------------------------------------------
 
 
