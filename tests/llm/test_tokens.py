@@ -18,6 +18,13 @@ def test_counts_equal_the_library(parts, gap):
     assert COUNTER.count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
 
 
+def test_characters_of_any_age_count_as_the_library_has_them():
+    """Each beside a letter, a mark and a digit: its class decides where words end."""
+    for block in (*range(0, 0x3400), *range(0xA700, 0xABF0), *range(0x10100, 0x12700), *range(0x16E00, 0x19200), *range(0x1B100, 0x1B200), *range(0x1D600, 0x1E700), *range(0x2B700, 0x2B900, 7), *range(0x2CE90, 0x2CEC0), *range(0x32300, 0x33500, 61), *range(0x3CF00, 0x3FD00, 211)):
+        text = f"a{chr(block)}!{chr(block)}1"
+        assert COUNTER.count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids), hex(block)
+
+
 def test_rows(spark):
     long = "xyz" * 50_000
     rows = [(1, "Hello world", 9), (1, "Hello world", 9), (2, None, 0), (3, "", 0), (4, " \n", 0), (5, long, 0), (None, "é", 1)]
