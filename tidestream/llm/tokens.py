@@ -25,6 +25,8 @@ KEPT_PIECES, KEPT_LENGTH = 400_000, 48
 NEWER = "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _NEWER = "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in NEWER.split())
+#: Before this character the two agree.
+_FIRST = min(_NEWER.replace("-", ""))
 
 
 def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -80,7 +82,7 @@ class TokenCounter(dict):
     def __missing__(self, piece: str) -> int:
         plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
         pattern = self.word
-        if not plain.isascii():
+        if not plain.isascii() and max(plain) >= _FIRST:
             plain = plain.translate(LOWER)
             pattern = self.older_word if self.newer.search(plain) else pattern
         total = 0
