@@ -5,6 +5,7 @@ The tables hold no images; events stand in for arrivals, conversations for packe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,8 +17,10 @@ from pyspark.sql import types as T
 from tidestream import schemas as S
 from tidestream.functions import images, labels, scalars, tiff
 from tidestream.operators import joins, reassembly, windows
-from tidestream.sources import checkpoints, files, quarantine
+from tidestream.sources import bins, checkpoints, files, quarantine
 from tidestream.sources import packets as P
+from tidestream.streaming import reassembly as stream_files
+from tidestream.streaming import sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -465,3 +468,120 @@ def image_measures(spark, sf_dir):
     few = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # small rows, much work on each
     rows = few.select("p_partkey", images.viewer()(_disc(F.col("p_size"), F.col("p_partkey") % 200)).alias("s"))
     return rows.select("p_partkey", *(F.round(f"s.{c}", 6).alias(c) for c in ("esd_1", "esd_2", "object_length")), F.round("s.latitude", 9).alias("latitude"), F.col("s.label").alias("label"))
+
+
+# --- sources and sinks, there and back -----------------------------------------------------------------------------
+
+
+def _fresh(spark: SparkSession) -> str:
+    """A folder of this run's own, where driver and executors reach it."""
+    return f"{checkpoints.folder(spark)}/flow-{uuid.uuid4().hex}"
+
+
+#: When a turn of the queries arrives: conversations follow each other by seven minutes, turns by one.
+_ARRIVAL = "(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * (conv_id * 7 + turn))"
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as an image file: its text is what the file holds."""
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("conv_id") * 7 + F.col("turn")) * 60)
+    end = F.element_at(F.array(*map(F.lit, (".tif", ".JPG", ".png", ".txt", ".tiff"))), (F.col("turn") % 5 + 1).cast("int"))
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), end)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", name.alias("filename"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"), at.alias("arrival"))
+
+
+_FILENAME = "'c' || conv_id || '-' || turn || ['.tif', '.JPG', '.png', '.txt', '.tiff'][(turn % 5 + 1)::int]"
+
+
+@query(
+    f"""SELECT strftime({_ARRIVAL}, 'pi-%Y-%m-%d-%H-') || (minute({_ARRIVAL}) // 10) || '0' AS bin, {_FILENAME} AS filename, octet_length(encode(coalesce(text, '')))::bigint AS n_bytes, md5(coalesce(text, '')) AS digest FROM conversations"""
+)
+def bins_there_and_back(spark, sf_dir):
+    """Images written to ten-minute containers, and read from them in ranges of records."""
+    path = _fresh(spark)
+    bins.write(_pictures(spark, sf_dir), path)
+    found = bins.read(spark, path, most=1 << 14)
+    return found.select(F.regexp_extract("bin", r"(pi-\d{4}-\d\d-\d\d-\d\d-\d0)[^/]*$", 1).alias("bin"), "filename", F.octet_length("payload").cast("long").alias("n_bytes"), F.md5("payload").alias("digest"))
+
+
+@query(
+    f"""WITH f AS (SELECT {_FILENAME} AS filename, md5(coalesce(text, '')) AS digest, CASE WHEN turn % 2 = 0 THEN 'even-' ELSE '' END AS label FROM conversations)
+    SELECT label || filename AS filename, digest, contains(filename, 'tif') AS tif FROM f WHERE regexp_matches(filename, '\\.(jpg|jpeg|tif|tiff|png)$')"""
+)
+def folders_there_and_back(spark, sf_dir):
+    """Images written to a file each, some with a label before their names, and the folder read again: as images, and as those called tif."""
+    path = _fresh(spark)
+    files.write_images(_pictures(spark, sf_dir), path, prefix=F.when(F.col("turn") % 2 == 0, "even"))
+    seen = files.images(spark, path).select("filename", F.md5("payload").alias("digest"))
+    return seen.join(files.tiffs(spark, path).select("filename", F.lit(True).alias("tif")), "filename", "left").withColumn("tif", F.coalesce("tif", F.lit(False)))
+
+
+@query(
+    """SELECT p_partkey || '.tif' AS filename, p_size::double AS esd_1, p_size::double / 4 AS esd_2, CASE WHEN p_partkey % 3 != 0 THEN (p_partkey % 100)::double END AS threshold_area, CASE WHEN p_partkey % 3 != 0 AND p_partkey % 5 != 1 THEN ((p_partkey % 97) * 10 + p_size)::bigint ELSE -1 END AS points,
+    CASE WHEN p_partkey % 5 = 1 AND p_partkey % 3 != 0 THEN 'points do not parse' ELSE 'taken' END AS verdict FROM part"""
+)
+def measures_there_and_back(spark, sf_dir):
+    """A headerless table of measurements, written and read: some parts measure nothing and have no points, of others the points are cut short and are told."""
+    path, key, size = _fresh(spark), F.col("p_partkey"), F.col("p_size")
+    measured = key % 3 != 0
+    points = F.to_json(F.array(F.array((key % 97).cast("int"), size.cast("int")), F.array(size.cast("int"), (key % 97).cast("int"))))
+    nothing = F.lit(None).cast("double")
+    files.write_table(
+        table(spark, sf_dir, "part").select(
+            F.concat(key.cast("string"), F.lit(".tif")).alias("filename"), size.cast("double").alias("esd_1"), (size.cast("double") / 4).alias("esd_2"), F.when(measured, (key % 100).cast("double")).alias("threshold_area"), nothing.alias("otsu"), nothing.alias("length"),
+            F.when(measured & (key % 5 == 1), F.substring(points, 1, 5)).when(measured, points).alias("points"),
+        ), path, header=False,
+    )
+    rows = quarantine.judged_measures(spark, path)
+    x = lambda i, j: F.get(F.get("max_points", i), j)
+    held = F.when(F.col("reason").isNull() & F.col("max_points").isNotNull(), (x(0, 0) * 10 + x(1, 0)).cast("long"))
+    return rows.select("filename", "esd_1", "esd_2", "threshold_area", F.coalesce(held, F.lit(-1).cast("long")).alias("points"), F.coalesce("reason", F.lit("taken")).alias("verdict"))
+
+
+# --- streams that are stopped and taken up again ---------------------------------------------------------------------
+
+
+def _resumed(landings: list[DataFrame], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a streaming operator adds to its table as landings come in one after the other, each taken by a query that resumes the one before."""
+    spark = landings[0].sparkSession
+    path = _fresh(spark)
+    for rows in landings:
+        rows.write.mode("append").parquet(f"{path}/landed")
+        stream = operator(spark.readStream.schema(rows.schema).parquet(f"{path}/landed"))
+        stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("SELECT 'conv-' || conv_id || '.tif' AS filename, md5(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS payload FROM conversations GROUP BY conv_id HAVING count(*) FILTER ((conv_id + turn) % 7 = 0) = 0")
+def resumed_files(spark, sf_dir):
+    """Files put together from datagrams of a stream that stops between their parts; those that lose a packet never come out."""
+    sent = _as_packets(spark, sf_dir).filter("part = 0 or (field + part - 1) % 7 != 0")
+    number = lambda c: F.col(c).cast("long")
+    whole = P.packed(number("field") % 65536, number("part"), number("unique_id"), number("total_parts"), number("tag"), F.col("body"))
+    landed = checkpoints.checkpointed(sent.select("part", whole.alias("datagram"), "arrival"))
+    halves = [landed.filter(F.col("part") % 2 == k).select("datagram", "arrival") for k in (1, 0)]
+    return _resumed(halves, lambda rows: stream_files.reassembled(P.decoded(rows))).select("filename", F.md5("payload").alias("payload"))
+
+
+@query("SELECT event_id, rn FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn % 10 = 0")
+def resumed_sample(spark, sf_dir):
+    """Every tenth event of each type, counted on across a restart."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    ends = rows.agg(F.min("ts"), F.max("ts")).first()
+    cut = F.lit(ends[0] + (ends[1] - ends[0]) / 2) if ends[0] else F.lit(None).cast("timestamp")
+    early = F.coalesce(F.col("ts") < cut, F.lit(True))
+    return _resumed([rows.filter(early), rows.filter(~early)], lambda s: sampling.every_nth(s, 10, ("ts", "event_id"), "event_type")).select("event_id", "rn")
+
+
+@query(
+    f"""SELECT filename, strftime(m, '%Y-%m-%d %H:%M:%S') AS minute, (row_number() OVER (PARTITION BY m ORDER BY arrival, filename) - 1) // 3 AS batch
+    FROM (SELECT {_FILENAME} AS filename, {_ARRIVAL} AS arrival, date_trunc('minute', {_ARRIVAL}) AS m FROM conversations)"""
+)
+def resumed_batches(spark, sf_dir):
+    """Images in batches of three at most, released when full or when their minute closes, before or after a restart; a late arrival closes the last."""
+    rows = checkpoints.checkpointed(_pictures(spark, sf_dir).select("filename", "arrival"))
+    ends = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    cut = F.lit(ends[0] + (ends[1] - ends[0]) / 2) if ends[0] else F.lit(None).cast("timestamp")
+    after = rows.agg((F.max("arrival") + F.expr("INTERVAL 1 HOUR")).alias("arrival")).select(F.lit("end").alias("filename"), "arrival")
+    found = _resumed([rows.filter(F.col("arrival") < cut), rows.filter(F.col("arrival") >= cut), after], lambda s: sampling.batched(s, 3))
+    return found.select("filename", _text("minute").alias("minute"), "batch")
