@@ -3,7 +3,8 @@
 An item of L characters may differ in k = floor(rate * L) edits. Cut into k + 1 pieces, at least one piece of it stands
 unchanged wherever the item occurs within k edits: each exact piece hit (one automaton for all pieces of a block of
 items) gives a stretch of the document in which Myers' bit-parallel distance then finds the best end. Letter case and
-the kind and number of white space do not count.
+the kind and number of white space do not count. An item too short for any edit is found as words only: where it begins or ends with a letter
+or digit, none may stand beside it, so "art" isn't in "party".
 
 The items are the query set: they are taken in blocks of at most about BLOCK_ITEMS, each block against all documents. More
 than one block are taken one after the other, each one's matches written down before the next is sent out, so that the driver and the
@@ -63,6 +64,12 @@ def least_distance(item: str, text: str) -> int:
     return best
 
 
+def stands(text: str, begin: int, end: int) -> bool:
+    """Whether no word of text is cut at begin or end."""
+    cuts = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not cuts(begin) and not cuts(end)
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items = [(i, n) for i, t in items if (n := normal(t))]
@@ -91,7 +98,11 @@ class Matcher:
         out = []
         for x, found in begins.items():
             (item_id, item), k = self.items[x], self.budget[x]
-            best, edge = k + 1, None
+            if not k:
+                if any(stands(text, b, b + len(item)) for b in found):
+                    out.append((item_id, 0, 0))
+                continue
+            best = k + 1
             stretch: list[int] = []
             for b in [*sorted(found), None]:
                 if stretch and (b is None or b - stretch[-1] > 2 * k + 1):
@@ -124,7 +135,7 @@ def _matches(batches, items, rate: float):
 def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, distance, budget): the items found in each document within their budget, with the least distance.
 
-    Null or blank texts and items match nothing. Rows with equal ids are matched each, and equal results returned
+    Null or blank texts and items match nothing. An item of fewer than 1 / rate characters has no budget and must stand at the edges of words. Rows with equal ids are matched each, and equal results returned
     once. Other columns of docs and items are not looked at."""
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("trim(text) != ''")
