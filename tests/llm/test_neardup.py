@@ -59,6 +59,7 @@ def test_components_match_brute_force(spark, sizes):
 @pytest.mark.parametrize("sizes", [{}, {"block": 8, "visitors": 5}])
 def test_borderline_family_of_many_members(spark, sizes, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0 if sizes else 20_000)
+    monkeypatch.setattr(neardup, "PIVOT_PAIRS", 3 if sizes else 5_000)
     rows = corpus(7, families=2, per=80, rate=(0.02, 0.07))
     assert run(spark, rows, **sizes) == brute(rows)
 
@@ -96,6 +97,17 @@ def test_repeated_doc_ids_match_brute_force(spark, sizes):
         assert run(spark, rows, **sizes) == brute_repeated(rows)
 
 
+def test_pairs_of_a_hot_pivot_are_dealt_to_tasks(spark):
+    most, members = 500, 12_000
+    rows = spark.range(members).selectExpr("7L as high_a", "id as b", "id * 31 as high_b").unionByName(spark.range(300).selectExpr("id + 100 as high_a", "id as b", "-id as high_b"))
+    pairs, hot = neardup._dealt(rows.checkpoint(), most)
+    held = {(r.high_a, r.part): r["count"] for r in pairs.groupBy("high_a", "part").count().collect()}
+    assert sum(held.values()) == members + 300 and max(held.values()) <= 1.3 * most
+    assert {p for a, p in held if a != 7} == {0}
+    pivots = neardup._in_parts(rows.select("high_a").distinct(), hot)
+    assert sorted((r.high_a, r.part) for r in pivots.collect()) == sorted(held)
+
+
 def test_long_text_and_empty_table(spark):
     long = " ".join(f"a{i % 7919} b{i % 13}" for i in range(60_000))
     rows = [(5, long), (3, long + " tail"), (9, "short one")]

@@ -5,7 +5,8 @@
    and take no part in the rounds between.
 2. Stars: of each band's bucket every member is held against the one of least hash only: as many pairs as members. Pairs
    whose signatures agree in less than SKETCH_LEAST of the slots are left; the others are verified on their whole sets, and
-   the links make components in rounds of union-find.
+   the links make components in rounds of union-find. A pivot of very many members meets them in parts of about PIVOT_PAIRS, each in
+   a task that gets the pivot's set once.
 3. The rest: only buckets that still hold several components go on. Each of their members has one home, a block of about BLOCK
    members or BLOCK_SHINGLES in its largest bucket; a component that fills blocks has blocks of its own. For each two blocks that
    meet in a bucket and hold different components, the members of the smaller one visit the larger: once, in however many buckets
@@ -33,6 +34,8 @@ ROWS, BANDS, SHINGLE = 5, 40, 2
 PERCENT = 80
 #: Members of a block, or their shingles, and visitors of a block that one task takes.
 BLOCK, BLOCK_SHINGLES, VISITORS = 256, 500_000, 1024
+#: Pairs of one pivot that are held against it in one task, about.
+PIVOT_PAIRS = 5_000
 #: Share of agreeing slots from which a pair is verified: six standard deviations below 0.8.
 SKETCH_LEAST = 0.63
 #: Shingles that the signature and comparison kernels take at once.
@@ -168,18 +171,34 @@ def _linked(batches, percent: int):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, hot: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that connect what the linked pairs connect, found by the whole sets of their texts. pairs is checkpointed;
     high_a and high_b tell which of the sets of a and of b are meant, as rows of one doc_id can differ.
 
-    Each task unites its links at once, so a task needs one Python worker, not one for each of two steps."""
+    Each task unites its links at once, so a task needs one Python worker, not one for each of two steps. A pivot's set goes to each of its
+    parts once, where its members' sets pass by it."""
     sets = C.checkpointed(_sets_of(docs, pairs.select("a").union(pairs.select("b")), size))
-    first = sets.select(F.col("doc_id").alias("a"), F.col("high").alias("high_a"), F.col("codes").alias("x"))
+    first = _in_parts(sets.select(F.col("doc_id").alias("a"), F.col("high").alias("high_a"), F.col("codes").alias("x")), hot)
     second = sets.select(F.col("doc_id").alias("b"), F.col("high").alias("high_b"), F.col("codes").alias("y"))
-    both = pairs.join(first, ["a", "high_a"]).join(second, ["b", "high_b"]).select("a", "b", "x", "y")
+    both = pairs.join(second, ["b", "high_b"]).join(first, ["a", "high_a", "part"]).select("a", "b", "x", "y")
     return C.checkpointed(both.mapInArrow(lambda it: _union(_linked(it, percent)), "u long, v long").toDF("a", "b"))
 
 
+def _dealt(pairs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """pairs with `part`: those of a pivot that has more than `most` are dealt to parts of about that many, by their other member; and
+    (high_a, parts) of such pivots. pairs is checkpointed."""
+    hot = pairs.groupBy("high_a").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    hot = C.checkpointed(hot.select("high_a", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    dealt = C.left_join_small(pairs, hot, "high_a", F.col("high_b"))
+    return dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("b", "high_b"), F.col("parts")).cast("int"), F.lit(0))).drop("parts"), hot
+
+
+def _in_parts(pivots: DataFrame, hot: DataFrame) -> DataFrame:
+    """pivots (with high_a), once for each part that their pairs are dealt to."""
+    rows = C.left_join_small(pivots, hot, "high_a", F.col("high_a"))
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+
 def _union(batches):
     """Union-find over one task's links: a link from each node to the least of its set."""
     parent: dict[int, int] = {}
@@ -221,10 +240,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _alike(batches, least: float):
-    """Of (a, high_a, b, high_b, x, y) the pairs whose sketches x and y agree in enough slots, without these."""
+    """Of (a, high_a, b, high_b, part, x, y) the pairs whose sketches x and y agree in enough slots, without these."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (4, 5))
-        yield batch.select([0, 1, 2, 3]).filter(pa.array((x == y).mean(1) >= least if len(x) else [], pa.bool_()))
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (5, 6))
+        yield batch.select([0, 1, 2, 3, 4]).filter(pa.array((x == y).mean(1) >= least if len(x) else [], pa.bool_()))
 
 
 class _Block:
@@ -359,10 +378,12 @@ def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows:
     bucket = C.checkpointed(band.groupBy("key").agg(F.min("high").alias("pivot"), F.count("*").alias("members")).filter("members > 1"))
     inside = C.checkpointed(band.join(bucket, "key"))
     pairs = C.checkpointed(inside.filter("high != pivot").select(F.col("pivot").alias("high_a"), F.col("node").alias("b"), F.col("high").alias("high_b")).distinct())
-    pairs = pairs.join(node.select(F.col("high").alias("high_a"), F.col("node").alias("a"), F.col("sketch").alias("x")), "high_a").filter("a != b")
+    pairs, hot = _dealt(pairs, PIVOT_PAIRS)
+    pivots = _in_parts(node.select(F.col("high").alias("high_a"), F.col("node").alias("a"), F.col("sketch").alias("x")), hot)
+    pairs = pairs.join(pivots, ["high_a", "part"]).filter("a != b")
     pairs = pairs.join(node.select(F.col("high").alias("high_b"), F.col("node").alias("b"), F.col("sketch").alias("y")), ["b", "high_b"])
-    alike = pairs.select("a", "high_a", "b", "high_b", "x", "y").mapInArrow(lambda it: _alike(it, SKETCH_LEAST), "a long, high_a long, b long, high_b long")
-    links = _verified(C.checkpointed(alike), docs, size, percent)
+    alike = pairs.select("a", "high_a", "b", "high_b", "part", "x", "y").mapInArrow(lambda it: _alike(it, SKETCH_LEAST), "a long, high_a long, b long, high_b long, part int")
+    links = _verified(C.checkpointed(alike), hot, docs, size, percent)
     copies, more = _copies(features, node)
     found = components(links.union(more))
     more = C.checkpointed(_across(inside.filter("members > 2"), found, node, docs, size, percent, block, visitors))
