@@ -23,6 +23,8 @@ ROWS = [
     (12, "/s/t/u", ""),
     (13, "/s/long", (BODY + "\n") * 3000 + APACHE),
     (2, "/r/a/x.c", BODY),
+    (14, "/t/x.py", "# SPDX-License-Identifier: (MIT OR Apache-2.0) AND Zlib\n" + BODY),
+    (15, "/t/y.py", "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */\n" + BODY),
 ]
 
 
@@ -33,9 +35,26 @@ def tokens(x):
 SPACE = "[ \\t\\n\\x0b\\f\\r]+"
 
 
+def tags(line):
+    """A tag for each licence of an SPDX expression."""
+    _, tag, expression = re.sub("(?i)spdx-license-identifier:", "\0", line, count=1).partition("\0")
+    words = iter(re.sub("[()]", " | ", expression).split()) if tag else ()
+    named = [""]
+    for w in words:
+        if w.lower() in ("or", "and", "|"):
+            named.append("")
+        elif w.lower() == "with":
+            next(words, None)
+            named.append("")
+        else:
+            named[-1] = f"{named[-1]} {w}".strip()
+    return [f"SPDX-License-Identifier: {x}" for x in named if re.search("[A-Za-z0-9]", x)]
+
+
 def units(path, text):
     """(single, passage) of a text."""
     singles = [x.strip(common.SPACES) for x in re.split(licences.SENTENCE, text) if re.search(licences.MENTION, x)]
+    singles = [y for x in singles for y in tags(x) or [x]]
     bare = re.sub(licences.END, "", re.sub(licences.BEGIN, r"\1", text))
     larger = [x for x in re.split(licences.BLANK, bare) if re.search(licences.MENTION, x) and re.search(licences.MORE, x, re.ASCII)]
     if path and re.search(licences.NAMED, path):
@@ -119,3 +138,19 @@ def test_equal_files_take_the_best_of_theirs(spark):
     rows = [(1, "/a/x", BODY), (1, "/a/x", BODY + "\n" + MIT), (1, "/a/x", BODY), (2, "/a/y", BODY)]
     got = [(r.doc_id, r.own_licence, r.licence) for r in licences.licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()]
     assert sorted(got, key=str) == [(1, "MIT", "MIT")] * 3 + [(2, None, None)]
+
+
+def test_spdx_expressions(spark):
+    cases = {
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0)": "Apache-2.0 MIT",
+        "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */": "GPL-2.0",
+        "# spdx-license-identifier: MIT and (ISC or Zlib)": "ISC MIT Zlib",
+        "SPDX-License-Identifier: LicenseRef-Acme OR MPL-2.0": "MPL-2.0",
+        "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1",
+        "SPDX-License-Identifier: (LicenseRef-A AND LicenseRef-B)": None,
+        "SPDX-License-Identifier:": None,
+    }
+    rows = [(k, f"/{k}/x", f"{line}\n{BODY}") for k, line in enumerate(cases)]
+    got = {r.doc_id: (r.own_licences, r.own_licence) for r in licences.licences(spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(3)).collect()}
+    assert [got[k][0] for k in range(len(cases))] == list(cases.values())
+    assert all(own == (names and names.split(" ")[0]) for names, own in got.values())

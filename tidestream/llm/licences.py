@@ -2,7 +2,7 @@
 
 A file's headers and lines that speak of licensing are compared with templates (declaring sentences, standard notices, titles and
 whole short licences) by the cosine of sparse TF-IDF vectors; a file's own licence is its best passage's best template, from the
-template's least score on. Passages are single sentences and lines, paragraphs without comment marks, and the whole of a file that is
+template's least score on. Passages are single sentences and lines (of an SPDX expression each licence that it names), paragraphs without comment marks, and the whole of a file that is
 named as a licence file. Document frequencies are those of all files' passages and the templates. A licence file (by its name, or
 because licence passages make up LICENCE_SHARE of its words) gives its licence to its directory, and a file without one of its own takes
 that of its nearest ancestor directory, found by joining the distinct directories' ancestor paths.
@@ -83,6 +83,8 @@ _OR_LATER = ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
 #: What a passage must match to be compared; every template does.
 MENTION = r"(?i)licen[cs]|spdx|permission (is|to use)|redistribut|public domain|free software|free to copy|without (any )?warrant|prior written permission"
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[^/]*)?$"
+#: An SPDX expression in a line, and what parts the licences that it names: its operators, brackets, and exceptions with their names.
+TAG, OPERATORS = r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n]*)", r"(?i)[()]|[ \t]+(?:or|and)[ \t]+|[ \t]+with[ \t]+[^ \t()]+"
 #: What parts sentences and lines, and what a paragraph of more than one holds; marks of comments where lines begin and end, and what
 #: parts paragraphs.
 SENTENCE, MORE = r"\n|(?<=[.!?])\s+", r"(\n|[.!?]\s)[\s\S]*\w"
@@ -112,6 +114,12 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "template long, licence string, text string, least double").withColumn("terms", terms(F.col("text")))
 
 
+def tagged(line: Column) -> Column:
+    """A tag of its own for each licence that an SPDX expression in line names; other lines as they are."""
+    named = F.filter(F.split(F.regexp_extract(line, TAG, 1), OPERATORS, -1), lambda x: x.rlike("[A-Za-z0-9]"))
+    return F.when(F.size(named) > 0, F.transform(named, lambda x: F.concat(F.lit("SPDX-License-Identifier: "), F.btrim(x)))).otherwise(F.array(line))
+
+
 def passages(files: DataFrame) -> DataFrame:
     """(doc_id, path, words, single, id, passage) of the passages that speak of licensing, one row each; single: a sentence or line, else a
     paragraph that is more than that, or a whole licence file."""
@@ -120,7 +128,8 @@ def passages(files: DataFrame) -> DataFrame:
     rows = speaking.select("doc_id", "path", "text", F.size(C.word_array(F.col("text"))).alias("words"), bare.alias("bare"))
     unit = lambda single, passage: F.struct(F.lit(single).alias("single"), passage.alias("passage"))
     flat = lambda x: F.btrim(F.regexp_replace(x, r"[ \t\n\x0b\f\r]+", " "))
-    singles = F.transform(F.filter(F.split("text", SENTENCE, -1), lambda x: x.rlike(MENTION)), lambda x: unit(True, F.btrim(x, F.lit(C.SPACES))))
+    lines = F.filter(F.split("text", SENTENCE, -1), lambda x: x.rlike(MENTION))
+    singles = F.transform(F.flatten(F.transform(lines, lambda x: tagged(F.btrim(x, F.lit(C.SPACES))))), lambda x: unit(True, x))
     larger = F.transform(F.filter(F.split("bare", BLANK, -1), lambda x: x.rlike(MENTION) & x.rlike(MORE)), lambda x: unit(False, flat(x)))
     whole = F.when(F.col("path").rlike(NAMED), F.array(unit(False, flat(F.col("bare")))))
     found = rows.select("doc_id", "path", "words", F.explode_outer(F.concat(singles, larger, F.coalesce(whole, F.slice(larger, 1, 0)))).alias("u"))
@@ -148,7 +157,8 @@ def _parent(path: Column) -> Column:
 
 
 def licences(files: DataFrame) -> DataFrame:
-    """doc_id, path, own_licence, own_score, licence, source_path (the directory it is inherited from, if it is).
+    """doc_id, path, own_licence, own_score, licence, source_path (the directory it is inherited from, if it is), own_licences (all that any
+    of its passages match, by name with blanks between: those of "MIT OR Apache-2.0", of which own_licence is the first; null if none).
 
     files: doc_id, path, text. Null text: none of its own. Null path: as if in a directory of no parents that it shares
     with none, so it inherits nothing. A directory's licence is that of its licence file with the highest score, then
@@ -162,8 +172,9 @@ def licences(files: DataFrame) -> DataFrame:
         F.min(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), "licence"))).alias("best"),
         F.greatest(F.sum(F.when(F.col("single"), size).otherwise(0)), F.sum(F.when(F.col("score").isNotNull() & ~F.col("single"), size).otherwise(0))).alias("licence_words"),
         F.max("words").alias("words"),
+        F.array_join(F.array_sort(F.collect_set("licence")), " ").alias("own_licences"),  # at most as many as TEMPLATES has
     )
-    own = C.checkpointed(per_file.filter("best is not null").select("doc_id", "path", F.col("best.licence").alias("own_licence"), (-F.col("best.s")).alias("own_score"), (F.col("path").rlike(NAMED) | (F.col("licence_words") >= LICENCE_SHARE * F.col("words"))).alias("gives")))
+    own = C.checkpointed(per_file.filter("best is not null").select("doc_id", "path", F.col("best.licence").alias("own_licence"), (-F.col("best.s")).alias("own_score"), "own_licences", (F.col("path").rlike(NAMED) | (F.col("licence_words") >= LICENCE_SHARE * F.col("words"))).alias("gives")))
     rank = F.struct((-F.col("own_score")).alias("s"), "path", "doc_id", "own_licence")
     given = C.checkpointed(own.filter("gives and path is not null").groupBy(_parent(F.col("path")).alias("ancestor")).agg(F.min(rank).alias("r")).select("ancestor", F.col("r.own_licence").alias("given")))
     directories = C.checkpointed(files.select(_parent(F.col("path")).alias("directory")).filter("directory is not null").distinct())
@@ -171,9 +182,9 @@ def licences(files: DataFrame) -> DataFrame:
     above = directories.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(steps)))).select("directory", "depth", F.array_join(F.slice(steps, 1, F.col("depth")), "/").alias("ancestor"))
     near = C.left_join_small(above, given, "ancestor", F.col("directory")).filter("given is not null")
     near = C.checkpointed(near.groupBy("directory").agg(F.max(F.struct("depth", "given", "ancestor")).alias("n")).select("directory", F.col("n.given").alias("given"), F.col("n.ancestor").alias("ancestor")))
-    mine = own.select(F.col("doc_id").alias("__doc"), F.col("path").alias("__path"), "own_licence", "own_score")
+    mine = own.select(F.col("doc_id").alias("__doc"), F.col("path").alias("__path"), "own_licence", "own_score", "own_licences")
     rows = files.select("doc_id", "path", _parent(F.col("path")).alias("directory"))
     rows = rows.join(mine, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("path").eqNullSafe(F.col("__path")), "left").drop("__doc", "__path")
     rows = C.left_join_small(rows, near, "directory", F.col("doc_id"))
     inherited = F.col("own_licence").isNull() & F.col("given").isNotNull()
-    return rows.select("doc_id", "path", "own_licence", "own_score", F.coalesce("own_licence", "given").alias("licence"), F.when(inherited, F.col("ancestor")).alias("source_path"))
+    return rows.select("doc_id", "path", "own_licence", "own_score", F.coalesce("own_licence", "given").alias("licence"), F.when(inherited, F.col("ancestor")).alias("source_path"), "own_licences")
