@@ -137,3 +137,14 @@ def test_a_large_bin_is_read_by_several_tasks_and_filters_leave_bins_out(spark,
     assert late.rdd.getNumPartitions() == 2 and [r.filename for r in late.collect()] == ["whole"]
     assert found.filter(F.col("bin") == "none").count() == 0
     assert sum(json.loads(x).get("records", 0) for x in bins.ranges(spark, str(tmp_path)).toJSON().collect()) == 342
+
+
+def test_small_bins_are_one_file_each_and_share_the_tasks_that_read_them(spark, tmp_path):
+    rows = [(f"i{k}.tif", b"%d" % k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k)) for k in range(9000)]
+    bins.write(spark.createDataFrame(rows, IMAGES).repartition(5), str(tmp_path / "bins"))
+    assert len(list((tmp_path / "bins").glob("*.bin"))) == 900
+    found = bins.read(spark, str(tmp_path / "bins"), most=1 << 14)
+    assert found.rdd.getNumPartitions() <= 2 * bins.TASKS
+    assert sorted((r.filename, bytes(r.payload)) for r in found.collect()) == sorted((f, p) for f, p, _ in rows)
+    day = found.filter(F.col("bin").contains("pi-2024-01-03-"))
+    assert day.count() == 24 * 60 and {r.bin.split("pi-")[1][:10] for r in day.select("bin").collect()} == {"2024-01-03"}

@@ -22,10 +22,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tidestream.functions import scalars
 from tidestream.sources import checkpoints, commits, shared
 
-#: Bytes of records that a task reads, files whose headers a task passes over, shares of a bin that are written side by side.
-RANGE_BYTES, FILES_PER_TASK, SHARES = 64 << 20, 16, 4
-#: Bytes of records that a task passes on at once, about.
-BATCH_BYTES = 4 << 20
+#: Bytes of records that a task reads, files whose headers a task passes over (more where there are many), tasks from which on small ranges share one.
+RANGE_BYTES, FILES_PER_TASK, MANY_FILES, TASKS = 64 << 20, 16, 1024, 256
+#: Bytes that could be read while a file is opened: ranges weigh so much more when they are dealt to tasks.
+OPEN_BYTES = 64 << 10
+#: Bytes of records that a task passes on at once, about, and the most records.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
 SCHEMA = "bin string, filename string, payload binary"
 
 
@@ -82,10 +84,11 @@ def boundaries(file, size: int, most: int = RANGE_BYTES) -> Iterator[tuple[int,
 
 def _boundaries(frames_: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     for frame in frames_:
+        found = []
         for path, size in zip(frame["path"], frame["length"], strict=True):
             with shared.opened(path) as file:
-                found = list(boundaries(file, int(size), most))
-            yield pd.DataFrame([(path, *x) for x in found], columns=["bin", "begin", "end", "records"])
+                found += [(path, *x) for x in boundaries(file, int(size), most)]
+        yield pd.DataFrame(found, columns=["bin", "begin", "end", "records"])
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +98,8 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def ranges(spark: SparkSession, path: str, most: int = RANGE_BYTES) -> DataFrame:
     """bin (its URI), begin, end, records: stretches of records of the containers under path. Payloads are not read."""
     listed = _files(spark, path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length")
-    n = max(1, -(-listed.count() // FILES_PER_TASK))
+    files = listed.count()
+    n = max(1, min(TASKS // 4, -(-files // FILES_PER_TASK)), -(-files // MANY_FILES))
     return listed.repartition(n, "path").mapInPandas(lambda it: _boundaries(it, most), "bin string, begin long, end long, records long")
 
 
@@ -106,7 +110,7 @@ def read(spark: SparkSession, path: str, most: int = RANGE_BYTES) -> DataFrame:
     time. Of a store that only Spark reads, files are taken whole."""
     if not all(shared.is_known(r.path) for r in _files(spark, path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path")).limit(1).collect()):
         return _files(spark, path).select("path", "content").mapInArrow(_rows, SCHEMA)
-    found = [tuple(r) for r in ranges(spark, path, most).orderBy("bin", "begin").select("bin", "begin", "end").collect()]  # one row for each `most` bytes, as of any scan's splits
+    found = sorted(tuple(r) for r in ranges(spark, path, most).select("bin", "begin", "end").collect())  # one row for each `most` bytes, as of any scan's splits
     plan = f"{shared.qualified(spark, checkpoints.folder(spark))}/bins-{uuid.uuid4().hex}.json"
     with shared.create(plan) as out:
         out.write(json.dumps(found).encode())
@@ -116,10 +120,25 @@ def read(spark: SparkSession, path: str, most: int = RANGE_BYTES) -> DataFrame:
 
 
 @dataclass
-class _Range(D.InputPartition):
-    path: str
-    begin: int
-    end: int
+class _Ranges(D.InputPartition):
+    """What a task reads: path, begin and end of stretches of records."""
+
+    ranges: list[tuple[str, int, int]]
+
+
+def packed(found: list[tuple[str, int, int]]) -> list[_Ranges]:
+    """Ranges dealt to tasks in their order: one each while they are few, else neighbours together, up to RANGE_BYTES with what their opening costs."""
+    weight = lambda r: r[2] - r[1] + OPEN_BYTES
+    most = min(RANGE_BYTES, sum(map(weight, found)) // TASKS)
+    tasks: list[_Ranges] = []
+    room = 0
+    for r in found:
+        if not tasks or weight(r) > room:
+            tasks.append(_Ranges([]))
+            room = max(most, weight(r))
+        tasks[-1].ranges.append(r)
+        room -= weight(r)
+    return tasks
 
 
 _TESTS = {
@@ -148,29 +167,31 @@ class _BinReader(D.DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Ranges]:
         found = json.loads(shared.content(self.plan))
-        return [_Range(*r) for r in found if all(_TESTS[type(f)](f, r[0]) for f in self.asked)] or [_Range("", 0, 0)]
+        return packed([tuple(r) for r in found if all(_TESTS[type(f)](f, r[0]) for f in self.asked)]) or [_Ranges([])]
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        held: list[tuple[str, bytes]] = []
-        with shared.opened(partition.path) as file:
-            file.seek(partition.begin)
-            while file.tell() < partition.end:
-                name = file.read(int.from_bytes(file.read(2), "little")).decode()
-                held.append((name, file.read(int.from_bytes(file.read(4), "little"))))
-                if sum(len(p) for _, p in held) >= BATCH_BYTES or len(held) >= 64:
-                    yield _batch(partition.path, held)
-                    held = []
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str, bytes]] = []
+        size = 0
+        for path, begin, end in partition.ranges:
+            with shared.opened(path) as file:
+                file.seek(begin)
+                while file.tell() < end:
+                    name = file.read(int.from_bytes(file.read(2), "little")).decode()
+                    payload = file.read(int.from_bytes(file.read(4), "little"))
+                    held.append((path, name, payload))
+                    size += len(payload)
+                    if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                        yield _batch(held)
+                        held, size = [], 0
         if held:
-            yield _batch(partition.path, held)
+            yield _batch(held)
 
 
-def _batch(path: str, held: list[tuple[str, bytes]]) -> pa.RecordBatch:
-    names, payloads = zip(*held, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array(names), pa.array(payloads, pa.binary())], names=["bin", "filename", "payload"])
+def _batch(held: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
+    paths, names, payloads = zip(*held, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(paths), pa.array(names), pa.array(payloads, pa.binary())], names=["bin", "filename", "payload"])
 
 
 # --- writing -----------------------------------------------------------------------------------------------------
@@ -239,14 +260,15 @@ class _BinStreamWriter(_BinWriter, D.DataSourceStreamWriter):
         commits.prune(self.path, self.key, batchId)
 
 
-def _framed_rows(images: DataFrame, shares: int) -> DataFrame:
+def _framed_rows(images: DataFrame, shares: int | None) -> DataFrame:
     rows = images.select("filename", "payload", scalars.bin_name(F.col("arrival")).alias("bin")).filter("filename is not null and payload is not null")
-    return rows.repartition("bin", F.pmod(F.xxhash64("filename"), F.lit(shares))).sortWithinPartitions("bin")
+    dealt = rows.hint("rebalance", "bin") if shares is None else rows.repartition("bin", F.pmod(F.xxhash64("filename"), F.lit(shares)))
+    return dealt.sortWithinPartitions("bin")
 
 
-def write(images: DataFrame, path: str, shares: int = SHARES, key: str | None = None) -> None:
-    """images: filename, payload, arrival. A bin's images are dealt to `shares` tasks, each of which writes one container of it, so however many tasks
-    have some of a bin, its files are few.
+def write(images: DataFrame, path: str, shares: int | None = None, key: str | None = None) -> None:
+    """images: filename, payload, arrival. A bin's images come to one task, which writes one container of it, or to several if they are more than Spark's
+    advisory size of a partition: so a small bin is one file, however many tasks had some of it. shares: deals each bin to so many tasks, whatever its size.
 
     key: a name for the job, under which it is committed once: run again it adds nothing. A commit that an earlier job left unfinished is finished."""
     spark = images.sparkSession
