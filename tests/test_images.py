@@ -2,6 +2,7 @@ import random
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -134,3 +135,15 @@ def test_printed_points(spark):
     text = "(array([[62, 54]], dtype=int32), array([[78, 66]], dtype=int32))"
     (row,) = spark.createDataFrame([(text,)], "t string").select(scalars.parse_points(F.col("t")).alias("p")).select("p", scalars.midpoint(F.col("p")).alias("m")).collect()
     assert row.p == [[62, 54], [78, 66]] and row.m == [70, 60]
+
+
+def test_images_are_made_and_seen_in_small_batches():
+    from tidestream.plans import queries
+
+    made = list(queries._disc.func(iter([(pd.Series([1 + k % 50 for k in range(150)]), pd.Series(range(150)))])))
+    assert max(map(len, made)) <= queries.DISCS and sum(map(len, made)) == 150
+    files = pd.concat(made, ignore_index=True)
+    seen = list(images.viewer(batch=40).func(iter([files])))
+    assert [len(x) for x in seen] == [40, 40, 40, 30]
+    whole = next(images.viewer().func(iter([files])))
+    assert whole.drop(columns="scores").equals(pd.concat(seen, ignore_index=True).drop(columns="scores"))

@@ -141,7 +141,7 @@ def _spread(n: int, side: int) -> np.ndarray:
 
 def model_input(pixels: np.ndarray, gray: bool = False, side: int = SIDE) -> np.ndarray:
     """3 x side x side floats from 0 to 1; gray: all three channels are the gray value."""
-    image = pixels[:, :, :3].transpose(2, 0, 1).astype(np.float32) / np.float32(255)
+    image = pixels[:, :, :3].transpose(2, 0, 1).astype(np.float32, order="C") / np.float32(255)
     image = _spread(image.shape[1], side) @ image @ _spread(image.shape[2], side).T
     if gray and len(image) > 1:
         image = np.tensordot(np.array(GRAY, np.float32), image, 1)[None]
@@ -150,7 +150,7 @@ def model_input(pixels: np.ndarray, gray: bool = False, side: int = SIDE) -> np.
 
 def stand_in_scorer(batch: np.ndarray) -> np.ndarray:
     """Outputs fixed by each image's mean tones and contrast: for tests and plumbing, since no weights are published."""
-    tone = np.concatenate([batch.mean((2, 3)), batch.std((2, 3))], axis=1)
+    tone = np.concatenate([np.concatenate([one.mean((2, 3)), one.std((2, 3))], axis=1) for one in np.split(batch, len(batch))])  # an image at a time, as deviations are copies
     weights = np.sin(np.arange(1, tone.shape[1] * len(LABEL_KEYS) + 1, dtype=np.float64)).reshape(tone.shape[1], -1)
     return 8 * tone @ weights
 
@@ -188,7 +188,10 @@ def _classes(pixels: list[np.ndarray | None], scorer: Scorer, labels: tuple[str,
     there = [i for i, p in enumerate(pixels) if p is not None]
     for first in range(0, len(there), batch):
         some = there[first : first + batch]
-        outputs = np.asarray(scorer(np.stack([model_input(pixels[i], gray) for i in some])), np.float64)
+        inputs = np.empty((len(some), 3, SIDE, SIDE), np.float32)
+        for k, i in enumerate(some):
+            inputs[k] = model_input(pixels[i], gray)
+        outputs = np.asarray(scorer(inputs), np.float64)
         powers = np.exp(outputs - outputs.max(1, keepdims=True))
         scores = (powers / powers.sum(1, keepdims=True)).astype(np.float32)
         for i, k, s in zip(some, outputs.argmax(1).tolist(), scores, strict=True):
@@ -202,11 +205,9 @@ def classifier(scorer: Scorer = stand_in_scorer, labels: tuple[str, ...] = LABEL
     @F.pandas_udf(S.PREDICTION)
     def classified(payloads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for payload in payloads:
-            out = []
             for first in range(0, len(payload), batch):
                 pixels = [_or(None, lambda b: tiff.Tiff(b).pixels(), x) for x in payload.iloc[first : first + batch]]
-                out += _classes(pixels, scorer, labels, gray, batch)
-            yield pd.DataFrame(out, columns=["label", "scores"])
+                yield pd.DataFrame(_classes(pixels, scorer, labels, gray, batch), columns=["label", "scores"])
 
     return classified
 
@@ -225,15 +226,13 @@ def viewer(scorer: Scorer = stand_in_scorer, labels: tuple[str, ...] = LABEL_KEY
     def seen(payloads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         decode = corrected if correct else lambda b: tiff.Tiff(b).pixels()
         for payload in payloads:
-            rows = []
             for first in range(0, len(payload), batch):
                 some = payload.iloc[first : first + batch]
                 places = [_or(_NOWHERE, position, x) if locate else (None,) * 4 for x in some]
                 pixels = [_or(None, decode, x) for x in some] if classify or measure else [None] * len(some)
                 classes = _classes(pixels, scorer, labels, gray, batch) if classify else [(None, None)] * len(some)
                 sizes = [(_NOTHING if p is None else _or(_NOTHING, lambda _, p=p: shapes.measures(p), b"")) if measure else (None,) * len(_NOTHING) for p in pixels]
-                rows += [(*a, *b, *c) for a, b, c in zip(places, classes, sizes, strict=True)]
-            yield pd.DataFrame(rows, columns=SEEN.names)
+                yield pd.DataFrame([(*a, *b, *c) for a, b, c in zip(places, classes, sizes, strict=True)], columns=SEEN.names)
 
     return seen.asNondeterministic()
 

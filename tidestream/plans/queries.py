@@ -6,7 +6,7 @@ The tables hold no images; events stand in for arrivals, conversations for packe
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -449,8 +449,12 @@ def max_pair_distance(spark, sf_dir):
     return found.withColumn("max_distance", F.round("max_distance", 9))
 
 
+#: Discs that are passed on together: as files they are large beside the rows that they are drawn from.
+DISCS = 64
+
+
 @F.pandas_udf(T.BinaryType())
-def _disc(radius: pd.Series, tone: pd.Series) -> pd.Series:
+def _disc(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A dark disc on white, and a row of white background after the file."""
     y, x = np.mgrid[:128, :128]
 
@@ -459,7 +463,10 @@ def _disc(radius: pd.Series, tone: pd.Series) -> pd.Series:
         pixels[(x - 64) ** 2 + (y - 64) ** 2 <= r * r] = t
         return tiff.encode(pixels, "2024:01:01 00:00:00", ((50, 30, 0), "N", (4, 15, 36), "W")) + b"\xff" * 384
 
-    return pd.Series([one(r, t) for r, t in zip(radius, tone, strict=True)])
+    for radius, tone in columns:
+        for first in range(0, len(radius), DISCS):
+            some = slice(first, first + DISCS)
+            yield pd.Series([one(r, t) for r, t in zip(radius.iloc[some], tone.iloc[some], strict=True)])
 
 
 @query()
