@@ -125,6 +125,20 @@ def test_batches_are_released_when_full_or_when_their_minute_closes(spark, tmp_p
     assert state.table(spark, f"{tmp_path}/batches-checkpoint", "held").count() == len(held)
 
 
+def test_an_hours_minutes_are_kept_together_and_batched_by_themselves(spark, tmp_path):
+    rows = [(f"i{m:02d}-{k}", b"", START + dt.timedelta(minutes=m, seconds=k), 0) for m in range(60) for k in range(m % 5)]
+    for part in (rows[::2], rows[1::2], [("end", b"", START + dt.timedelta(days=1), 0)]):
+        spark.createDataFrame(part, IMAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(IMAGES).parquet(str(tmp_path / "in"))
+        found, _ = ran(sampling.batched(stream, 3, "2 hours"), spark, tmp_path, "hours")
+        assert state.table(spark, f"{tmp_path}/hours-checkpoint", "counts").count() <= 2
+    got = {r.filename: (r.minute, r.batch) for r in found.collect()}
+    assert len(got) == len(rows) and {f: m for f, (m, _) in got.items()} == {r[0]: r[2].replace(second=0) for r in rows}
+    for m in range(60):
+        sizes = pd.Series([got[r[0]][1] for r in rows if r[0].startswith(f"i{m:02d}-")], dtype=int).value_counts().sort_index()
+        assert sizes.tolist() == [x for x in (min(3, m % 5), m % 5 - 3) if x > 0] and sizes.index.tolist() == list(range(len(sizes)))
+
+
 def test_a_delay_line_that_is_stopped_and_resumed_emits_what_an_unbroken_one_does(spark, tmp_path):
     rows = spark.createDataFrame(events(), "arrival timestamp, label string, value double")
     closed = windows.wide_counts(rows, LABELS).orderBy("minute").collect()
