@@ -147,3 +147,126 @@ def test_images_are_made_and_seen_in_small_batches():
     assert [len(x) for x in seen] == [40, 40, 40, 30]
     whole = next(images.viewer().func(iter([files])))
     assert whole.drop(columns="scores").equals(pd.concat(seen, ignore_index=True).drop(columns="scores"))
+
+
+def grown(mask, beyond=False):
+    """A step of the eight neighbours, pixel by pixel."""
+    p = np.pad(mask, 1, constant_values=beyond)
+    return np.array([[p[y : y + 3, x : x + 3].any() for x in range(mask.shape[1])] for y in range(mask.shape[0])])
+
+
+def closed(mask, steps):
+    for _ in range(steps):
+        mask = grown(mask)
+    for _ in range(steps):
+        mask = ~grown(~mask)
+    return mask
+
+
+def reached(mask, at, corners):
+    seen, todo = {at}, [at]
+    while todo:
+        y, x = todo.pop()
+        for j, i in ((j, i) for j in (-1, 0, 1) for i in (-1, 0, 1) if corners or not (j and i)):
+            p = (y + j, x + i)
+            if p not in seen and 0 <= p[0] < mask.shape[0] and 0 <= p[1] < mask.shape[1] and mask[p]:
+                seen.add(p)
+                todo.append(p)
+    return seen
+
+
+def greatest_by_hand(mask):
+    """Its area and pixels, holes filled; the first by its first pixel of equal ones."""
+    best, found = -1.0, None
+    left = set(map(tuple, np.argwhere(mask).tolist()))
+    while left:
+        part = reached(mask, min(left), True)
+        left -= part
+        around = np.ones((mask.shape[0] + 2, mask.shape[1] + 2), bool)
+        for y, x in part:
+            around[y + 1, x + 1] = False
+        outside = reached(around, (0, 0), False)
+        whole = np.array([[(y + 1, x + 1) not in outside for x in range(mask.shape[1])] for y in range(mask.shape[0])])
+        inside = whole[:-1, :-1] * 1 + whole[1:, :-1] + whole[:-1, 1:] + whole[1:, 1:]
+        size = (inside == 4).sum() + 0.5 * (inside == 3).sum()
+        if size > best:
+            best, found = size, whole
+    return best, found
+
+
+def measured_by_hand(pixels):
+    gray = shapes.gray_of(pixels)
+    between = []
+    for t in range(256):
+        low, high = gray[gray <= t].astype(float), gray[gray > t].astype(float)
+        between.append(len(low) * len(high) * (low.mean() - high.mean()) ** 2 if len(low) and len(high) else 0.0)
+    dark = closed(closed(gray <= int(np.argmax(np.round(between, 3))), 1), 3)
+    size_raw, raw = greatest_by_hand(dark)
+    opened = raw if raw is not None else dark
+    for _ in range(3):
+        opened = ~grown(~opened)
+    for _ in range(3):
+        opened = grown(opened)
+    size, part = greatest_by_hand(opened)
+    if part is None:
+        return None
+    points = np.argwhere(part)[:, ::-1].tolist()
+    return size, size_raw, max(math.dist(a, b) for a in points for b in points)
+
+
+def test_images_measured_together_are_as_by_hand():
+    """Images of several sizes, with holes, specks, ties and nothing to see, in one call; and each alone."""
+    rng = np.random.default_rng(5)
+    pictures = [None, np.full((30, 22, 3), 255, np.uint8), np.zeros((0, 4, 3), np.uint8), np.full((9, 9, 2), 7, np.uint8)]
+    for k in range(36):
+        height, width = ((30, 22), (17, 40), (1, 9), (26, 26))[k % 4]
+        coarse = rng.random((height // 5 + 1, width // 5 + 1)) < 0.5
+        dark = coarse.repeat(5, 0).repeat(5, 1)[:height, :width] ^ (rng.random((height, width)) < 0.03)
+        pictures.append(np.where(dark[:, :, None], rng.integers(0, 60, (height, width, 1 + 2 * (k % 2))), rng.integers(180, 256, (height, width, 1 + 2 * (k % 2)))).astype(np.uint8))
+    found = shapes.all_measures(pictures)
+    assert found[:4] == [None] * 4 and sum(x is not None for x in found) > 20
+    for picture, got in zip(pictures[4:], found[4:], strict=True):
+        want = measured_by_hand(picture)
+        assert (got is None) == (want is None) and shapes.all_measures([picture]) == [got]
+        if got:
+            assert got[2:5] == (want[0], want[1], pytest.approx(want[2]))
+            assert got[4] == 0 if got[5] is None else math.dist(*got[5]) == pytest.approx(got[4])
+
+
+@pytest.mark.parametrize("size", [(128, 128), (100, 37), (300, 61), (1, 1), (256, 700)])
+def test_model_inputs_and_scores_are_those_of_whole_matrices(size):
+    pixels = np.random.default_rng(size[0]).integers(0, 256, (*size, 3)).astype(np.uint8)
+    for p in (pixels, pixels[:, :, :1], pixels[:, :, :1].repeat(3, axis=2)):
+        want = images._spread(size[0], 256).astype(float) @ (p.transpose(2, 0, 1) / 255.0) @ images._spread(size[1], 256).astype(float).T
+        got = images.model_input(p)
+        assert got.shape == (3, 256, 256) and np.abs(got - want).max() < 1e-5
+        assert np.abs(images.model_input(images.plain(p)) - want).max() < 1e-5
+        tone = np.concatenate([got.mean((1, 2), np.float64), got.std((1, 2), np.float64)])
+        weights = np.sin(np.arange(1, 6 * 18 + 1, dtype=np.float64)).reshape(6, 18)
+        assert np.abs(images.stand_in_scorer(np.stack([got, got]))[1] - 8 * tone @ weights).max() < 1e-4
+        assert np.abs(images.model_input(p, gray=True) - np.tensordot(np.array(images.GRAY), want if len(want) == 3 else want.repeat(3, 0), 1)).max() < 1e-4
+    assert images.plain(pixels[:, :, :1].repeat(3, axis=2)).shape[2] == 1 and (images.plain(pixels) is pixels or size == (1, 1))
+
+
+def test_what_is_neither_gray_nor_coloured_has_no_class_and_fails_nothing():
+    files = pd.Series([tiff.encode(np.full((9, 9, 2), 7, np.uint8)), tiff.encode(np.zeros((0, 5, 3), np.uint8)), tiff.encode(disc(20))])
+    (seen,) = images.viewer().func(iter([files]))
+    assert seen.label[0] is None and seen.label[2] is not None and seen.esd_1.tolist()[:2] == [0.0, 0.0] and seen.threshold_area.dtype == np.float64
+
+
+def test_background_is_taken_off_within_bounds():
+    rng = np.random.default_rng(3)
+    pixels, row = rng.integers(0, 256, (40, 30, 3)).astype(np.uint8), rng.integers(0, 256, (1, 30, 3)).astype(np.uint8)
+    want = np.clip(pixels.astype(int) - (255 - row.astype(int)), 0, 255)
+    assert (images.corrected(tiff.encode(pixels) + row.tobytes()) == want).all()
+
+
+def test_each_part_has_its_own_disc_measured(spark, tmp_path):
+    from tidestream.plans import queries
+
+    spark.range(60).selectExpr("id AS p_partkey", "cast(id % 50 + 1 AS int) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    rows = {r.p_partkey: r for r in queries.QUERIES["image_measures"](spark, str(tmp_path)).collect()}
+    assert len(rows) == 60
+    for key in (0, 7, 29, 49):
+        esd_1, esd_2, *_, length, _ = images._or(images._NOTHING, lambda _, k=key: shapes.measures(images.corrected(next(queries._disc.func(iter([(pd.Series([k % 50 + 1]), pd.Series([k % 200]))]))).iloc[0])), b"")
+        assert (rows[key].esd_1, rows[key].esd_2, rows[key].object_length, rows[key].latitude) == (round(esd_1, 6), round(esd_2, 6), round(length, 6), 50.5)

@@ -21,9 +21,12 @@ from tidestream.functions import shapes, tiff
 from tidestream.functions.labels import LABEL_KEYS
 from tidestream.functions.scalars import GRAY
 
-#: A scorer makes model outputs (images x labels) of a batch (images x channels x side x side, 0 to 1).
+#: A scorer makes model outputs (images x labels) of a batch (images x channels x side x side, 0 to 1), which it must not keep. If it has an
+#: attribute `most`, it is given no more images than that at a time.
 Scorer = Callable[[np.ndarray], np.ndarray]
 SIDE = 256
+#: Images that are decoded at a time.
+BATCH = 255
 
 # Names of the tags of TIFF and EXIF files by their numbers.
 TAG_NAMES = {
@@ -46,17 +49,26 @@ GPS_TAG_NAMES = {
 }
 
 
-def corrected(data: bytes) -> np.ndarray:
+def corrected(data: bytes, image: tiff.Tiff | None = None) -> np.ndarray:
     """The image's pixels less the row of background that follows its file: each column is raised to white by what its
-    background lacks. Without a whole row, the image stays as it is."""
-    image = tiff.Tiff(data)
+    background lacks. Without a whole row, the image stays as it is. image: data, if it has been read."""
+    image = image or tiff.Tiff(data)
     pixels = image.pixels()
     n = pixels.shape[1] * pixels.shape[2]
     row = data[image.end : image.end + n]
     if len(row) < n:
         return pixels
-    lacking = 255 - np.frombuffer(row, np.uint8).astype(np.int16).reshape(1, *pixels.shape[1:])
-    return np.clip(pixels.astype(np.int16) - lacking, 0, 255).astype(np.uint8)
+    lacking = ~np.frombuffer(row, np.uint8).reshape(1, *pixels.shape[1:])
+    return pixels - np.minimum(pixels, lacking)
+
+
+def plain(pixels: np.ndarray) -> np.ndarray:
+    """One channel where three are equal: scaled and measured it gives what they do, as their weights in a gray value add up to one."""
+    if pixels.shape[2] != 3:
+        return pixels
+    flat = pixels.ravel()
+    unlike = flat[1:] != flat[:-1]
+    return pixels[:, :, :1] if np.count_nonzero(unlike) == np.count_nonzero(unlike[2::3]) else pixels
 
 
 @F.pandas_udf(T.BinaryType())
@@ -79,11 +91,14 @@ _NOWHERE = (None, None, None, False)
 @F.pandas_udf(S.MEASURES)
 def measured(payload: pd.Series) -> pd.DataFrame:
     """All zeros where an image cannot be read or shows nothing."""
-    return pd.DataFrame([_or(_NOTHING, lambda b: shapes.measures(tiff.Tiff(b).pixels()), x) for x in payload], columns=S.MEASURES.names)
+    found = []
+    for first in range(0, len(payload), BATCH):
+        found += shapes.all_measures([_or(None, lambda b: tiff.Tiff(b).pixels(), x) for x in payload.iloc[first : first + BATCH]])
+    return pd.DataFrame([x or _NOTHING for x in found], columns=S.MEASURES.names)
 
 
-def position(data: bytes) -> tuple[float, float, str, bool]:
-    tags = tiff.of_file(data)
+def position(data: bytes, image: tiff.Tiff | None = None) -> tuple[float, float, str, bool]:
+    tags = image or tiff.of_file(data)
     degrees = lambda v, ref, minus: float(v[0] + v[1] / 60 + v[2] / 3600) * (-1 if ref[:1] == minus else 1)
     return degrees(tags.gps[tiff.LAT], tags.gps[tiff.LAT_REF], "S"), degrees(tags.gps[tiff.LON], tags.gps[tiff.LON_REF], "W"), tags.tags[tiff.DATE_TIME], True
 
@@ -139,22 +154,67 @@ def _spread(n: int, side: int) -> np.ndarray:
     return (w / w.sum(1, keepdims=True)).astype(np.float32)
 
 
-def model_input(pixels: np.ndarray, gray: bool = False, side: int = SIDE) -> np.ndarray:
-    """3 x side x side floats from 0 to 1; gray: all three channels are the gray value."""
+@functools.lru_cache(maxsize=64)
+def _between(n: int, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """When growing: the input before each output, and the share that the next one has in it."""
+    weights = _spread(n, side)
+    before = (weights > 0).argmax(1)
+    return before, 1 - weights[np.arange(side), before][:, None]
+
+
+def _scaled(rows: np.ndarray, side: int, out: np.ndarray) -> None:
+    """Fills out with side rows, resampled from the given ones."""
+    n, width = rows.shape
+    if n > side or not n:
+        np.matmul(_spread(n, side), rows, out=out)
+    elif side % n == 0:  # each row gives as many
+        each, step = out.reshape(n, side // n, width), rows[1:] - rows[:-1]
+        for k in range(side // n):
+            share = np.float32((k + 0.5) * n / side - 0.5)
+            if share < 0:
+                np.add(rows[1:], step * share, out=each[1:, k])
+                each[0, k] = rows[0]
+            else:
+                np.add(rows[:-1], step * share, out=each[:-1, k])
+                each[-1, k] = rows[-1]
+    else:
+        before, share = _between(n, side)
+        step = np.zeros_like(rows)
+        np.subtract(rows[1:], rows[:-1], out=step[:-1])
+        np.multiply(step.take(before, 0, mode="clip"), share, out=out)
+        out += rows.take(before, 0, mode="clip")
+
+
+def model_input(pixels: np.ndarray, gray: bool = False, side: int = SIDE, out: np.ndarray | None = None) -> np.ndarray:
+    """3 x side x side floats from 0 to 1; gray: all three channels are the gray value. out: where to write them."""
     image = pixels[:, :, :3].transpose(2, 0, 1).astype(np.float32, order="C") / np.float32(255)
-    image = _spread(image.shape[1], side) @ image @ _spread(image.shape[2], side).T
-    if gray and len(image) > 1:
-        image = np.tensordot(np.array(GRAY, np.float32), image, 1)[None]
-    return np.broadcast_to(image, (3, side, side)) if len(image) == 1 else image
+    channels, height, _ = image.shape
+    out, wide = np.empty((3, side, side), np.float32) if out is None else out, np.empty((height, side), np.float32)
+    for k in range(channels):
+        _scaled(image[k].T, side, wide.T)
+        _scaled(wide, side, out[k])
+    if gray and channels > 1:
+        out[0] = np.tensordot(np.array(GRAY, np.float32), out, 1)
+    if gray or channels == 1:
+        out[1:] = out[0]
+    return out
 
 
 def stand_in_scorer(batch: np.ndarray) -> np.ndarray:
     """Outputs fixed by each image's mean tones and contrast: for tests and plumbing, since no weights are published."""
-    tone = np.concatenate([np.concatenate([one.mean((2, 3)), one.std((2, 3))], axis=1) for one in np.split(batch, len(batch))])  # an image at a time, as deviations are copies
+    tone, ones = np.empty((len(batch), 2 * batch.shape[1]), np.float32), np.ones(batch.shape[2], np.float32)
+    for one, (means, deviations) in zip(batch, tone.reshape(len(batch), 2, -1), strict=True):
+        for k, channel in enumerate(one):  # one at a time, as differences are copies; sums by rows first
+            means[k] = (ones @ channel).sum() / channel.size
+            differences = channel - means[k]
+            deviations[k] = np.sqrt(np.vecdot(differences, differences).sum() / channel.size)
     weights = np.sin(np.arange(1, tone.shape[1] * len(LABEL_KEYS) + 1, dtype=np.float64)).reshape(tone.shape[1], -1)
     return 8 * tone @ weights
 
 
+stand_in_scorer.most = 4  # it has no use for more, and inputs stay in the cache
+
+
 class OnnxScorer:
     """A model file in ONNX form; it is opened once in each Python worker.
 
@@ -183,15 +243,16 @@ class OnnxScorer:
 
 
 def _classes(pixels: list[np.ndarray | None], scorer: Scorer, labels: tuple[str, ...], gray: bool, batch: int) -> list[tuple]:
-    """Label and scores (softmax) of images, at most `batch` at a time; nulls where there is none."""
+    """Label and scores (softmax) of images, at most `batch` at a time; nulls where there is none, or neither one gray channel nor three."""
     out: list[tuple] = [(None, None)] * len(pixels)
-    there = [i for i, p in enumerate(pixels) if p is not None]
+    there = [i for i, p in enumerate(pixels) if p is not None and p.shape[2] != 2]
+    batch = min(batch, getattr(scorer, "most", batch))
+    inputs = np.empty((min(batch, len(there)), 3, SIDE, SIDE), np.float32)
     for first in range(0, len(there), batch):
         some = there[first : first + batch]
-        inputs = np.empty((len(some), 3, SIDE, SIDE), np.float32)
         for k, i in enumerate(some):
-            inputs[k] = model_input(pixels[i], gray)
-        outputs = np.asarray(scorer(inputs), np.float64)
+            model_input(pixels[i], gray, out=inputs[k])
+        outputs = np.asarray(scorer(inputs[: len(some)]), np.float64)
         powers = np.exp(outputs - outputs.max(1, keepdims=True))
         scores = (powers / powers.sum(1, keepdims=True)).astype(np.float32)
         for i, k, s in zip(some, outputs.argmax(1).tolist(), scores, strict=True):
@@ -199,7 +260,7 @@ def _classes(pixels: list[np.ndarray | None], scorer: Scorer, labels: tuple[str,
     return out
 
 
-def classifier(scorer: Scorer = stand_in_scorer, labels: tuple[str, ...] = LABEL_KEYS, gray: bool = False, batch: int = 255):
+def classifier(scorer: Scorer = stand_in_scorer, labels: tuple[str, ...] = LABEL_KEYS, gray: bool = False, batch: int = BATCH):
     """A UDF from images to label and scores; nulls where one cannot be read."""
 
     @F.pandas_udf(S.PREDICTION)
@@ -216,7 +277,7 @@ def classifier(scorer: Scorer = stand_in_scorer, labels: tuple[str, ...] = LABEL
 SEEN = T.StructType([*S.POSITION, *S.PREDICTION, *S.MEASURES])
 
 
-def viewer(scorer: Scorer = stand_in_scorer, labels: tuple[str, ...] = LABEL_KEYS, gray: bool = False, batch: int = 255, correct: bool = True, classify: bool = True, measure: bool = True, locate: bool = True):
+def viewer(scorer: Scorer = stand_in_scorer, labels: tuple[str, ...] = LABEL_KEYS, gray: bool = False, batch: int = BATCH, correct: bool = True, classify: bool = True, measure: bool = True, locate: bool = True):
     """A UDF from images, as they came, to SEEN: position, class and measures in one pass that decodes each image once.
 
     correct: take off the background before classifying and measuring. What isn't asked for is null. It is marked as not
@@ -224,14 +285,15 @@ def viewer(scorer: Scorer = stand_in_scorer, labels: tuple[str, ...] = LABEL_KEY
 
     @F.pandas_udf(SEEN)
     def seen(payloads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        decode = corrected if correct else lambda b: tiff.Tiff(b).pixels()
+        decode = corrected if correct else lambda _, image: image.pixels()
         for payload in payloads:
             for first in range(0, len(payload), batch):
                 some = payload.iloc[first : first + batch]
-                places = [_or(_NOWHERE, position, x) if locate else (None,) * 4 for x in some]
-                pixels = [_or(None, decode, x) for x in some] if classify or measure else [None] * len(some)
+                read = [_or(None, tiff.Tiff, x) for x in some]
+                places = [_or(_NOWHERE, lambda b, t=t: position(b, t), x) for x, t in zip(some, read, strict=True)] if locate else [(None,) * 4] * len(some)
+                pixels = [_or(None, lambda b, t=t: plain(decode(b, t)), x) if t and (classify or measure) else None for x, t in zip(some, read, strict=True)]
                 classes = _classes(pixels, scorer, labels, gray, batch) if classify else [(None, None)] * len(some)
-                sizes = [(_NOTHING if p is None else _or(_NOTHING, lambda _, p=p: shapes.measures(p), b"")) if measure else (None,) * len(_NOTHING) for p in pixels]
+                sizes = [x or _NOTHING for x in shapes.all_measures(pixels)] if measure else [(None,) * len(_NOTHING)] * len(some)
                 yield pd.DataFrame([(*a, *b, *c) for a, b, c in zip(places, classes, sizes, strict=True)], columns=SEEN.names)
 
     return seen.asNondeterministic()

@@ -457,22 +457,23 @@ DISCS = 64
 def _disc(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A dark disc on white, and a row of white background after the file."""
     y, x = np.mgrid[:128, :128]
+    away = np.stack([(x - 64) ** 2 + (y - 64) ** 2] * 3, axis=2).astype(np.int16)
 
     def one(r, t):
         pixels = np.full((128, 128, 3), 255, np.uint8)
-        pixels[(x - 64) ** 2 + (y - 64) ** 2 <= r * r] = t
+        pixels[away <= r * r] = t
         return tiff.encode(pixels, "2024:01:01 00:00:00", ((50, 30, 0), "N", (4, 15, 36), "W")) + b"\xff" * 384
 
     for radius, tone in columns:
         for first in range(0, len(radius), DISCS):
             some = slice(first, first + DISCS)
-            yield pd.Series([one(r, t) for r, t in zip(radius.iloc[some], tone.iloc[some], strict=True)])
+            yield pd.Series([one(r, t) for r, t in zip(radius.iloc[some], tone.iloc[some].to_numpy().astype(np.uint8), strict=True)])
 
 
 @query()
 def image_measures(spark, sf_dir):
     """Discs drawn with the radius of each part's size: background corrected, measured, placed and classified."""
-    few = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # small rows, much work on each
+    few = table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")  # small rows, much work on each: no core waits long for another
     rows = few.select("p_partkey", images.viewer()(_disc(F.col("p_size"), F.col("p_partkey") % 200)).alias("s"))
     return rows.select("p_partkey", *(F.round(f"s.{c}", 6).alias(c) for c in ("esd_1", "esd_2", "object_length")), F.round("s.latitude", 9).alias("latitude"), F.col("s.label").alias("label"))
 
